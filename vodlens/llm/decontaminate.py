@@ -2,14 +2,107 @@
 
 Words are runs of other than ASCII white space, A-Z lower-cased. A mask is a pattern over SPAN
 neighbouring words: it hashes the words at its kept positions and ignores the others, so a hit
-survives a changed word wherever one mask ignores it. Every window of every benchmark item gives
-a hash for each mask; every window of every document is looked up among them.
+survives a changed word wherever one mask ignores it. Every window of every benchmark item gives a
+hash for each mask; every window of every document is looked up among them.
 
-A hit fixes a diagonal: document position minus item position. Verification aligns the item with
-the document along it and compares, around the hits, every word of the overlap: a document is
-contaminated by an item where at least MIN_WORDS words align and at least SIMILARITY of the aligned
-words are equal. A passage in the middle of an item counts too: the overlap is then the longest run
-of words around the hits, so it ends where the similarity would fall below the threshold.
+A hit fixes a diagonal (document position minus item position). Verification lays the item along it
+and compares word by word. A document is contaminated where a run of RUN neighbouring item words
+(the whole item, if it is shorter) stands in it with at least SIMILARITY of its words equal; the rest
+may be substituted. Seeds and items are broadcast only while their counted rows are at most
+MAX_BROADCAST; a larger benchmark is joined by shuffle, on the hashes and then on the rows' keys.
 
-Items shorter than SPAN words are one window: all their words, exactly.
+Defined results: a null text counts as empty; items of under SPAN words are too short to tell and
+match nothing; items without id or text match nothing; repeated rows of either table give the same
+single row for a (doc_id, item_id); empty tables give no rows; other columns are ignored (pairs) or
+kept (clean).
 """
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vodlens.llm.common import ASCII_SPACE, ascii_lower, stored
+from vodlens.llm.line_dedup import row_key
+
+SPAN = 8
+#: Kept positions of each mask. Against one changed word in three, four or five, at even distances,
+#: at least one mask still fits between the changes.
+MASKS = [(0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7)]
+RUN, SIMILARITY = 13, 0.8
+MAX_BROADCAST = 400_000
+
+
+def word_hashes(text: Column) -> Column:
+    """The hash of each word of a text."""
+    bare = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ASCII_SPACE))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def seeds_of(words: Column) -> Column:
+    """The hashes of all windows and masks; those of window k stand at len(MASKS) * k and after."""
+    none = F.array().cast("array<bigint>")
+    last = F.size(words) - SPAN
+    window = lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in mask]) for k, mask in enumerate(MASKS)])
+    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window))).otherwise(none)
+
+
+def with_seeds(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each seed: keep, place (of the window) and seed."""
+    seeds = rows.select(*keep, seeds_of(F.col("words")).alias("seeds"))
+    # The outer form: for the inner one the optimizer adds a filter on the size, which would compute
+    # the hashes anew for every window.
+    placed = seeds.select(*keep, F.posexplode_outer("seeds").alias("k", "seed"))
+    return placed.select(*keep, (F.col("k") / len(MASKS)).cast("int").alias("place"), "seed")
+
+
+def verified(hits: DataFrame, run: int, similarity: float) -> DataFrame:
+    """Hits (key, words, item_id, item, diagonal) that hold, with the words equal along the diagonal."""
+    size = F.size("item")
+    equal = F.transform("item", lambda x, i: F.coalesce((F.get(F.col("words"), F.col("diagonal") + i) == x).cast("int"), F.lit(0)))
+    laid = hits.select("key", "doc_id", "item_id", size.alias("item_words"), equal.alias("equal"))
+    total = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
+    laid = laid.withColumn("equal_words", total).withColumn("span", F.least(F.lit(run), F.col("item_words")))
+    need = F.ceil(F.col("span") * F.lit(similarity))
+    starts = F.sequence(F.lit(1), F.col("item_words") - F.col("span") + 1)
+    held = F.exists(starts, lambda s: F.aggregate(F.slice("equal", s, F.col("span")), F.lit(0), lambda a, x: a + x) >= need)
+    good = F.when(F.col("equal_words") >= F.col("item_words") * F.lit(similarity), True).when(F.col("equal_words") < need, False).otherwise(held)
+    return laid.where(good).select("key", "doc_id", "item_id", "item_words", "equal_words")
+
+
+def hits_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, similarity: float = SIMILARITY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """key (of the row), doc_id, item_id, item_words, equal_words: a row for each hit that holds."""
+    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("words"))
+    items = stored(items.where(F.size("words") >= SPAN).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "decon-items")
+    seeds = stored(with_seeds(items, "item").select("item", "place", "seed").distinct(), "decon-seeds")
+    texts = items.select("item", "item_id", F.col("words").alias("item_hashes"))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
+    seeds = seeds.select(F.col("item").alias("s_item"), F.col("place").alias("s_place"), F.col("seed").alias("s_seed"))
+    small = seeds.count() <= max_broadcast
+    kept = ("key", "doc_id", "words") if small else ("key",)
+    placed = with_seeds(rows, *kept)
+    if not small:
+        found = placed.join(seeds, F.col("seed") == F.col("s_seed"))
+        found = found.select("key", "s_item", (F.col("place") - F.col("s_place")).alias("diagonal")).distinct()
+        hits = found.join(rows.dropDuplicates(["key"]), "key").join(texts, F.col("s_item") == F.col("item"))
+    else:
+        found = placed.join(F.broadcast(seeds), F.col("seed") == F.col("s_seed"))
+        found = found.withColumn("diagonal", F.col("place") - F.col("s_place"))
+        hits = found.join(F.broadcast(texts), F.col("s_item") == F.col("item"))
+    hits = hits.select("key", "doc_id", "words", "item_id", F.col("item_hashes").alias("item"), "diagonal")
+    return verified(hits, run, similarity)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, item_words and equal_words (along the best diagonal) of each contaminated pair."""
+    hits = hits_of(docs, benchmark, **options)
+    return hits.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("equal_words").alias("equal_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that hold no benchmark passage, with all their columns."""
+    found = stored(hits_of(docs.select("doc_id", "text"), benchmark, **options).select("key.*").distinct(), "decon-rows")
+    marked = docs.withColumn("k_key", row_key("doc_id", "text"))
+    rest = marked.join(found, (F.col("k_key.d1") == F.col("d1")) & (F.col("k_key.d2") == F.col("d2")), "left_anti")
+    return rest.select(*docs.columns)
