@@ -18,6 +18,7 @@ repeated rows get a row each; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vodlens.llm.common import crc_mod
 
-SAMPLE, SAMPLE_CHARS = 4_000, 40_000
+SAMPLE, SAMPLE_CHARS = 3_000, 20_000
 BLOCK, DICTIONARY, LEVEL = 1024, 112_640, 3
 BLOCKS_PER_TEXT = 8
 THRESHOLD = 0.7
@@ -137,9 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(crc_mod(F.col("doc_id"), held_out_mod) != held_out)
     usable = usable.select("doc_id", "quality").distinct()
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    texts = docs.select("doc_id", "text").where(F.char_length("text").between(1, SAMPLE_CHARS)).join(usable, "doc_id")
-    texts = texts.select("quality", "text", F.xxhash64("text", "doc_id").alias("o"))
-    by_label = [[r.text for r in texts.where(F.col("quality") == q).orderBy("o", "text").limit(sample).collect()] for q in (1, 0)]
+    # Only ids are ordered and collected; then the texts of these few documents, by a broadcast of their ids.
+    chosen = [(r.doc_id, q) for q in (1, 0) for r in usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    by_label = [[r.text for r in rows if r.quality == q] for q in (1, 0)]
     return fit_texts(*by_label, share_good=counts.get(1, 0) / max(1, sum(counts.values())))
 
 
