@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import crc_mod, drop_stored, stored
+from vodlens.llm.common import crc_mod, drop_stored, release, stored
 
 K, REST = 5, 1e-6
 BLOCK_CHARS, PART_CHARS, LEAST_PARTS = 6_000_000, 4_000_000, 16
@@ -102,8 +102,37 @@ class Discounted:
         return small @ self.of[1:] + large * (1 - REST)
 
 
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
+
+
+def pairs_of(words: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's tokens: its distinct pairs' keys (sorted), contexts and words, and each token's pair."""
+    if not len(cur):
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
+    prev = np.empty_like(cur)
+    prev[1:] = cur[:-1]
+    prev[0] = np.searchsorted(words, END_HASH)
+    distinct, pair = np.unique(prev * len(words) + cur, return_inverse=True)
+    before, after = np.divmod(distinct, len(words))
+    keys = mixed(words[before], words[after])
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], before[order], after[order], place[pair]
+
+
+def int_planes(x: np.ndarray) -> bytes:
+    """Small numbers byte by byte, so that the empty high bytes vanish when packed."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_int_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 class Block:
-    """The tokens of some documents, numbered by the block's own distinct words and pairs."""
+    """The tokens of some documents, numbered by the block's own distinct words in the order of their hashes."""
 
     def __init__(self, ids: list, held: list[bool], texts: list[str]):
         self.ids, self.held = ids, np.array(held, bool)
@@ -115,31 +144,18 @@ class Block:
             tokens.append(END)
             lens[k] = len(words) + 1
         coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.cur = coded.indices.to_numpy().astype(np.int64)
-        self.lens = lens
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        # Words are renumbered in the order of their hashes.
+        del tokens
+        names = coded.dictionary.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.cur, self.words = place[self.cur], hashes[order]
-        end = place[words.index(END)] if words else 0
-        prev = np.empty_like(self.cur)
-        prev[1:] = self.cur[:-1]
-        if len(prev):
-            prev[0] = end
-        coded_pairs = prev * len(self.words) + self.cur
-        distinct, self.pair = np.unique(coded_pairs, return_inverse=True)
-        self.pair_prev, self.pair_cur = np.divmod(distinct, max(1, len(self.words)))
-        keys = mixed(self.words[self.pair_prev], self.words[self.pair_cur])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair, self.pairs = place[self.pair], keys[order]
-        self.pair_prev, self.pair_cur = self.pair_prev[order], self.pair_cur[order]
-        self.doc = np.repeat(np.arange(len(lens)), lens)
-        self.trained = ~self.held[self.doc] if len(self.doc) else np.empty(0, bool)
+        self.cur, self.words, self.lens = place[coded.indices.to_numpy()], hashes[order], lens
+
+    def count(self) -> None:
+        """Finds the pairs, for counting."""
+        self.pairs, _, _, self.pair = pairs_of(self.words, self.cur)
+        self.trained = ~np.repeat(self.held, self.lens)
 
     def keys(self, kind: int) -> np.ndarray:
         return self.words if kind == WORDS else self.pairs
@@ -218,6 +234,7 @@ class KatzModel:
 def _requests(parts: int, block_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks_of(batches, block_chars):
+            block.count()
             for kind in (WORDS, PAIRS):
                 keys, counts = block.keys(kind), block.counts(kind)
                 yield rows_batch([(kind, number, p, pack(planes(keys[s]), counts[s].astype(np.int32))) for p, s in part_slices(keys, parts)])
@@ -255,9 +272,7 @@ def _tokens(block_chars: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b in blocks_of(batches, block_chars):
-            width = np.int32 if len(b.pairs) < 1 << 31 else np.int64
-            words = np.int32
-            yield rows_batch([(-1, number, 0, pack(b.ids, b.held, b.lens, planes(b.words), b.cur.astype(words), b.pair_prev.astype(words), b.pair_cur.astype(words), b.pair.astype(width)))])
+            yield rows_batch([(-1, number, 0, pack(b.ids, b.held, b.lens, planes(b.words), int_planes(b.cur)))])
 
     return run
 
@@ -268,8 +283,9 @@ def _score(model: KatzModel, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in grouped(batches, "block"):
             parts_of = {kind: sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"]) for kind in (-1, WORDS, PAIRS)}
-            ids, held, lens, words, cur, pair_prev, pair_cur, pair = unpack(parts_of[-1][0]["payload"])
-            words, cur, pair = from_planes(words), cur.astype(np.int64), pair.astype(np.int64)
+            ids, held, lens, words, cur = unpack(parts_of[-1][0]["payload"])
+            words, cur = from_planes(words), from_int_planes(cur)
+            _, pair_prev, pair_cur, pair = pairs_of(words, cur)
             c = np.concatenate([unpack(r["payload"])[0] for r in parts_of[WORDS]]).astype(np.int64) >> 1
             told = np.concatenate([unpack(r["payload"])[0] for r in parts_of[PAIRS]]).astype(np.int64)
             r, own = told >> 1, (told & 1 == 1) & (told > 1)
@@ -356,6 +372,8 @@ class KatzScores:
         sent = rows.mapInArrow(_requests(parts, block_chars), MIXED)
         dealt = sent.repartition(2 * parts, "kind", "part").sortWithinPartitions("kind", "part")
         self.counts = stored(dealt.mapInArrow(_count, MIXED), "katz-counts")
+        del sent, dealt
+        release(docs.sparkSession)
         sums = self.counts.where("block = -2").mapInArrow(_unpacked_sums, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
         n = np.zeros((2, K + 5), np.int64)
         for s in sums:
@@ -366,6 +384,8 @@ class KatzScores:
         blocks = rows.mapInArrow(_tokens(block_chars), MIXED)
         met = blocks.unionByName(self.counts.where("block >= 0")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
         self.states = stored(met.mapInArrow(_score(self.model, parts), MIXED), "katz-states")
+        del blocks, met
+        release(docs.sparkSession)
         asked = self.states.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "kind", "block")
         self.weights = stored(asked.mapInArrow(_weigh(self.model), MIXED), "katz-weights")
         self.parts = parts
