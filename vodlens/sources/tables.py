@@ -44,7 +44,7 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """Streamer targets from CSV or JSON (a list, or {streamers|targets|roster: [...]})."""
     fields = "streamer_id string, display_name string, channel_urls string, primary_platform string, download_priority string, enabled string, tags string"
     if path.lower().endswith(".csv"):
-        raw = spark.read.option("header", True).csv(path)
+        raw = spark.read.option("header", True).option("escape", "\"").csv(path)
         names = [f.strip().split(" ")[0] for f in fields.split(",")]
         raw = raw.select(*[(F.col(n) if n in raw.columns else F.lit(None).cast("string")).alias(n) for n in names])
     else:
