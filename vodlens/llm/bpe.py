@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 #: Fixed values of the byte-level format: the pattern that splits a text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per generation in a worker's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 120_000, 48
 #: A space beside other white space.
 BESIDE = re.compile(r" \s|\s ")
 #: Characters of text that are split into words at once.
-PART_CHARS = 3_000_000
+PART_CHARS = 1_000_000
 NONE = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
