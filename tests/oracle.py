@@ -20,7 +20,7 @@ def plain(x):
     if isinstance(x, bool):
         return str(x)
     if isinstance(x, (int, float)):
-        return repr(round(float(x), 6) + 0.0)
+        return repr(round(float(x), 9) + 0.0)
     return str(x)
 
 

@@ -36,6 +36,11 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def r9(c: str) -> Column:
+    """For means of few short decimals, which often lie exactly between two six-place numbers."""
+    return F.round(F.col(c), 9)
+
+
 # ---- buckets, spines, spikes -------------------------------------------------------------------
 
 DENSE = f"""spine AS (SELECT stream_id, unnest(generate_series(0, floor(duration / {HOUR})::BIGINT)) AS bucket_index FROM bounds),
@@ -66,10 +71,10 @@ LEXICON = ", ".join(f"('{k}', {v})" for k, v in L.EMOTE_POLARITY.items())
 
 @query(f"""WITH $VIEWS, lex(token, p) AS (VALUES {LEXICON}),
 w AS (SELECT stream_id, floor(timestamp_offset / {DAY})::BIGINT AS bucket_index, unnest(string_split(content, ' ')) AS token FROM chat)
-SELECT stream_id, bucket_index, count(p) AS n_hits, round(coalesce(sum(p) / nullif(count(p), 0), 0), 6) AS sentiment FROM w LEFT JOIN lex USING (token) GROUP BY ALL""")
+SELECT stream_id, bucket_index, count(p) AS n_hits, round(coalesce(sum(p) / nullif(count(p), 0), 0), 9) AS sentiment FROM w LEFT JOIN lex USING (token) GROUP BY ALL""")
 def bucket_sentiment(spark, d):
     out = chat_ops.bucket_sentiment(V.chat(spark, d), ["stream_id"], width=DAY)
-    return out.select("stream_id", "bucket_index", F.col("n_hits").cast("long").alias("n_hits"), r6("sentiment").alias("sentiment"))
+    return out.select("stream_id", "bucket_index", F.col("n_hits").cast("long").alias("n_hits"), r9("sentiment").alias("sentiment"))
 
 
 @query(f"""WITH $VIEWS, w AS (SELECT stream_id, floor(timestamp_offset / {DAY})::BIGINT AS bucket_index, timestamp_offset, message_id, unnest(string_split(content, ' ')) AS token, generate_subscripts(string_split(content, ' '), 1) AS place FROM chat),
@@ -154,11 +159,11 @@ f AS (SELECT stream_id, floor(timestamp_sec / {HOUR})::BIGINT AS bucket_index, a
 j AS (SELECT d.*, coalesce(sentiment, 0) AS sentiment, coalesce(ag, 0) AS ag, coalesce(di, 0) AS di, coalesce(spoke, false) AS spoke, coalesce(n_speakers, 0) AS n_speakers,
   coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY d.stream_id ORDER BY d.bucket_index ROWS UNBOUNDED PRECEDING), 'UNKNOWN') AS active_scene_type
   FROM dense d LEFT JOIN mood USING (stream_id, bucket_index) LEFT JOIN votes USING (stream_id, bucket_index) LEFT JOIN sp USING (stream_id, bucket_index) LEFT JOIN f USING (stream_id, bucket_index))
-SELECT stream_id, bucket_index, n_speakers::INT AS n_speakers, active_scene_type, message_count AS chat_message_count, round(sentiment, 6) AS sentiment, velocity >= greatest(2.0, 2.2 * avg(velocity) OVER (PARTITION BY stream_id)) AS is_spike_moment,
-  round(CASE WHEN spoke AND ag + di > 0 THEN (ag - di) / (ag + di) WHEN spoke AND message_count > 2 THEN sentiment END, 6) AS agreement_score FROM j""")
+SELECT stream_id, bucket_index, n_speakers::INT AS n_speakers, active_scene_type, message_count AS chat_message_count, round(sentiment, 9) AS sentiment, velocity >= greatest(2.0, 2.2 * avg(velocity) OVER (PARTITION BY stream_id)) AS is_spike_moment,
+  round(CASE WHEN spoke AND ag + di > 0 THEN (ag - di) / (ag + di) WHEN spoke AND message_count > 2 THEN sentiment END, 9) AS agreement_score FROM j""")
 def fusion_matrix(spark, d):
     m = _matrix(spark, d)
-    return m.select("stream_id", "bucket_index", F.size("active_speakers").alias("n_speakers"), "active_scene_type", "chat_message_count", r6("chat_sentiment_polarity").alias("sentiment"), "is_spike_moment", r6("agreement_score").alias("agreement_score"))
+    return m.select("stream_id", "bucket_index", F.size("active_speakers").alias("n_speakers"), "active_scene_type", "chat_message_count", r9("chat_sentiment_polarity").alias("sentiment"), "is_spike_moment", r9("agreement_score").alias("agreement_score"))
 
 
 @query()
@@ -315,11 +320,11 @@ m AS (SELECT c.*, s.p, s.h, contains(content, 'code') AS about, contains(content
 base AS (SELECT stream_id, coalesce(sum(p) / nullif(sum(h), 0), 0) AS baseline FROM m GROUP BY stream_id),
 w AS (SELECT *, greatest(0.0, start_sec - 3600) AS lo, end_sec + 3600 AS hi FROM seg),
 j AS (SELECT w.stream_id, segment_id, lo, hi, count(message_id) AS n_messages, coalesce(sum(p) / nullif(sum(h), 0), 0) AS mood, count(*) FILTER (about) AS mentions, count(*) FILTER (back) AS backlash FROM w LEFT JOIN m ON m.stream_id = w.stream_id AND timestamp_offset BETWEEN lo AND hi GROUP BY ALL)
-SELECT stream_id, segment_id, n_messages, mentions, round(mood, 6) AS mood, round(mood - baseline, 6) AS sentiment_delta, round(coalesce(backlash / nullif(n_messages, 0), 0), 6) AS backlash_index,
+SELECT stream_id, segment_id, n_messages, mentions, round(mood, 9) AS mood, round(mood - baseline, 9) AS sentiment_delta, round(coalesce(backlash / nullif(n_messages, 0), 0), 6) AS backlash_index,
 round(greatest(0, least(100, 100 * (0.4 * least(1.0, mentions / 50.0) + 0.3 * ((mood + 1) / 2) + 0.3 * greatest(0, 1 - coalesce(backlash / nullif(n_messages, 0), 0))))), 6) AS attention_score FROM j JOIN base USING (stream_id)""")
 def sponsor_impact(spark, d):
     out = sponsor.impact(V.chat(spark, d), _segments(spark, d), ["stream_id"], {"nord": ["nordvpn", "nord vpn", "code"]}, HOUR)
-    return out.select("stream_id", "segment_id", "n_messages", "mentions", r6("mood").alias("mood"), r6("sentiment_delta").alias("sentiment_delta"), r6("backlash_index").alias("backlash_index"), r6("attention_score").alias("attention_score"))
+    return out.select("stream_id", "segment_id", "n_messages", "mentions", r9("mood").alias("mood"), r9("sentiment_delta").alias("sentiment_delta"), r6("backlash_index").alias("backlash_index"), r6("attention_score").alias("attention_score"))
 
 
 @query()
@@ -341,12 +346,12 @@ def claims(spark, d):
     return knowledge.claims(V.speech(spark, d), ["stream_id", "segment_id"]).select("stream_id", "segment_id", "stance", "polarity", "predicate")
 
 
-@query(f"""WITH $VIEWS, {CLAIMS} SELECT stream_id, round(avg(polarity), 6) AS polarity, count(*) AS claims_count, count(DISTINCT attribute)::INT AS n_attributes,
+@query(f"""WITH $VIEWS, {CLAIMS} SELECT stream_id, round(avg(polarity), 9) AS polarity, count(*) AS claims_count, count(DISTINCT attribute)::INT AS n_attributes,
 CASE WHEN round(avg(polarity), 9) >= 0.35 THEN 'APPROVAL' WHEN round(avg(polarity), 9) <= -0.35 THEN 'DISAPPROVAL' ELSE 'NEUTRAL' END AS overall_stance FROM cl WHERE stance IS NOT NULL GROUP BY stream_id""")
 def belief_synthesis(spark, d):
     found = knowledge.claims(V.speech(spark, d), ["stream_id", "segment_id"]).withColumn("subject_entity", F.lit("all"))
     out = knowledge.beliefs(found, ["stream_id"])
-    return out.select("stream_id", r6("aggregate_polarity").alias("polarity"), "claims_count", F.size("sub_attributes").alias("n_attributes"), knowledge.stance_of(F.round("aggregate_polarity", 9)).alias("overall_stance"))
+    return out.select("stream_id", r9("aggregate_polarity").alias("polarity"), "claims_count", F.size("sub_attributes").alias("n_attributes"), knowledge.stance_of(F.round("aggregate_polarity", 9)).alias("overall_stance"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, text, regexp_extract(text, '{L.LEAK_CARD}', 0) AS card, regexp_extract(text, '{L.LEAK_EMAIL}', 0) AS mail, regexp_extract(text, '{L.LEAK_IP}', 0) AS ip FROM documents)
@@ -557,10 +562,10 @@ CROSS = ", ".join(f"('{k}', {v})" for k, v in L.CROSS_POLARITY.items())
 s AS (SELECT message_id, coalesce(avg(p), 0) AS s FROM (SELECT message_id, unnest(string_split(lower(content), ' ')) AS token FROM chat) LEFT JOIN lex USING (token) GROUP BY message_id),
 b AS (SELECT stream_id, platform, floor((u - min(u) OVER (PARTITION BY stream_id)) / {DAY})::BIGINT AS bucket_index, s FROM al JOIN s USING (message_id)),
 p AS (SELECT stream_id, bucket_index, platform, avg(s) AS m, count(*) AS n FROM b GROUP BY ALL)
-SELECT stream_id, bucket_index, sum(n)::BIGINT AS n_messages, count(*) AS n_platforms, round(max(m) - min(m), 6) AS spread, round(greatest(0, least(1, 1 - (max(m) - min(m)) / 2)), 6) AS agreement FROM p GROUP BY ALL HAVING sum(n) >= 3""")
+SELECT stream_id, bucket_index, sum(n)::BIGINT AS n_messages, count(*) AS n_platforms, round(max(m) - min(m), 9) AS spread, round(greatest(0, least(1, 1 - (max(m) - min(m)) / 2)), 9) AS agreement FROM p GROUP BY ALL HAVING sum(n) >= 3""")
 def sentiment_timeline(spark, d):
     t = costream.sentiment_timeline(_aligned(spark, d), ["stream_id"], width=DAY)
-    return t.select("stream_id", "bucket_index", "n_messages", "n_platforms", r6("spread").alias("spread"), r6("agreement").alias("agreement"))
+    return t.select("stream_id", "bucket_index", "n_messages", "n_platforms", r9("spread").alias("spread"), r9("agreement").alias("agreement"))
 
 
 @query()
