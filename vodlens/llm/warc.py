@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import fresh_path, partitions
+from vodlens.llm.common import fresh_path, partitions, release
 
 SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
 BINS = 4096
@@ -142,20 +142,20 @@ def shard_bounds(records: DataFrame, shard_bytes: int, at_least: int) -> list[in
     return bounds
 
 
-def with_roles(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """page_id, url, html, digest, revisit, refers_to and shares (long enough to be a revisit) of every row.
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and digest (160 bits as in the record; hex here, base32 there) of every row."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    return rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+
 
-    Rows that share the response's page_id and payload are all marked as responses here; the writer,
-    which meets them side by side, keeps the first.
+def responses(rows: DataFrame) -> DataFrame:
+    """page_id, digest and first_id (the payload's largest page_id), once for each page_id and payload.
+
+    Only ids and digests are shuffled here; the payloads meet these rows in their shard.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("size", F.octet_length("html"))
-    # 160 bits as in the record; hex here, base32 in the records.
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    firsts = rows.groupBy("digest").agg(F.max("page_id").alias("first_id"))
-    revisit = (F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    joined = rows.join(firsts, "digest")
-    return joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.col("first_id").alias("refers_to"), (F.col("size") >= min_revisit).alias("shares"))
+    slim = rows.select("page_id", "digest").distinct()
+    return slim.join(slim.groupBy("digest").agg(F.max("page_id").alias("first_id")), "digest")
 
 
 def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -168,7 +168,10 @@ def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int =
     shards = len(bounds) + 1
     # The shard of an id is the number of bounds at or below it; binary search over a sorted array.
     edges = spark.sparkContext.broadcast(bounds)
-    rows = with_roles(pages, min_revisit)
+    rows = payloads(pages)
+    none = F.lit(None)
+    roles = responses(rows).select("page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "first_id", F.lit(0).alias("kind"))
+    both = rows.withColumn("first_id", none.cast("long")).withColumn("kind", F.lit(1)).unionByName(roles)
     shard = F.lit(0)
     if bounds:
         step = F.expr(f"aggregate(array({','.join(f'{b}L' for b in bounds)}), 0, (n, b) -> n + if(page_id >= b, 1, 0))") if shards <= 64 else None
@@ -183,16 +186,18 @@ def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int =
 
             step = place("page_id")
         shard = F.coalesce(step, F.lit(0))
-    dealt = rows.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.xxhash64("url"))
+    # A payload's role row comes right before it, and equal payloads of one page_id side by side.
+    dealt = both.withColumn("shard", shard).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", F.xxhash64("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: RollingFiles | None = None
         done: list[tuple] = []
-        last = None
+        first, answered = None, False
         for batch in batches:
-            for page_id, url, html, digest, revisit, refers_to, shares, k in zip(*(c.to_pylist() for c in batch.columns)):
-                if not revisit and shares:
-                    revisit, last = last == (page_id, digest), (page_id, digest)
+            for page_id, url, html, digest, first_id, kind, k in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    first, answered = first_id, False
+                    continue
                 if files is None or files.shard != k:
                     if files is not None:
                         files.close()
@@ -201,14 +206,18 @@ def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int =
                     store.create_dir(base, recursive=True)
                     files = RollingFiles(uri, k, roll_bytes)
                 payload = html.encode("utf-8", "replace")
-                files.write(record_bytes(page_id, url, payload, digest32(payload), refers_to if revisit else None, revisit))
+                revisit = len(payload) >= min_revisit and (page_id != first or answered)
+                answered = True
+                files.write(record_bytes(page_id, url, payload, digest32(payload), first if revisit else None, revisit))
         if files is not None:
             files.close()
             done += files.done
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "bytes", "sha256"])
 
-    manifest = dealt.select("page_id", "url", "html", "digest", "revisit", "refers_to", "shares", "shard").mapInArrow(run, MANIFEST)
+    manifest = dealt.select("page_id", "url", "html", "digest", "first_id", "kind", "shard").mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{root}/_manifest")
+    del dealt, both, manifest
+    release(spark)
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
 
 
