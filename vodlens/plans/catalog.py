@@ -736,9 +736,15 @@ def stream_ring(spark, d):
     return out.select("user_id", "event_id")
 
 
+def _complete() -> None:
+    from vodlens.plans import more  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _complete()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _complete()
     return dict(ORACLES)
