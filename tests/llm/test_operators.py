@@ -188,7 +188,6 @@ def test_embedding_bounds_the_distance(spark):
 
 def test_one_of_each_group_stays(spark):
     d = docs(spark, (5, "one two three four"), (3, "one two three four"), (3, "one two three four"), (9, "other words are here now"), (None, "null id text alone"), (2, ""), (1, None))
-    assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(d).collect()) == [(0, "null id text alone"), (1, None), (3, "one two three four"), (9, "other words are here now")] or True
     assert sorted(r.doc_id or 0 for r in simhash.one_of_each(d).collect()) == [0, 1, 3, 9]
 
 
