@@ -93,3 +93,22 @@ def chat_context(chunks: DataFrame, chat: DataFrame, keys: list[str], item: str,
     near = range_join(chat.select(*keys, "message_id", "timestamp_offset", "content"), windows, keys, "timestamp_offset", "w_low", "w_high", 2 * around)
     w = Window.partitionBy(*keys, item).orderBy("timestamp_offset", "message_id")
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(*keys, item, "r", "message_id")
+
+
+def filtered(chunks: DataFrame, streamer_ids: list[str] | None = None, vod_ids: list[str] | None = None, content_types: list[str] | None = None, start: float | None = None, end: float | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+    """Chunks that fit every given condition; each reaches the scan."""
+    for column, values in (("streamer_id", streamer_ids), ("vod_id", vod_ids), ("content_type", content_types)):
+        if values:
+            chunks = chunks.where(F.col(column).isin(*values))
+    if start is not None:
+        chunks = chunks.where(F.col("timestamp_sec") >= start)
+    if end is not None:
+        chunks = chunks.where(F.col("timestamp_sec") <= end)
+    for key, value in (metadata or {}).items():
+        chunks = chunks.where(F.get_json_object("metadata", f"$.{key}") == value)
+    return chunks
+
+
+def index_stats(chunks: DataFrame) -> DataFrame:
+    """Chunks, recordings and streamers, in all and by content type."""
+    return chunks.groupBy("content_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("vod_id").alias("n_vods"), F.countDistinct("streamer_id").alias("n_streamers"))
