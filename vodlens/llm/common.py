@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,18 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes within remove their shuffle files as soon as they are done: nothing reads those again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage.
 
@@ -72,7 +85,8 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_freed(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -84,11 +98,5 @@ def drop_stored(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files behind a stored() table now, not at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

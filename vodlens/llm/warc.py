@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import fresh_path, partitions, release
+from vodlens.llm.common import fresh_path, partitions, shuffles_freed
 
 SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
 BINS = 4096
@@ -215,9 +215,8 @@ def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int =
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "bytes", "sha256"])
 
     manifest = dealt.select("page_id", "url", "html", "digest", "first_id", "kind", "shard").mapInArrow(run, MANIFEST)
-    manifest.write.parquet(f"{root}/_manifest")
-    del dealt, both, manifest
-    release(spark)
+    with shuffles_freed(spark):
+        manifest.write.parquet(f"{root}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
 
 
