@@ -67,7 +67,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Writes within remove their shuffle files as soon as they are done: nothing reads those again."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
         yield
