@@ -48,7 +48,7 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
     Both sides go through one shuffle by key and one ordered window; rows without a match keep nulls.
     """
     out = [c for c in left.columns]
-    l = left.select(F.struct(*out).alias("l"), *keys, F.col(left_ts).alias("a_ts"), F.lit(0).alias("a_side"), F.lit(None).cast(right.schema[tie].dataType).alias("a_tie"), F.lit(None).cast(F_struct(right, [right_ts, *take])).alias("r"))
+    l = left.select(F.struct(*out).alias("l"), *keys, F.col(left_ts).alias("a_ts"), F.lit(0).alias("a_side"), F.lit(None).cast(right.schema[tie].dataType).alias("a_tie"), F.lit(None).cast(struct_type(right, [right_ts, *take])).alias("r"))
     r = right.select(F.lit(None).cast(l.schema["l"].dataType).alias("l"), *keys, F.col(right_ts).alias("a_ts"), F.lit(1).alias("a_side"), F.col(tie).alias("a_tie"), F.struct(right_ts, *take).alias("r"))
     after = Window.partitionBy(*keys).orderBy("a_ts", "a_side", "a_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     both = l.unionByName(r).withColumn("n", F.first("r", ignorenulls=True).over(after)).where("a_side = 0")
@@ -56,7 +56,7 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
     return both.select("l.*", *[F.when(near, F.col(f"n.{c}")).alias(f"r_{c}") for c in [right_ts, *take]])
 
 
-def F_struct(df: DataFrame, columns: list[str]):
+def struct_type(df: DataFrame, columns: list[str]):
     """The struct type of some columns."""
     return df.select(F.struct(*columns).alias("s")).schema["s"].dataType
 

@@ -705,9 +705,8 @@ def lexicon_decay(spark, d):
 
 def _event_stream(spark, d):
     """The events as a stream that is read file by file."""
-    source = table(spark, d, "events")
-    path, _, name = f"{d}/events.parquet".rpartition("/")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", name).parquet(path) if source.inputFiles()[0].endswith("/events.parquet") else spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet")
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

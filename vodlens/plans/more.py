@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vodlens.functions import columns as C
 from vodlens.functions import lexicons as L
 from vodlens.operators import chat as chat_ops
-from vodlens.operators import clips, folds, fusion, islands, knowledge, media, search, store, temporal
+from vodlens.operators import clips, folds, knowledge, media, search, store, temporal
 from vodlens.plans import views as V
 from vodlens.plans.catalog import DAY, DENSE, HOUR, STANCE, TERMS, TURNS, _dense, _event_stream, _matrix, _turns, query, r6, r9
 from vodlens.plans.views import table
