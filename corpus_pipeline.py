@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vodlens.llm import bpe, decontaminate, line_dedup, quality, simhash
+from vodlens.llm import bpe, decontaminate, line_dedup, near_copies, quality
 from vodlens.llm.common import stored, table
 
 
@@ -23,8 +23,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,16 +172,20 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, distance: int = D
     return near_duplicates(docs, shingle, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, one for each component: the one of its smallest doc_id.
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, one for each component in found (doc_id, component_id): the one of its smallest doc_id.
 
     Rows that repeat that doc_id count as copies too: one of equal rows stays, the one whose text has
     the smallest hash where the texts differ.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
     # A null doc_id stands as the smallest long here, so that join and window share one exchange.
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("k_id")).distinct()
     rows = docs.withColumn("k_id", key).join(keep, "k_id")
     order = Window.partitionBy("k_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     return rows.withColumn("k_rank", F.row_number().over(order)).where("k_rank = 1").select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs, one for each component (see keep_one)."""
+    return keep_one(docs, near_duplicates(docs.select("doc_id", "text"), shingle, distance))
