@@ -11,7 +11,7 @@ and compares word by word. A document is contaminated where a run of RUN neighbo
 may be substituted. Seeds and items are broadcast only while their counted rows are at most
 MAX_BROADCAST; a larger benchmark is joined by shuffle, on the hashes and then on the rows' keys.
 
-Defined results: a null text counts as empty; items of under SPAN words are too short to tell and
+Defined results: a null text counts as empty; items of under LEAST words are too short to tell and
 match nothing; items without id or text match nothing; repeated rows of either table give the same
 single row for a (doc_id, item_id); empty tables give no rows; other columns are ignored (pairs) or
 kept (clean).
@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from vodlens.llm.common import ASCII_SPACE, ascii_lower, stored
 from vodlens.llm.line_dedup import row_key
 
-SPAN = 8
-#: Kept positions of each mask. Against one changed word in three, four or five, at even distances,
-#: at least one mask still fits between the changes.
-MASKS = [(0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7)]
+SPAN = 7
+#: Kept positions of each mask. Wherever the changes lie that verification allows, in a run of RUN words
+#: or in an item of any size from LEAST words, at least one mask fits between them (found and tested by
+#: enumeration).
+MASKS = [(0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 2, 4, 6), (0, 3, 4, 5, 6)]
+#: Words of the shortest item that counts.
+LEAST = 8
 RUN, SIMILARITY = 13, 0.8
 MAX_BROADCAST = 400_000
 
@@ -74,7 +77,7 @@ def verified(hits: DataFrame, run: int, similarity: float) -> DataFrame:
 def hits_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, similarity: float = SIMILARITY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """key (of the row), doc_id, item_id, item_words, equal_words: a row for each hit that holds."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("words"))
-    items = stored(items.where(F.size("words") >= SPAN).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "decon-items")
+    items = stored(items.where(F.size("words") >= LEAST).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "decon-items")
     seeds = stored(with_seeds(items, "item").select("item", "place", "seed").distinct(), "decon-seeds")
     texts = items.select("item", "item_id", F.col("words").alias("item_hashes"))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
