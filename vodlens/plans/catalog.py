@@ -108,7 +108,7 @@ def asof_reaction(spark, d):
 @query(f"""WITH $VIEWS, b AS (SELECT unnest(generate_series(0, 800)) AS k)
 SELECT stream_id, k::BIGINT AS bucket_index, count(*) AS n_segments, count(DISTINCT speaker_label) AS n_speakers FROM speech JOIN b ON greatest(k * {HOUR}, start_sec) < least((k + 1) * {HOUR}, end_sec) GROUP BY ALL""")
 def interval_overlap(spark, d):
-    out = temporal.overlap_buckets(V.speech(spark, d), "start_sec", "end_sec", HOUR).where("bucket_index <= 800")
+    out = temporal.overlap_buckets(V.speech(spark, d), "start_sec", "end_sec", HOUR)
     return out.groupBy("stream_id", F.col("bucket_index").cast("long").alias("bucket_index")).agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("speaker_label").alias("n_speakers"))
 
 
