@@ -16,3 +16,11 @@ def test_interval_overlap_has_every_hour(spark, tmp_path):
             want[r.stream_id, k] += 1
     got = {(r.stream_id, r.bucket_index): r.n_segments for r in catalog.queries()["interval_overlap"](spark, str(tmp_path)).collect()}
     assert got == dict(want) and max(k for _, k in got) > 800
+
+
+def test_caption_lines_hold_every_word(spark, data):
+    want = sorted(w for r in V.speech(spark, data).collect() for w in r.transcript.split())
+    lines = catalog.queries()["caption_lines"](spark, data).collect()
+    events = catalog.queries()["subtitle_events"](spark, data).collect()
+    assert sorted(w for r in lines for w in r.text.split()) == want
+    assert sorted(w for r in events for w in r.event.split(",,0,0,0,,", 1)[1].split()) == want

@@ -509,7 +509,7 @@ def transcript_chunks(spark, d):
 
 @query()
 def caption_lines(spark, d):
-    words = V.speech(spark, d).where("segment_id % 1000 < 2").select("stream_id", F.col("start_sec"), F.posexplode(F.slice(C.words(F.col("transcript")), 1, 40)).alias("k", "word"))
+    words = V.speech(spark, d).select("stream_id", F.col("start_sec"), F.posexplode(C.words(F.col("transcript"))).alias("k", "word"))
     timed = words.select("stream_id", (F.col("start_sec") + F.col("k") * 0.4).alias("s"), (F.col("start_sec") + F.col("k") * 0.4 + 0.3).alias("e"), "word")
     return folds.caption_lines(timed, ["stream_id"], "s", "e", "word")
 
