@@ -3,6 +3,7 @@
 from collections import defaultdict
 from math import ceil, floor
 
+from vodlens.operators import knowledge
 from vodlens.plans import catalog
 from vodlens.plans import views as V
 
@@ -24,3 +25,13 @@ def test_caption_lines_hold_every_word(spark, data):
     events = catalog.queries()["subtitle_events"](spark, data).collect()
     assert sorted(w for r in lines for w in r.text.split()) == want
     assert sorted(w for r in events for w in r.event.split(",,0,0,0,,", 1)[1].split()) == want
+
+
+def test_audit_reads_speech_and_claims(spark):
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    c = frame([(1, k, 100.0 * k, 100.0 * k + 50) for k in range(1, 6)], "s long, candidate_id long, start_sec double, end_sec double")
+    chat = frame([(1, 510.0, "bad")], "s long, t double, text string")
+    said = frame([(1, 90.0, 100.0, "Bad"), (1, 220.0, 230.0, "bad worse"), (1, 260.0, 290.0, "bad")], "s long, start_sec double, end_sec double, transcript string")
+    claims = frame([(1, 400.0, "DEBUNKED"), (1, 310.0, "VERIFIED_TRUE")], "s long, t double, verification_status string")
+    out = knowledge.policy_audit(c, chat, ["s"], ["bad", "worse"], speech=said, checked=claims)
+    assert {r.candidate_id: r.audit_status for r in out.collect()} == {1: "FLAGGED", 2: "REJECTED", 3: "PASSED", 4: "FLAGGED", 5: "FLAGGED"}

@@ -242,7 +242,7 @@ def short_packages(spark, d):
 
     c = clip_candidates(spark, d).select("stream_id", F.concat_ws("_", F.col("stream_id").cast("string"), "anchor_id").alias("candidate_id"), F.col("clip_start").alias("start_sec"), F.col("clip_end").alias("end_sec"), "narrative_arc", "virality")
     texts = V.chat(spark, d).select("stream_id", F.col("timestamp_offset").alias("t"), F.col("content").alias("text"))
-    a = knowledge.policy_audit(c, texts, ["stream_id"])
+    a = knowledge.policy_audit(c, texts, ["stream_id"], speech=V.speech(spark, d))
     factor = F.when(F.col("audit_status") == "FLAGGED", 0.85).when(F.col("audit_status") == "REJECTED", 0.30).otherwise(1.0)
     return a.select("candidate_id", "audit_status", "narrative_arc", r6(F.col("virality") * factor).alias("virality"))
 
