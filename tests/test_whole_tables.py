@@ -1,9 +1,9 @@
 """Queries that must read whole tables, against plain counts."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import ceil, floor
 
-from vodlens.operators import knowledge
+from vodlens.operators import knowledge, media
 from vodlens.plans import catalog
 from vodlens.plans import views as V
 
@@ -35,3 +35,17 @@ def test_audit_reads_speech_and_claims(spark):
     claims = frame([(1, 400.0, "DEBUNKED"), (1, 310.0, "VERIFIED_TRUE")], "s long, t double, verification_status string")
     out = knowledge.policy_audit(c, chat, ["s"], ["bad", "worse"], speech=said, checked=claims)
     assert {r.candidate_id: r.audit_status for r in out.collect()} == {1: "FLAGGED", 2: "REJECTED", 3: "PASSED", 4: "FLAGGED", 5: "FLAGGED"}
+
+
+def test_influence_counts_the_seeds_of_memes(spark, data):
+    authors = {r.message_id: r.author_name for r in V.chat(spark, data).collect()}
+    want = Counter(authors[r.seed] for r in catalog.queries()["meme_bursts"](spark, data).collect())
+    got = {r.author_name: r.origins for r in catalog.queries()["chatter_influence"](spark, data).collect()}
+    assert {a: n for a, n in got.items() if n} == dict(want)
+
+
+def test_latency_is_calibrated_on_all_days(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(media, "calibrate_latency", lambda speech, chat, *rest: seen.append(chat.count()))
+    catalog.queries()["latency_calibration"](spark, data)
+    assert seen == [V.chat(spark, data).count()]

@@ -285,7 +285,7 @@ def chatter_profiles(spark, d):
 @query()
 def chatter_influence(spark, d):
     chat, talk = V.chat(spark, d), V.speech(spark, d)
-    origins = chat.where("message_id % 50 = 0").select("author_name")
+    origins = chat.join(meme_bursts(spark, d).select(F.col("seed").alias("message_id")), "message_id").select("author_name")
     out = chat_ops.influence(chat, origins, chat_ops.responses(chat, talk, ["stream_id"], longest=1800.0))
     return out.withColumn("influence_score", r6("influence_score"))
 
