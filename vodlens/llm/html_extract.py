@@ -3,8 +3,8 @@
 A page becomes a tree: block-level elements, and under them a leaf for each text block (a run of
 inline content between block boundaries). Every node is in one of three hidden states: content,
 boilerplate, or container (holds both). Parent-child potentials P(child | parent) connect nodes; node
-potentials are products of P(feature | state) over tag, name tokens, text size, link density and
-punctuation. Messages go once up and once down, which gives each node's exact marginals; a text block
+potentials are products of P(feature | state) over tag, name tokens, text size, link density, punctuation and
+what the subtree holds (text, its share of the page, paragraphs, fields of forms). Messages go once up and once down, which gives each node's exact marginals; a text block
 is extracted where content is the likeliest. Both kinds of potentials are counted from labelled
 pages (see html_pages) with additive smoothing, so training is one pass in closed form.
 
@@ -14,8 +14,8 @@ comments and other markup that shows no text never make a block. br is white spa
 
 Defined results: null or empty html, and pages without content, give an empty text of 0 characters;
 broken markup is read leniently (open elements end with their parents; an unclosed comment or script
-runs to the end); very deep or long pages need no recursion; repeated rows give a row each; an empty
-table gives no rows; other columns are ignored.
+runs to the end, an open quote ends with its tag); pages of any depth and length take linear time and
+no recursion; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,33 +35,36 @@ from vodlens.llm.html_pages import labelled_pages
 CONTENT, BOILER, CONTAINER = 0, 1, 2
 STATES = 3
 SMOOTH = 0.3
+#: Exponents of the potentials by kind of feature: the kinds overlap, so that each counts in part (chosen on made pages
+#: of other seeds, with and without telling names).
+WEIGHTS = {"tag": 1.0, "mass": 0.2, "share": 0.2, "holds": 0.2, "name": 1.5, "in": 0.5, "size": 0.3, "ends": 1.0}
 #: Least potential of a transition that the labelled pages never show.
 RARE = 1e-6
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|[^<]+|<",
-    re.S,
-)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What may end a tag or hide its end: ">" and quoted attribute values.
+STOP = re.compile(r">|=\s*[\"']")
+COMMENT_END = re.compile(r"--!?>")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 LABEL = re.compile(r'data-label="([cb])"')
 PIECES = re.compile(r"[^a-z0-9]+")
 #: Fixed values of HTML: elements that make blocks, that have no content, and whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head button select option label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript textarea title svg iframe object math canvas audio video noframes".split())
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+SILENT = RAW | frozenset("template noscript svg object math canvas audio video".split())
 SILENT_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in SILENT}
 #: An element of the key's kind ends when one of its values begins, inside the nearest of the listed parents.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WITHIN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Elements of forms, and what a sentence ends in.
+FIELDS = frozenset("select button".split())
+SENTENCE_ENDS = ".!?…。！？"
 INLINE_BLOCKS = frozenset("button select option label ins".split())
 
 
 class Tree:
-    """Nodes in page order (parents first): parent, tag, names; leaves have a text and link share."""
+    """Nodes in page order (parents first): parent, tag, names; leaves have a text and the length of its links."""
 
     def __init__(self) -> None:
         self.parent: list[int] = [-1]
@@ -70,6 +73,7 @@ class Tree:
         self.text: list[str | None] = [None]
         self.linked: list[int] = [0]
         self.label: list[str] = [""]
+        self.inputs: Counter[int] = Counter()
 
     def add(self, parent: int, tag: str, names: str, text: str | None = None, linked: int = 0, label: str = "") -> int:
         self.parent.append(parent)
@@ -80,91 +84,171 @@ class Tree:
         self.label.append(label or self.label[parent])
         return len(self.tag) - 1
 
+    def add_up(self) -> None:
+        """Sums of every subtree: its text, linked text, paragraphs and fields of forms."""
+        n = len(self.tag)
+        self.mass, self.link_mass = [0 if t is None else len(t) for t in self.text], list(self.linked)
+        self.paragraphs, self.fields = [int(t == "p") for t in self.tag], [self.inputs[k] for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            self.mass[p] += self.mass[k]
+            self.link_mass[p] += self.link_mass[k]
+            self.paragraphs[p] += self.paragraphs[k]
+            self.fields[p] += self.fields[k]
+
+
+class Scanner:
+    """Markup by one forward scan: no place of the page is searched twice, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.lacking = page, 0, set()
+
+    def find(self, what: str, start: int) -> int:
+        """str.find that remembers what the rest of the page lacks."""
+        if what in self.lacking:
+            return -1
+        k = self.page.find(what, start)
+        if k < 0:
+            self.lacking.add(what)
+        return k
+
+    def silent_end(self, tag: str) -> int:
+        """Past the end tag of an element that shows no text; -1 if it has none."""
+        end = None if f"</{tag}" in self.lacking else SILENT_END[tag].search(self.page, self.at)
+        if end is None:
+            self.lacking.add(f"</{tag}")
+            return len(self.page) if tag in RAW else -1
+        return end.end()
+
+    def tag_end(self, start: int) -> tuple[int, int]:
+        """Where a tag's attributes end, and where the page goes on."""
+        size, at = len(self.page), start
+        while m := STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start(), m.end()
+            at = self.find(m[0][-1], m.end()) + 1
+            if not at:  # the quote stays open: the tag ends all the same
+                k = self.find(">", m.end())
+                return (size, size) if k < 0 else (k, k + 1)
+        return size, size
+
+    def tokens(self) -> Iterator[tuple[str, bool, str]]:
+        """("", False, text) for text, else (tag, closing, attributes)."""
+        page, size = self.page, len(self.page)
+        while self.at < size:
+            k = self.find("<", self.at)
+            if k != self.at:
+                k = size if k < 0 else k
+                yield "", False, page[self.at : k]
+                self.at = k
+            elif m := TAG.match(page, k + 1):
+                end, self.at = self.tag_end(m.end())
+                yield m[2].lower(), m[1] == "/", page[m.end() : end]
+            elif page.startswith("<!--", k):
+                end = COMMENT_END.search(page, k + 2)  # <!--> is a whole comment
+                self.at = end.end() if end else size
+            elif page[k + 1 : k + 2] in ("!", "?", "/"):
+                end = self.find(">", k + 1)
+                self.at = size if end < 0 else end + 1
+            else:
+                self.at = k + 1
+                yield "", False, "<"
+
+
+class OpenElements:
+    """The stack of open blocks, with the depths at which each tag is open."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.depths = [0], ["#root"], {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.depths.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def deepest(self, tags: tuple[str, ...]) -> int:
+        """The depth of the innermost open element with one of the tags; 0 for none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.nodes.pop()
+            self.depths[self.tags.pop()].pop()
+
 
 def parse(page: str, labels: bool = False) -> Tree:
-    tree = Tree()
-    open_nodes: list[int] = [0]
-    open_tags: list[str] = ["#root"]
+    tree, still_open, scanner = Tree(), OpenElements(), Scanner(page)
     run: list[str] = []
-    linked, in_link = 0, 0
+    linked = in_link = 0
 
     def flush() -> None:
         nonlocal linked, in_link
         if run:
             text = " ".join("".join(run).split())
             if text:
-                tree.add(open_nodes[-1], "#text", "", text, linked)
+                tree.add(still_open.nodes[-1], "#text", "", text, min(linked, len(text)))
             run.clear()
         linked = in_link = 0
 
-    def close_to(depth: int) -> None:
+    def close(depth: int) -> None:
         flush()
-        del open_nodes[depth:], open_tags[depth:]
-
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                text = html.unescape(piece) if "&" in piece else piece
-                run.append(text)
-                if in_link:
-                    linked += len(text)
-            continue
-        tag, closing, rest = tag.lower(), m[1] or m[4], (m[3] or m[6] or "")
-        if tag in SILENT and not closing:
-            if not rest.endswith("/") or tag not in ("svg", "math"):
-                end = SILENT_END[tag].search(page, at)
-                at = end.end() if end else size
+        still_open.close(depth)
+
+    for tag, closing, rest in scanner.tokens():
+        if not tag:
+            text = html.unescape(rest) if "&" in rest else rest
+            run.append(text)
+            if in_link:
+                linked += len(text)
+        elif tag in SILENT:
+            if not closing and not (rest.endswith("/") and tag in ("svg", "math")) and (end := scanner.silent_end(tag)) >= 0:
+                scanner.at = end
             run.append(" ")
-            continue
-        if tag == "a":
+        elif tag == "a":
             in_link = 0 if closing else 1
-            continue
-        if tag not in BLOCKS:
-            if tag == "br" or tag == "img":
+        elif tag not in BLOCKS:
+            if tag in ("br", "img"):
                 run.append(" ")
-            continue
-        if closing:
-            if tag in open_tags:
-                close_to(len(open_tags) - 1 - open_tags[::-1].index(tag))
+            elif tag == "input":
+                tree.inputs[still_open.nodes[-1]] += 1
+        elif closing:
+            if depth := still_open.deepest((tag,)):
+                close(depth)
             else:
                 flush()
-            continue
-        if tag not in INLINE_BLOCKS and "p" in open_tags:
-            k = len(open_tags) - 1 - open_tags[::-1].index("p")
-            close_to(k)
-        if tag in ENDS:
-            for k in range(len(open_tags) - 1, 0, -1):
-                if open_tags[k] in WITHIN[tag]:
-                    break
-                if open_tags[k] in ENDS[tag]:
-                    close_to(k)
-                    break
-        flush()
-        names = " ".join(x or y or z for x, y, z in NAMES.findall(rest)) if rest else ""
-        mark = LABEL.search(rest) if labels else None
-        node = tree.add(open_nodes[-1], tag, names.lower(), label=mark[1] if mark else "")
-        if tag not in VOID:
-            open_nodes.append(node)
-            open_tags.append(tag)
+        else:
+            if tag not in INLINE_BLOCKS and (depth := still_open.deepest(("p",))):
+                close(depth)
+            if tag in ENDS and (depth := still_open.deepest(ENDS[tag])) > still_open.deepest(WITHIN[tag]):
+                close(depth)
+            flush()
+            names = " ".join(x or y or z for x, y, z in NAMES.findall(rest)) if rest else ""
+            mark = LABEL.search(rest) if labels else None
+            node = tree.add(still_open.nodes[-1], tag, names.lower(), label=mark[1] if mark else "")
+            tree.inputs[node] += tag in FIELDS
+            if tag not in VOID:
+                still_open.push(node, tag)
     flush()
+    tree.add_up()
     return tree
 
 
+def density(linked: int, size: int) -> int:
+    share = linked / max(1, size)
+    return 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3
+
+
 def features(tree: Tree, k: int) -> list[str]:
+    """What is seen of a node: each begins with its kind."""
     if (text := tree.text[k]) is None:
-        out = [f"tag {tree.tag[k]}"]
+        mass = tree.mass[k]
+        out = [f"tag {tree.tag[k]} {bool(tree.names[k])}", f"mass {min(12, mass.bit_length())} {density(tree.link_mass[k], mass)}", f"share {round(8 * mass / max(1, tree.mass[0]))}"]
+        out.append(f"holds {min(4, tree.paragraphs[k])} {min(1, tree.fields[k])}")
         if tree.names[k]:
             out += [f"name {x}" for x in dict.fromkeys(PIECES.split(tree.names[k])) if len(x) > 1 and not x.isdigit()]
         return out
     size = len(text)
-    share = tree.linked[k] / max(1, size)
-    density = 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3
-    return [f"in {tree.tag[tree.parent[k]]}", f"size {min(9, size.bit_length())} {density}", f"ends {text[-1] in '.!?…' } {'.' in text or ',' in text}"]
+    return [f"in {tree.tag[tree.parent[k]]}", f"size {min(9, size.bit_length())} {density(tree.linked[k], size)}", f"ends {text[-1] in SENTENCE_ENDS} {'.' in text or ',' in text}"]
 
 
 class TreeModel:
@@ -175,7 +259,8 @@ class TreeModel:
         a = b = c = 0.0
         for f in feats:
             if x := self.logs.get(f):
-                a, b, c = a + x[0], b + x[1], c + x[2]
+                w = WEIGHTS[f[: f.index(" ")]]
+                a, b, c = a + w * x[0], b + w * x[1], c + w * x[2]
         top = max(a, b, c)
         return [math.exp(a - top), math.exp(b - top), math.exp(c - top)]
 

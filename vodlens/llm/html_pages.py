@@ -1,7 +1,9 @@
 """Labelled pages that the extraction model is trained on, made by rule.
 
 Regions carry the attribute data-label: c for main content, b for boilerplate; what lies inside
-inherits it, what has none only contains. Words, sizes, tags and class names vary by a fixed seed.
+inherits it, what has none only contains. Words, sizes, tags, nesting and class names vary by a fixed
+seed. On a third of the pages all names are made up, so that the model has to tell the regions by what
+they hold; articles may be a few words long, and every kind of boilerplate may stand inside them.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ SHARE_NAMES = ["share", "social", "sharing", "share-buttons", "social-links", "f
 
 
 class Maker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, invented: float = 0.0):
+        self.r, self.invented, self.plain_names = random.Random(seed), invented, True
+
+    def invent(self) -> str:
+        return "".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(3, 9)))
 
     def words(self, low: int, high: int) -> str:
         return " ".join(self.r.choice(WORDS) for _ in range(self.r.randint(low, high)))
@@ -37,8 +42,10 @@ class Maker:
         return text
 
     def name(self, names: list[str]) -> str:
-        if self.r.random() < 0.1:
+        if self.r.random() < 0.3:
             return ""
+        if not self.plain_names:
+            return f' class="{self.invent()}"'
         kind = "id" if self.r.random() < 0.3 else "class"
         more = f" {self.r.choice(['box', 'container', 'wrapper', 'block', 'row', 'inner', 'clearfix', 'section'])}" if self.r.random() < 0.3 and kind == "class" else ""
         return f' {kind}="{self.r.choice(names)}{more}"'
@@ -53,6 +60,8 @@ class Maker:
         name = self.name(names)
         while always_named and not name:
             name = self.name(names)
+        if self.r.random() < 0.15:
+            inner = f"<div{self.name(['inner', 'wrap', 'box', 'container', 'row'])}>{inner}</div>"
         return f'<{tag} data-label="b"{name}>{inner}</{tag}>'
 
     def menu(self) -> str:
@@ -87,42 +96,57 @@ class Maker:
         return self.boiler("form", FORM_NAMES, inner)
 
     def comments(self) -> str:
-        one = lambda: f"<{(t := self.r.choice(['div', 'li', 'article']))} class=\"comment\"><b>{self.words(1, 2)}</b><p>{self.prose(4, 60)}</p></{t}>"
-        inner = f"<h3>{self.words(1, 2)}</h3>" + "".join(one() for _ in range(self.r.randint(1, 5)))
-        return self.boiler(self.r.choice(["section", "div", "div", "ol"]), COMMENT_NAMES, inner, True)
+        said = lambda: self.r.choice([f"<b>{self.words(1, 2)}</b><p>{self.prose(2, 60)}</p>", f"<p>{self.prose(2, 60)}</p>", f"{self.words(1, 2)}: {self.prose(2, 40)}"])
+        one = lambda: f"<{(t := self.r.choice(['div', 'li', 'article', 'section']))}{self.name(COMMENT_NAMES)}>{said()}</{t}>"
+        head = f"<h3>{self.words(1, 2)}</h3>" * (self.r.random() < 0.6)
+        many = "".join(one() for _ in range(self.r.randint(1, 5))) if self.r.random() < 0.7 else "".join(f"<p>{self.prose(2, 50)}</p>" for _ in range(self.r.randint(1, 4)))
+        return self.boiler(self.r.choice(["section", "div", "div", "ol", "aside"]), COMMENT_NAMES, head + many, True)
 
     def share(self) -> str:
         return self.boiler(self.r.choice(["div", "ul", "p"]), SHARE_NAMES, " ".join(f'<a href="#">{self.words(1, 1)}</a>' for _ in range(3)), True)
 
+    def block(self) -> str:
+        """One block of an article."""
+        x = self.r.random()
+        if x < 0.72:
+            return f"<p>{self.prose()}</p>"
+        if x < 0.78:
+            return f"<h2>{self.words(2, 7)}</h2>"
+        if x < 0.84:
+            return "<ul>" + "".join(f"<li>{self.prose(3, 20)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>"
+        if x < 0.87:
+            return f"<blockquote><p>{self.prose(5, 40)}</p></blockquote>"
+        if x < 0.89:
+            return f"<pre>{self.words(4, 20)}</pre>"
+        if x < 0.92:
+            return "<table><tr><td>" + "</td><td>".join(self.words(1, 4) for _ in range(3)) + "</td></tr></table>"
+        if x < 0.94:
+            return f"<figure><figcaption>{self.words(3, 12)}</figcaption></figure>"
+        if x < 0.97:
+            return f"<div>{self.prose(10, 60)}</div>"
+        return f"<p><b>{self.words(4, 12)}.<br><p>{self.prose()}</p>"
+
+    def inside(self) -> str:
+        """Boilerplate that stands in an article."""
+        kinds = (self.comments, self.comments, self.advert, self.share, self.side, self.notice, self.form, self.menu, self.header, self.footer)
+        return self.r.choice(kinds)()
+
     def body(self) -> str:
-        parts = [f"<h1>{self.words(3, 10)}</h1>"] if self.r.random() < 0.85 else []
+        parts = [f"<h1>{self.words(3, 10)}</h1>"] if self.r.random() < 0.8 else []
         if parts and self.r.random() < 0.15:
             parts = [f"<header>{parts[0]}</header>"]
-        for _ in range(self.r.randint(1, 9)):
-            x = self.r.random()
-            if x < 0.68:
-                parts.append(f"<p>{self.prose()}</p>")
-            elif x < 0.73:
-                parts.append(f"<h2>{self.words(2, 7)}</h2>")
-            elif x < 0.78:
-                parts.append("<ul>" + "".join(f"<li>{self.prose(3, 20)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
-            elif x < 0.81:
-                parts.append(f"<blockquote><p>{self.prose(5, 40)}</p></blockquote>")
-            elif x < 0.83:
-                parts.append(f"<pre>{self.words(4, 20)}</pre>")
-            elif x < 0.85:
-                parts.append("<table><tr><td>" + "</td><td>".join(self.words(1, 4) for _ in range(3)) + "</td></tr></table>")
-            elif x < 0.88:
-                parts.append(f"<figure><figcaption>{self.words(3, 12)}</figcaption></figure>")
-            elif x < 0.91:
-                parts.append(f"<div>{self.prose(10, 60)}</div>")
-            elif x < 0.94:
-                parts.append(f"<p><b>{self.words(4, 12)}.<br><p>{self.prose()}</p>")
-            else:
-                parts.append(self.r.choice([self.advert, self.share, self.side, self.notice, self.form])())
-        return "".join(parts)
+        if self.r.random() < 0.15:  # a short article
+            return "".join(parts) + self.r.choice([f"<p>{self.words(1, 8)}</p>", f"<p>{self.prose(1, 8)}</p>", self.prose(1, 12), f"<div>{self.prose(2, 12)}</div>"])
+        blocks = [self.block() for _ in range(self.r.randint(1, 10))]
+        if self.r.random() < 0.25:  # parts of their own
+            cut = self.r.randint(0, len(blocks))
+            blocks = [*blocks[:cut], f"<{(t := self.r.choice(['section', 'div']))}{self.name(CONTENT_NAMES)}>{''.join(blocks[cut:])}</{t}>"]
+        for _ in range(self.r.choice([0, 1, 1, 2, 3])):
+            blocks.insert(self.r.randint(1, len(blocks)), self.inside())
+        return "".join([*parts, *blocks])
 
     def page(self) -> str:
+        self.plain_names = self.r.random() >= self.invented
         kind = self.r.choice(["article", "article", "article", "main", "div", "div", "section"])
         name = self.name(CONTENT_NAMES) if kind in ("div", "section") or self.r.random() < 0.3 else ""
         while kind in ("div", "section") and not name:
@@ -130,7 +154,8 @@ class Maker:
         content = f'<{kind} data-label="c"{name}>{self.body()}</{kind}>'
         after = [self.r.choice([self.comments, self.side, self.share, self.advert, self.form])() for _ in range(self.r.randint(0, 2))]
         if self.r.random() < 0.4:
-            content = f'<{self.r.choice(["div", "main", "section"])}{self.name(["wrapper", "container", "page", "layout", "row", "columns", "site", "main"])}>{content}{"".join(after)}</div>'
+            wrapper = self.r.choice(["div", "main", "section"])
+            content = f'<{wrapper}{self.name(["wrapper", "container", "page", "layout", "row", "columns", "site", "main"])}>{content}{"".join(after)}</{wrapper}>'
             after = []
         before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.side, self.form) if self.r.random() < 0.4]
         after += [f() for f in (self.side, self.comments, self.notice, self.advert, self.menu) if self.r.random() < 0.25]
@@ -139,6 +164,6 @@ class Maker:
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{''.join([*before, content, *after, *foot])}</body></html>"
 
 
-def labelled_pages(count: int = 1500, seed: int = 11) -> list[str]:
-    maker = Maker(seed)
+def labelled_pages(count: int = 3000, seed: int = 11, invented: float = 0.33) -> list[str]:
+    maker = Maker(seed, invented)
     return [maker.page() for _ in range(count)]
