@@ -2,6 +2,7 @@
 
 from itertools import combinations
 from math import ceil
+from random import Random
 
 import pytest
 
@@ -50,3 +51,43 @@ def test_run_with_two_changes(spark, max_broadcast):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"s{p}" for p in range(8)))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench, max_broadcast=max_broadcast).collect()}
     assert got == {(k, 1) for k, _ in rows} | {(k, 2) for k, _ in short}
+
+
+def aligned(doc, item):
+    """Brute force: some alignment has RUN neighbouring words (or the whole item) with enough of them equal."""
+    n = len(item)
+    span = min(D.RUN, n)
+    for diagonal in range(-n + 1, len(doc)):
+        equal = [0 <= diagonal + k < len(doc) and doc[diagonal + k] == w for k, w in enumerate(item)]
+        if n < D.LEAST:
+            if all(equal):
+                return True
+        elif sum(equal) >= n * D.SIMILARITY or any(sum(equal[s : s + span]) >= ceil(span * D.SIMILARITY) for s in range(n - span + 1)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("max_broadcast", [D.MAX_BROADCAST, 0])
+def test_recall_against_all_alignments(spark, max_broadcast):
+    """Items of 1 to 30 words in documents with up to a third of the words changed, moved and cut: every alignment is found."""
+    r = Random(8)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 31)} | {40: ["the"] * 20, 41: ["a", "b"] * 12}
+    docs = {}
+    for n, words in items.items():
+        for _ in range(12):
+            text = [w if r.random() < 0.8 else "x" for w in words]
+            cut = r.randrange(3)
+            docs[len(docs)] = [f"f{r.randrange(99)}" for _ in range(r.randrange(6))] + text[cut:] + ["end"] * r.randrange(3)
+        docs[len(docs)] = ["before", *words, "after"]
+    docs[len(docs)] = ["the"] * 300
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.contaminated(d, bench, max_broadcast=max_broadcast).collect()}
+    assert got == {(i, j) for i, w in docs.items() for j, v in items.items() if aligned(w, v)}
+
+
+def test_hits_are_distinct_before_they_are_compared(spark):
+    """A repetitive text against a repetitive item: as many comparisons as diagonals."""
+    d = spark.createDataFrame([(1, "the " * 400)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the " * 50)], "item_id long, text string")
+    assert D.hits_of(d, bench).count() <= 450

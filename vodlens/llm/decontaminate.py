@@ -5,20 +5,27 @@ neighbouring words: it hashes the words at its kept positions and ignores the ot
 survives a changed word wherever one mask ignores it. Every window of every benchmark item gives a
 hash for each mask; every window of every document is looked up among them.
 
-A hit fixes a diagonal (document position minus item position). Verification lays the item along it
-and compares word by word. A document is contaminated where a run of RUN neighbouring item words
-(the whole item, if it is shorter) stands in it with at least SIMILARITY of its words equal; the rest
-may be substituted. Seeds and items are broadcast only while their counted rows are at most
-MAX_BROADCAST; a larger benchmark is joined by shuffle, on the hashes and then on the rows' keys.
-
-Defined results: a null text counts as empty; items of under LEAST words are too short to tell and
-match nothing; items without id or text match nothing; repeated rows of either table give the same
-single row for a (doc_id, item_id); empty tables give no rows; other columns are ignored (pairs) or
-kept (clean).
+A hit fixes a diagonal (document position minus item position); hits are made distinct by document,
+item and diagonal before anything is compared, so that a repetitive item costs no more than its
+diagonals. Verification lays the item along the diagonal and compares word by word. A document is
+contaminated where a run of RUN neighbouring item words (the whole item, if it is shorter) stands in
+it with at least SIMILARITY of its words equal; the rest may be substituted. Items of under LEAST words
+are too short for the masks: they count where all their words stand in the document, by a hash of the
+whole item (the lengths that the benchmark has are looked up, and no other).
+
+The first pass keeps only row keys and diagonals. Texts are read again for rows with hits alone. Seeds,
+items and hits are broadcast only while their counted rows are at most MAX_BROADCAST; beyond that they
+are joined by shuffle, on the hashes and then on the rows' keys.
+
+Defined results: a null text counts as empty; items without id, text or words match nothing; repeated
+rows of either table give the same single row for a (doc_id, item_id); empty tables give no rows; other
+columns are ignored (pairs) or kept (clean).
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +37,7 @@ SPAN = 7
 #: or in an item of any size from LEAST words, at least one mask fits between them (found and tested by
 #: enumeration).
 MASKS = [(0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 2, 4, 6), (0, 3, 4, 5, 6)]
-#: Words of the shortest item that counts.
+#: Words of the shortest item that the masks seed; shorter ones match as a whole.
 LEAST = 8
 RUN, SIMILARITY = 13, 0.8
 MAX_BROADCAST = 400_000
@@ -74,26 +81,49 @@ def verified(hits: DataFrame, run: int, similarity: float) -> DataFrame:
     return laid.where(good).select("key", "doc_id", "item_id", "item_words", "equal_words")
 
 
+def run_hash(n: int, start: Column) -> Column:
+    """The hash of n neighbouring words."""
+    return F.xxhash64(F.lit(-n), *[F.get(F.col("words"), start + o) for o in range(n)])
+
+
+def with_whole(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """Like with_seeds, with a hash of each run of as many words as a short item has."""
+    parts = []
+    for n in lengths:
+        last = F.size("words") - n
+        hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), partial(run_hash, n))).otherwise(F.array().cast("array<bigint>"))
+        parts.append(F.transform(hashes, lambda h, i: F.struct(i.cast("int").alias("place"), h.alias("seed"))))
+    return rows.select(*keep, F.explode_outer(F.flatten(F.array(*parts))).alias("s")).select(*keep, "s.place", "s.seed")
+
+
+def seeds_and_runs(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    placed = with_seeds(rows, *keep)
+    return placed.unionByName(with_whole(rows, lengths, *keep)) if lengths else placed
+
+
 def hits_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, similarity: float = SIMILARITY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """key (of the row), doc_id, item_id, item_words, equal_words: a row for each hit that holds."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("words"))
-    items = stored(items.where(F.size("words") >= LEAST).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "decon-items")
-    seeds = stored(with_seeds(items, "item").select("item", "place", "seed").distinct(), "decon-seeds")
+    items = stored(items.where(F.size("words") > 0).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "decon-items")
+    short = items.where(F.size("words") < LEAST)
+    lengths = sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect())  # seven at most
+    seeds = with_seeds(items.where(F.size("words") >= LEAST), "item")
+    if lengths:
+        whole = F.coalesce(*[F.when(F.size("words") == n, run_hash(n, F.lit(0))) for n in lengths])
+        seeds = seeds.unionByName(short.select("item", F.lit(0).alias("place"), whole.alias("seed")))
+    seeds = stored(seeds.where("seed is not null").distinct().select(F.col("item").alias("s_item"), F.col("place").alias("s_place"), F.col("seed").alias("s_seed")), "decon-seeds")
+    rows = docs.select(row_key(id_col, text_col).alias("key"), word_hashes(F.col(text_col)).alias("words"))
+    placed = seeds_and_runs(rows, lengths, "key")
+    few = F.broadcast if seeds.count() <= max_broadcast else lambda df: df
+    found = placed.join(few(seeds), F.col("seed") == F.col("s_seed")).select("key.*", "s_item", (F.col("place") - F.col("s_place")).alias("diagonal"))
+    found = stored(found.distinct(), "decon-hits")
     texts = items.select("item", "item_id", F.col("words").alias("item_hashes"))
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
-    seeds = seeds.select(F.col("item").alias("s_item"), F.col("place").alias("s_place"), F.col("seed").alias("s_seed"))
-    small = seeds.count() <= max_broadcast
-    kept = ("key", "doc_id", "words") if small else ("key",)
-    placed = with_seeds(rows, *kept)
-    if not small:
-        found = placed.join(seeds, F.col("seed") == F.col("s_seed"))
-        found = found.select("key", "s_item", (F.col("place") - F.col("s_place")).alias("diagonal")).distinct()
-        hits = found.join(rows.dropDuplicates(["key"]), "key").join(texts, F.col("s_item") == F.col("item"))
-    else:
-        found = placed.join(F.broadcast(seeds), F.col("seed") == F.col("s_seed"))
-        found = found.withColumn("diagonal", F.col("place") - F.col("s_place"))
-        hits = found.join(F.broadcast(texts), F.col("s_item") == F.col("item"))
-    hits = hits.select("key", "doc_id", "words", "item_id", F.col("item_hashes").alias("item"), "diagonal")
+    if found.count() <= max_broadcast:
+        found = F.broadcast(found)
+    again = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    hits = again.join(found, (F.col("key.d1") == F.col("d1")) & (F.col("key.d2") == F.col("d2"))).join(few(texts), F.col("s_item") == F.col("item"))
+    # The generator keeps the optimizer from hashing the words anew for each word that is compared.
+    hits = hits.select("key", "doc_id", "item_id", F.col("item_hashes").alias("item"), "diagonal", F.explode_outer(F.array(word_hashes(F.col("text")))).alias("words"))
     return verified(hits, run, similarity)
 
 
