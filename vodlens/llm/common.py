@@ -63,6 +63,14 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    """Deletes all files of a glob pattern in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    for found in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) or ():
+        remove(spark, found.getPath().toString())
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Writes within remove their shuffle files as soon as they are done: nothing reads those again."""

@@ -1,28 +1,36 @@
 """WARC: a deterministic sharded writer and its reader.
 
-Writer: records are dealt to shards by page_id ranges of about SHARD_BYTES payload each, whose
-bounds come from a histogram, so that the same input always gives the same shards; a shard is sorted
-by page_id and rolled into a new file whenever its compressed size reaches ROLL_BYTES. Headers are
-generated anew from the payload (no header of the input is trusted): record id, digests and lengths.
-Record ids and dates are functions of the record, so a task that runs again writes the same bytes.
+Writer: records are sorted by (page_id, payload digest, hash of the url) and cut into shards of about
+SHARD_BYTES payload each. The cuts are exact size quantiles of that order: the slim keys are range-sorted
+once, their sizes added up, and the first key of each shard kept (one key for each SHARD_BYTES of
+payload, sent to the tasks). So shards follow from the records alone, not from the session's settings,
+ids far apart or equal are cut like any others, and only rows equal in all three keys stay together. A
+shard is streamed in its order and rolled into a new file whenever its compressed size reaches
+ROLL_BYTES. Headers are generated anew from the payload (no header of the input is trusted): record id,
+digests and lengths. Record ids and dates are functions of the record, so a task that runs again writes
+the same bytes.
 
 Commit: a task writes each file under a temporary name and renames it when it is complete; the last
 name follows from shard and file number, so a repeated or speculative task replaces a file by an
 equal one. What was written is listed in a manifest table (file, records, bytes, digest) beside the
-archives; only files of the manifest count, and the reader checks their digests.
+archives; only files of the manifest count, and the reader checks their digests. Temporary files that
+lost attempts leave behind go when the job is done.
 
 Equal payloads: of those of at least min_revisit bytes the record with the largest page_id is the
-response and the others are revisits of it; smaller payloads are all responses.
+response and the others are revisits of it; smaller payloads are all responses. Roles are told from
+slim keys; payloads found once need none, and those found more than HOT times meet theirs by broadcast
+(there are at most rows / HOT of them), so that no key's rows meet in one task.
 
 Defined results: null html is an empty payload; of rows that share the largest page_id and the
-payload one (by url, then row order) is the response and the others revisit it; a null page_id
-sorts first, and its revisits have a null refers_to; an empty table writes no archive and gives no
-rows; other columns are ignored.
+payload one (by the url's hash, then any of equal rows) is the response and the others revisit it; a
+null page_id sorts first, and its revisits have a null refers_to; an empty table writes no archive and
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -32,13 +40,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import fresh_path, partitions, shuffles_freed
+from vodlens.llm.common import drop_stored, fresh_path, partitions, remove_matching, shuffles_freed, stored
 
 SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
-BINS = 4096
+#: A small input is cut into about this many shards instead, of at least LEAST_BYTES each.
+LEAST_SHARDS, LEAST_BYTES = 64, 1 << 20
+#: Rows of a payload from which on its role is sent to all tasks.
+HOT = 100_000
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, records long, bytes long, sha256 string"
 
@@ -125,78 +137,114 @@ class RollingFiles:
             self.out, self.number = None, self.number + 1
 
 
-def shard_bounds(records: DataFrame, shard_bytes: int, at_least: int) -> list[int]:
-    """The first page_id of each shard but the first, from a histogram of BINS equal id ranges."""
-    low, high, total = records.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    if low is None or not total:
+Key = tuple[int, str, int]
+#: Stands for a null page_id in a key, before every long.
+NULL_ID = -(1 << 63) - 1
+
+
+def keys(pages: DataFrame) -> DataFrame:
+    """page_id, digest (160 bits as in the record; hex here, base32 there), h (of the url) and size of every row."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), _digest().alias("digest"), _h().alias("h"), size)
+
+
+def _digest() -> Column:
+    return F.sha1(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"))
+
+
+def _h() -> Column:
+    return F.xxhash64(F.col("url").cast("string"))
+
+
+def in_order(slim: DataFrame) -> DataFrame:
+    """The keys sorted over all partitions, with the partition's number and its running sum of sizes, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = batch.column("size").to_numpy().cumsum() + total
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(sums), pa.int32()), pa.array(sums, pa.int64())], [*batch.schema.names, "part", "upto"])
+
+    order = ("page_id", "digest", "h")
+    dealt = slim.repartitionByRange(partitions(slim.sparkSession), *order).sortWithinPartitions(*order)
+    return stored(dealt.mapInArrow(run, "page_id long, digest string, h long, size long, part int, upto long"), "warc-keys")
+
+
+def shard_bounds(ordered: DataFrame, shard_bytes: int, least_shards: int = LEAST_SHARDS) -> list[Key]:
+    """The first key of each shard but the first: exact quantiles of the sizes in the order of the keys."""
+    totals = {r.part: r.total for r in ordered.groupBy("part").agg(F.max("upto").alias("total")).collect()}
+    limit = min(shard_bytes, max(LEAST_BYTES, sum(totals.values()) // least_shards))
+    before, starts = 0, []
+    for part in sorted(totals):
+        starts.append((part, before))
+        before += totals[part]
+    if before <= limit:
         return []
-    width = max(1, -(-(high - low + 1) // BINS))
-    bins = records.where("page_id is not null").groupBy(F.floor((F.col("page_id") - low) / width).cast("long").alias("bin")).agg(F.sum("size").alias("size")).collect()
-    limit = min(shard_bytes, max(1, total // at_least))
-    bounds, filled = [], 0
-    for b in sorted(bins, key=lambda r: r.bin):
-        if filled and filled + b.size > limit:
-            bounds.append(low + b.bin * width)
-            filled = 0
-        filled += b.size
-    return bounds
+    offsets = ordered.sparkSession.createDataFrame(starts, "part int, before long")
+    place = F.floor((F.col("before") + F.col("upto") - F.col("size")) / F.lit(limit)).cast("long")
+    firsts = ordered.join(F.broadcast(offsets), "part").groupBy(place.alias("shard")).agg(F.min(F.struct("page_id", "digest", "h")).alias("first"))
+    found = sorted((NULL_ID if r.first.page_id is None else r.first.page_id, r.first.digest, r.first.h) for r in firsts.where("shard > 0").select("first").collect())
+    return list(dict.fromkeys(found))
 
 
-def payloads(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and digest (160 bits as in the record; hex here, base32 there) of every row."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    return rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+def repeated(ordered: DataFrame) -> DataFrame:
+    """digest, n and top (largest page_id, and ~h of its first key) of the payloads that several rows have."""
+    top = F.max(F.struct("page_id", F.bitwise_not("h").alias("h"))).alias("top")
+    return ordered.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), top).where("n > 1")
 
 
-def responses(rows: DataFrame) -> DataFrame:
-    """page_id, digest and first_id (the payload's largest page_id), once for each page_id and payload.
+def roles(ordered: DataFrame, payloads: DataFrame, hot: int = HOT) -> DataFrame:
+    """page_id, digest, h, first_id and lead of each distinct key whose payload other rows have too.
 
-    Only ids and digests are shuffled here; the payloads meet these rows in their shard.
+    first_id is the payload's largest page_id; lead marks the key whose first row is the response.
     """
-    slim = rows.select("page_id", "digest").distinct()
-    return slim.join(slim.groupBy("digest").agg(F.max("page_id").alias("first_id")), "digest")
+    slim = ordered.select("page_id", "digest", "h")
+    often = F.broadcast(payloads.where(F.col("n") > hot))
+    rare = slim.join(often.select("digest"), "digest", "left_anti").join(payloads.where(F.col("n") <= hot), "digest")
+    both = slim.join(often, "digest").unionByName(rare).distinct()
+    lead = F.col("page_id").eqNullSafe(F.col("top.page_id")) & (F.col("h") == F.bitwise_not("top.h"))
+    return both.select("page_id", "digest", "h", F.col("top.page_id").alias("first_id"), lead.alias("lead"))
+
+
+def shard_of(bounds: list[Key]) -> Column:
+    """The number of bounds at or below a row's key."""
+
+    def place(ids: pa.Array, digests: pa.Array, hashes: pa.Array) -> pa.Array:
+        rows = zip(ids.to_pylist(), digests.to_pylist(), hashes.to_pylist())
+        return pa.array([bisect.bisect_right(bounds, (NULL_ID if i is None else i, d, h)) for i, d, h in rows], pa.int32())
 
+    return F.arrow_udf(place, "int")("page_id", "digest", "h") if bounds else F.lit(0)
 
-def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+
+def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_shards: int = LEAST_SHARDS, hot: int = HOT) -> DataFrame:
     """Writes the archives under root (in the shared folder) and returns the manifest table."""
     spark = pages.sparkSession
     root = root or fresh_path(spark, "warc")
     uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
-    bounds = shard_bounds(sized, shard_bytes, partitions(spark))
+    ordered = in_order(keys(pages))
+    bounds = shard_bounds(ordered, shard_bytes, least_shards)
     shards = len(bounds) + 1
-    # The shard of an id is the number of bounds at or below it; binary search over a sorted array.
-    edges = spark.sparkContext.broadcast(bounds)
-    rows = payloads(pages)
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html, _digest().alias("digest"), _h().alias("h"))
     none = F.lit(None)
-    roles = responses(rows).select("page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "first_id", F.lit(0).alias("kind"))
-    both = rows.withColumn("first_id", none.cast("long")).withColumn("kind", F.lit(1)).unionByName(roles)
-    shard = F.lit(0)
-    if bounds:
-        step = F.expr(f"aggregate(array({','.join(f'{b}L' for b in bounds)}), 0, (n, b) -> n + if(page_id >= b, 1, 0))") if shards <= 64 else None
-        if step is None:
-            import bisect
-
-            @F.pandas_udf("int")
-            def place(ids):
-                import pandas as pd
-
-                return pd.Series([0 if x is None or x != x else bisect.bisect_right(edges.value, int(x)) for x in ids])
-
-            step = place("page_id")
-        shard = F.coalesce(step, F.lit(0))
-    # A payload's role row comes right before it, and equal payloads of one page_id side by side.
-    dealt = both.withColumn("shard", shard).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", F.xxhash64("url"))
+    payloads = stored(repeated(ordered), "warc-payloads")
+    told = roles(ordered, payloads, hot).withColumn("url", none.cast("string")).withColumn("html", none.cast("string")).withColumn("kind", F.lit(0))
+    both = rows.withColumn("first_id", none.cast("long")).withColumn("lead", none.cast("boolean")).withColumn("kind", F.lit(1)).unionByName(told)
+    # A key's role row comes right before its rows. Shards go to partitions by their number.
+    dealt = both.withColumn("shard", shard_of(bounds))
+    places = min(shards, max(partitions(spark), 10_000))
+    dealt = dealt.repartitionById(places, F.pmod("shard", F.lit(places))).sortWithinPartitions("shard", "page_id", "digest", "h", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: RollingFiles | None = None
         done: list[tuple] = []
-        first, answered = None, False
+        told: tuple = ()
+        answered, first, lead = False, None, False
         for batch in batches:
-            for page_id, url, html, digest, first_id, kind, k in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, digest, h, first_id, leads, kind, k in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    first, answered = first_id, False
+                    told, first, lead, answered = (page_id, digest, h), first_id, leads, False
                     continue
                 if files is None or files.shard != k:
                     if files is not None:
@@ -206,7 +254,8 @@ def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int =
                     store.create_dir(base, recursive=True)
                     files = RollingFiles(uri, k, roll_bytes)
                 payload = html.encode("utf-8", "replace")
-                revisit = len(payload) >= min_revisit and (page_id != first or answered)
+                shared = told == (page_id, digest, h)
+                revisit = shared and len(payload) >= min_revisit and (answered or not lead)
                 answered = True
                 files.write(record_bytes(page_id, url, payload, digest32(payload), first if revisit else None, revisit))
         if files is not None:
@@ -214,9 +263,12 @@ def write_archives(pages: DataFrame, root: str | None = None, min_revisit: int =
             done += files.done
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "bytes", "sha256"])
 
-    manifest = dealt.select("page_id", "url", "html", "digest", "first_id", "kind", "shard").mapInArrow(run, MANIFEST)
+    manifest = dealt.select("page_id", "url", "html", "digest", "h", "first_id", "lead", "kind", "shard").mapInArrow(run, MANIFEST)
     with shuffles_freed(spark):
         manifest.write.parquet(f"{root}/_manifest")
+    drop_stored(ordered)
+    drop_stored(payloads)
+    remove_matching(spark, f"{uri}/_temporary-*")
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
 
 
