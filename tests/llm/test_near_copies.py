@@ -64,3 +64,32 @@ def test_stage_on_the_smallest_documents(spark, data):
 
 def test_chance_of_a_miss():
     assert (1 - near_copies.SIMILARITY**near_copies.ROWS) ** near_copies.BANDS < 1e-4
+
+
+def test_all_pairs_within_cells(spark, monkeypatch):
+    """Copies of one text that are each too far from most others: blocks of a cell, of one and of many."""
+    from vodlens.llm.components import components
+
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(80)]
+    texts = {}
+    for k in range(120):
+        copy = list(base)
+        for _ in range(r.randrange(3)):
+            copy[r.randrange(80)] = f"x{r.randrange(999)}"
+        texts[k] = " ".join(copy)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    rows = spark.createDataFrame([(k % 2, k, len(sets[k]), t) for k, t in texts.items()], "cell long, node long, n int, text string")
+    for block_sets in (1_024, 17):
+        found = near_copies._within_cells(rows.select("cell", "node", "n"), rows.select("node", "text"), 5, 0.8, block_sets, 10**9)
+        roots = {x.node: x.root for x in components(found).collect()}
+        for cell in (0, 1):
+            mine = {k: texts[k] for k in texts if k % 2 == cell}
+            assert {roots.get(k, k) for k in mine} == expected(mine)
+
+
+def test_shared_counts():
+    r = random.Random(6)
+    sets = [near_copies.np.unique(near_copies.np.array([r.randrange(60) for _ in range(r.randrange(1, 40))], near_copies.np.uint64)) for _ in range(30)]
+    got = near_copies.shared_counts(sets, width=7)
+    assert all(got[i][j] == len({*a.tolist()} & {*b.tolist()}) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)

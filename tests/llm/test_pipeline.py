@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from test_llm_queries import fingerprint
+from test_near_copies import expected
 from vodlens.llm import quality
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -53,18 +53,7 @@ def test_lines(stages):
 
 
 def test_copies(stages):
-    marks = {i: fingerprint(r.text or "") for i, r in stages[1].items()}
-    left, kept = set(marks), set()
-    while left:
-        group, edge = set(), [min(left)]
-        kept.add(min(left))
-        while edge:
-            i = edge.pop()
-            if i in left:
-                left.discard(i)
-                group.add(i)
-                edge += [j for j in left if (marks[i] ^ marks[j]).bit_count() <= 3]
-    assert set(stages[2]) == kept
+    assert set(stages[2]) == expected({i: r.text for i, r in stages[1].items()})
 
 
 def test_leaks(spark, data, stages):

@@ -39,28 +39,35 @@ CELL = 4_096
 EVEN = 0x5555555555555555
 
 
-def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The SimHash of one text, as a signed 64-bit number."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        digest, seed = xxhash.xxh64_intdigest, SEED
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    packed = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-shingle])).tolist()
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(packed), 1 << 15):  # bounded memory for very long texts
-        part = packed[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
+        part = hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(packed), bitorder="little")
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
+def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The SimHash of one text, as a signed 64-bit number."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
