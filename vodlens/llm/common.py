@@ -100,8 +100,36 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt to as many partitions by its keys as stored_sorted() has buckets."""
+    return df.repartition(partitions(df.sparkSession), *keys)
+
+
+def stored_sorted(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like stored(), for a table that is dealt() by the keys, sorted by them: joins of such tables on the keys move no rows.
+
+    A union has to be of their plain() form: Spark 4.1 takes one of such tables for dealt by its keys,
+    although it reads its parts one after another, and leaves equal keys in several groups.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    listed = path.rpartition("/")[2].replace("-", "_")
+    with shuffles_freed(spark):
+        df.write.bucketBy(partitions(spark), *keys).sortBy(*keys).option("path", path).saveAsTable(listed)
+    out = spark.table(listed)
+    out.stored_path, out.stored_table = path, listed
+    return out
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The files of a stored_sorted() table, without its buckets."""
+    return df.sparkSession.read.schema(df.schema).parquet(df.stored_path)
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Removes the files of a stored() table once nothing reads it any more."""
+    """Removes the files of a stored() or stored_sorted() table once nothing reads it any more."""
+    if listed := getattr(df, "stored_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {listed}")
     if path := getattr(df, "stored_path", None):
         remove(df.sparkSession, path)
 

@@ -1,15 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes; DataFrame functions only.
 
-A run is a table of (key, documents), range-partitioned and sorted by the key of a line. A batch of
-documents is counted, merged against the runs, and added as a run of level 0. When a level holds
-FANOUT runs they are compacted into one run of the next level, so n batches leave O(log n) runs and
-every count is rewritten O(log n) times. Only hashes and counts are kept, never lines.
+A run is a table of (key, documents), dealt to buckets by key and sorted in them, so that a batch meets
+the runs in sorted merges that move none of their rows. Each new batch of lines merge-anti-joins the runs
+and adds its own: what it leaves out are the keys that some run has closed already, which need no
+further count. When a
+level holds FANOUT runs they are merged into one run of the next level, so n batches leave O(log n)
+runs and every count is rewritten O(log n) times. Only hashes and counts are kept, never lines.
 
 Two uses of the runs:
-* LineRuns.add() takes a batch, anti-joins its lines with the runs and tells the new ones (first
-  come, first kept), then adds the batch's own run;
-* drop_frequent_lines() adds all batches and drops, everywhere, each line whose key is in at least
-  min_docs documents.
+* LineRuns.add() takes a batch of documents, anti-joins its lines with all keys of the runs and tells
+  the new ones (first come, first kept), then adds the batch's own run;
+* drop_frequent_lines() reads its documents once, counts their keys by batch, feeds the batches to the
+  runs (a key is closed at min_docs documents) and drops, everywhere, each line whose key is in at
+  least min_docs documents of all batches together.
 
 A key is a line without the ASCII white space at both ends and with A-Z lower-cased; in the runs it
 is a 128-bit value (two xxhash64 over differently marked keys), so that equal values mean equal
@@ -24,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import ASCII_SPACE, ascii_lower, drop_stored, stored
+from vodlens.llm.common import ASCII_SPACE, ascii_lower, dealt, drop_stored, plain, stored, stored_sorted
 
 FANOUT = 4
-BATCHES = 2
+#: More than FANOUT, so that levels fill and are merged.
+BATCHES = 9
 
 
 def line_key(line: Column) -> Column:
@@ -53,38 +57,51 @@ def keys_of(text: Column, min_chars: int) -> Column:
     return F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), key_hash))
 
 
+def key_counts(docs: DataFrame, text_col: str, min_chars: int, *by: Column) -> DataFrame:
+    """h1, h2 and n (documents), for each value of `by` apart."""
+    keys = docs.select(*by, F.explode(keys_of(F.col(text_col), min_chars)).alias("key"))
+    names = [c for c in keys.columns if c != "key"]
+    return keys.groupBy(*names, F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
+
+
 class LineRuns:
-    """The levels of runs; each run is a stored table of h1, h2 and n (documents)."""
+    """The levels of runs; each run is a sorted table of h1, h2 and n (documents).
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+    closed: from how many documents on a key of a run is counted no further.
+    """
 
-    def count(self, docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-        keys = docs.select(F.explode(keys_of(F.col(text_col), min_chars)).alias("key"))
-        return keys.groupBy(F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, closed: int | None = None):
+        self.spark, self.fanout, self.closed = spark, fanout, closed
+        self.levels: list[list[DataFrame]] = []
 
-    def _store(self, counts: DataFrame) -> DataFrame:
-        return stored(counts.sortWithinPartitions("h1", "h2"), "line-run")
+    def _runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def merged(self) -> DataFrame:
         """All runs as one table of counts."""
-        runs = [run for level in self.levels for run in level]
-        return self._merge(runs)
+        return self._merge(self._runs())
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long")
         if len(runs) == 1:
             return runs[0]
-        union = runs[0]
+        union = plain(runs[0])
         for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            union = union.unionByName(plain(run))
+        return dealt(union, "h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+
+    def _without(self, counts: DataFrame, least: int) -> DataFrame:
+        """The batch's rows whose keys no run holds with `least` documents: a merge anti-join with each run."""
+        for run in self._runs():
+            counts = counts.join(run.where(F.col("n") >= least).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return counts
 
     def append(self, counts: DataFrame) -> None:
-        """Adds a run to level 0 and compacts each level that is full."""
-        run, level = self._store(counts), 0
+        """Adds a batch's keys, but for closed ones, as a run of level 0 and compacts each level that is full."""
+        rest = dealt(counts, "h1", "h2")
+        rest = rest if self.closed is None else self._without(rest, self.closed)
+        run, level = stored_sorted(rest, "line-run", "h1", "h2"), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
@@ -92,16 +109,15 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             full, self.levels[level] = self.levels[level], []
-            run = self._store(self._merge(full))
+            run = stored_sorted(self._merge(full), "line-run", "h1", "h2")
             for old in full:
                 drop_stored(old)
             level += 1
 
     def add(self, docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> DataFrame:
         """Adds a batch and returns its keys (h1, h2, n) that no earlier batch had."""
-        counts = stored(self.count(docs, text_col, min_chars), "line-batch")
-        seen = self.merged()
-        fresh = stored(counts.join(seen.select("h1", "h2"), ["h1", "h2"], "left_anti"), "line-fresh")
+        counts = stored_sorted(dealt(key_counts(docs, text_col, min_chars), "h1", "h2"), "line-batch", "h1", "h2")
+        fresh = stored(self._without(counts, 0), "line-fresh")
         self.append(counts)
         drop_stored(counts)
         return fresh
@@ -120,12 +136,14 @@ def with_lines_split(docs: DataFrame, min_docs: int, min_chars: int = 1, batches
     """docs with l_n (lines), l_dropped (lines that go) and l_kept (the text that stays)."""
     spark = docs.sparkSession
     d1 = row_key(id_col, text_col)
-    runs = LineRuns(spark)
+    batch = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(batches)).cast("int").alias("batch")
+    counts = stored(key_counts(docs, text_col, min_chars, batch), "line-counts", "batch")
+    runs = LineRuns(spark, closed=min_docs)
     for k in range(batches):
-        batch = docs if batches == 1 else docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(batches)) == k)
-        runs.append(runs.count(batch, text_col, min_chars))
+        runs.append(counts.where(F.col("batch") == k).select("h1", "h2", "n"))
     frequent = stored(runs.frequent(min_docs), "line-frequent")
     runs.drop()
+    drop_stored(counts)
     held = docs.select(d1.alias("d"), F.explode(keys_of(F.col(text_col), min_chars)).alias("key")).select("d", "key.h1", "key.h2")
     # Rows that are equal have equal keys, so one list for each row key serves them all.
     hits = held.join(frequent, ["h1", "h2"]).groupBy("d.d1", "d.d2").agg(F.collect_set(F.struct("h1", "h2")).alias("l_hits"))
