@@ -174,12 +174,13 @@ def fusion_highlights(spark, d):
 
 @query()
 def fusion_export(spark, d):
-    return fusion.flat_export(_matrix(spark, d))
+    m = fusion.flat_export(_matrix(spark, d))
+    return m.withColumns({c: r9(c) for c in ("chat_velocity_per_sec", "chat_sentiment_polarity", "agreement_score")})
 
 
 @query()
 def training_triples(spark, d):
-    return fusion.training_triples(_matrix(spark, d))
+    return fusion.training_triples(_matrix(spark, d).withColumn("chat_sentiment_polarity", r6("chat_sentiment_polarity")))
 
 
 # ---- islands and change detection --------------------------------------------------------------
@@ -447,7 +448,7 @@ def label_centroid_match(spark, d):
 
 @query()
 def hash_embeddings(spark, d):
-    docs = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text")
+    docs = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text")
     e = search.embedded(docs, "chunk_id", "text")
     return e.select("chunk_id", r6(C.norm(F.col("embedding"))).alias("norm"))
 
@@ -736,7 +737,9 @@ def stream_ring(spark, d):
 
 
 def _complete() -> None:
-    from vodlens.plans import more  # noqa: F401  registers its queries
+    from vodlens.plans import more, oracles  # noqa: F401  more registers its queries
+
+    ORACLES.update(oracles.ORACLES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
