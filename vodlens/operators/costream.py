@@ -41,8 +41,8 @@ def message_sentiment(content):
 
 def sentiment_timeline(aligned: DataFrame, keys: list[str], platform: str = "platform", channel: str = "channel_id", width: float = 10.0, least: int = 3, diverge: float = 0.75) -> DataFrame:
     """Per bucket: each platform's mean sentiment, their spread, agreement and divergence."""
-    start = F.min("unified_ts").over(Window.partitionBy(*keys))
-    rows = aligned.withColumn("s", message_sentiment(F.col("content"))).withColumn("bucket_index", F.floor((F.col("unified_ts") - start) / width).cast("long"))
+    start = aligned.groupBy(*keys).agg(F.min("unified_ts").alias("first"))
+    rows = aligned.withColumn("s", message_sentiment(F.col("content"))).join(start, keys).withColumn("bucket_index", F.floor((F.col("unified_ts") - F.col("first")) / width).cast("long"))
     per = rows.groupBy(*keys, "bucket_index", platform).agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
     out = per.groupBy(*keys, "bucket_index").agg(F.sum("n").alias("n_messages"), F.count(F.lit(1)).alias("n_platforms"), (F.max(F.col("s") / F.col("n")) - F.min(F.col("s") / F.col("n"))).alias("spread"))
     out = out.where(F.col("n_messages") >= least)
@@ -53,6 +53,12 @@ def agreement_summary(timeline: DataFrame, keys: list[str]) -> DataFrame:
     return timeline.groupBy(*keys).agg(F.avg("agreement").alias("mean_agreement"), F.sum(F.col("divergence_detected").cast("long")).alias("n_divergent"), F.count(F.lit(1)).alias("n_points"))
 
 
+def most_divergent(timeline: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """The points of each key with the widest spread (ties: earlier)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("spread", 9)), "bucket_index")
+    return timeline.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def cascade(aligned: DataFrame, token: str, channel: str = "channel_id", k: int = 3, within: float = 10.0) -> DataFrame:
     """When a word arrives in each channel, and how long after the first."""
     hits = aligned.where(F.array_contains(C.words(F.lower("content")), token.lower()))

@@ -133,16 +133,21 @@ def decayed(state: DataFrame, now: Column, half: float = 14.0, mark: float = 0.2
     return out.where(F.col("decayed_confidence") >= prune).withColumn("status", F.when(F.col("decayed_confidence") < mark, "DECAYED").otherwise("ACTIVE"))
 
 
-def centroid_match(vectors: DataFrame, centroids: DataFrame, item: str, vec: str, threshold: float = 0.75, max_centroids: int = 10_000) -> DataFrame:
+def centroid_match(vectors: DataFrame, centroids: DataFrame, item: str, vec: str, threshold: float = 0.75, block: int = 10_000) -> DataFrame:
     """The most similar centroid of each vector (ties: smaller id), known if above its threshold.
 
-    Centroids are a set of enrolled profiles; they are broadcast only if there are at most max_centroids.
+    Centroids (enrolled profiles) come as arrays of about `block`, each in one broadcast row, and the best
+    one is found within the vector's own row: no pair is ever a row, and no vector is moved.
     """
-    if centroids.count() > max_centroids:
-        raise ValueError("too many centroids to compare each vector with all of them; partition the profiles")
-    pairs = vectors.select(item, F.col(vec).alias("v")).join(F.broadcast(centroids.select("centroid_id", "centroid")), how="cross")
-    best = pairs.withColumn("sim", C.cosine(F.col("v"), F.col("centroid"))).groupBy(item).agg(F.max_by(F.struct("centroid_id", "sim"), F.struct("sim", -F.col("centroid_id"))).alias("m"))
-    return best.select(item, "m.centroid_id", "m.sim", (F.col("m.sim") >= threshold).alias("is_known"))
+    blocks = -(-centroids.count() // block)
+    out = vectors.select(item, F.col(vec).alias("v"), F.lit(None).cast("struct<sim:double,low:bigint>").alias("best"))
+    for k in range(blocks):
+        mine = centroids.where(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)) == k)
+        held = mine.agg(F.collect_list(F.struct(F.col("centroid_id").cast("long").alias("id"), "centroid")).alias("held"))
+        scored = F.transform("held", lambda c: F.struct(C.cosine(F.col("v"), c["centroid"]).alias("sim"), (-c["id"]).alias("low")))
+        out = out.crossJoin(F.broadcast(held)).select(item, "v", F.greatest("best", F.array_max(scored)).alias("best"))
+    found = out.where("best is not null")
+    return found.select(item, (-F.col("best.low")).cast(centroids.schema["centroid_id"].dataType).alias("centroid_id"), F.col("best.sim").alias("sim"), (F.col("best.sim") >= threshold).alias("is_known"))
 
 
 def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:

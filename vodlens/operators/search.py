@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vodlens.functions import columns as C
+from vodlens.plans.session import checkpointed
 
 
 def postings(docs: DataFrame, item: str, text: str) -> DataFrame:
@@ -26,11 +27,14 @@ def equals(term: str):
 def bm25(docs: DataFrame, item: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """item and score of every document with a query term; repeated query terms count again.
 
-    Only the query's terms leave the scan: one pass makes lengths and counts, and one global sum follows.
+    Documents are read and cut into words once: lengths and counts of the query's terms, all integers,
+    are checkpointed; the global sums and the scores come from those.
     """
     terms = sorted(set(query))
-    tokens = docs.select(item, C.index_tokens(F.col(text)).alias("t"))
-    counted = tokens.select(item, F.size("t").alias("dl"), *[F.size(F.filter("t", equals(q))).alias(f"tf{k}") for k, q in enumerate(terms)])
+    names = ["dl", *(f"tf{k}" for k in range(len(terms)))]
+    # The words are bound as a lambda variable, or they would be cut anew for each term.
+    counts = F.transform(F.array(C.index_tokens(F.col(text))), lambda t: F.struct(F.size(t).alias("dl"), *[F.size(F.filter(t, equals(q))).alias(f"tf{k}") for k, q in enumerate(terms)]))
+    counted = checkpointed(docs.select(item, F.inline(counts)).toDF(item, *names))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

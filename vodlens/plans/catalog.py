@@ -105,8 +105,8 @@ def asof_reaction(spark, d):
     return out.select("event_id", "user_id", r6("t").alias("t"), "r_event_id", r6("r_t").alias("r_t"))
 
 
-@query(f"""WITH $VIEWS, b AS (SELECT unnest(generate_series(0, 800)) AS k)
-SELECT stream_id, k::BIGINT AS bucket_index, count(*) AS n_segments, count(DISTINCT speaker_label) AS n_speakers FROM speech JOIN b ON greatest(k * {HOUR}, start_sec) < least((k + 1) * {HOUR}, end_sec) GROUP BY ALL""")
+@query(f"""WITH $VIEWS, b AS (SELECT *, unnest(generate_series(floor(start_sec / {HOUR})::BIGINT, ceil(end_sec / {HOUR})::BIGINT)) AS k FROM speech)
+SELECT stream_id, k AS bucket_index, count(*) AS n_segments, count(DISTINCT speaker_label) AS n_speakers FROM b WHERE greatest(k * {HOUR}, start_sec) < least((k + 1) * {HOUR}, end_sec) GROUP BY ALL""")
 def interval_overlap(spark, d):
     out = temporal.overlap_buckets(V.speech(spark, d), "start_sec", "end_sec", HOUR)
     return out.groupBy("stream_id", F.col("bucket_index").cast("long").alias("bucket_index")).agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("speaker_label").alias("n_speakers"))
@@ -377,15 +377,21 @@ def entity_counts(spark, d):
     return knowledge.entity_counts(rows, "text", "source", {"chat": 1, "src0": 2}).select("entity", "category", "weighted", "n_texts")
 
 
-@query(f"""WITH $VIEWS, cand AS (SELECT event_id AS candidate_id, user_id % 8 AS stream_id, t AS lo, t + 60 AS hi FROM ev WHERE event_type = 'purchase' AND event_id % 10 = 0),
-h AS (SELECT stream_id, timestamp_offset AS t, contains(content, 'trash') AS x, contains(content, 'code') AS y FROM chat),
-j AS (SELECT candidate_id, coalesce(bool_or(x), false) AS x, coalesce(bool_or(y), false) AS y FROM cand LEFT JOIN h ON h.stream_id = cand.stream_id AND h.t BETWEEN lo AND hi GROUP BY candidate_id)
-SELECT candidate_id, (x::INT + y::INT) AS n_terms, round(least(1.0, (x::INT + y::INT) * 0.35), 6) AS toxicity_score, CASE WHEN x AND y THEN 'REJECTED' WHEN x OR y THEN 'FLAGGED' ELSE 'PASSED' END AS audit_status FROM j""")
+@query(f"""WITH $VIEWS, {CLAIMS}, cand AS (SELECT event_id AS candidate_id, user_id % 8 AS stream_id, t AS lo, t + 60 AS hi FROM ev WHERE event_type = 'purchase'),
+h AS (SELECT stream_id, timestamp_offset AS f, timestamp_offset AS u, contains(content, 'trash') AS x, contains(content, 'code') AS y FROM chat UNION ALL SELECT stream_id, start_sec, end_sec, contains(lower(transcript), 'trash'), contains(lower(transcript), 'code') FROM speech),
+c AS (SELECT cl.stream_id, start_sec AS t FROM cl JOIN speech USING (stream_id, segment_id) WHERE stance = 'DISAPPROVAL'),
+j AS (SELECT candidate_id, coalesce(bool_or(x), false) AS x, coalesce(bool_or(y), false) AS y FROM cand LEFT JOIN h ON h.stream_id = cand.stream_id AND (h.x OR h.y) AND h.f <= hi AND h.u >= lo GROUP BY candidate_id),
+k AS (SELECT DISTINCT candidate_id FROM cand JOIN c ON c.stream_id = cand.stream_id AND c.t BETWEEN lo AND hi)
+SELECT candidate_id, (x::INT + y::INT) AS n_terms, round(least(1.0, (x::INT + y::INT) * 0.35::DOUBLE), 6) AS toxicity_score, CASE WHEN x AND y THEN 'REJECTED' WHEN x OR y OR k.candidate_id IS NOT NULL THEN 'FLAGGED' ELSE 'PASSED' END AS audit_status FROM j LEFT JOIN k USING (candidate_id)""")
 def policy_audit(spark, d):
-    e = V.events(spark, d).where("event_type = 'purchase' AND event_id % 10 = 0")
+    """Every purchase as a candidate, against chat, speech and the claims that disapprove (as debunked ones)."""
+    e = V.events(spark, d).where("event_type = 'purchase'")
     cand = e.select(F.col("event_id").alias("candidate_id"), (F.col("user_id") % 8).alias("stream_id"), F.col("t").alias("start_sec"), (F.col("t") + 60).alias("end_sec"))
     texts = V.chat(spark, d).select("stream_id", F.col("timestamp_offset").alias("t"), F.col("content").alias("text"))
-    out = knowledge.policy_audit(cand, texts, ["stream_id"], ["trash", "code"])
+    said = V.speech(spark, d)
+    status = F.when(F.col("stance") == "DISAPPROVAL", "DEBUNKED").otherwise("VERIFIED_TRUE")
+    checked = knowledge.claims(said, ["stream_id", "start_sec"]).select("stream_id", F.col("start_sec").alias("t"), status.alias("verification_status"))
+    out = knowledge.policy_audit(cand, texts, ["stream_id"], ["trash", "code"], said, checked, HOUR)
     return out.select("candidate_id", F.size("flagged_terms").alias("n_terms"), r6("toxicity_score").alias("toxicity_score"), "audit_status")
 
 
@@ -694,10 +700,10 @@ def stream_summary(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("stream_id")).agg(F.count(F.lit(1)).alias("n_events"), n("click"), n("error"), n("purchase"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""WITH s AS (SELECT event_type AS term, max(ts) AS last_seen, 0.5 + 0.04 * (count(*) % 10) AS confidence FROM events WHERE event_id % 3 = 0 GROUP BY event_type)
+@query("""WITH s AS (SELECT event_type AS term, max(ts) AS last_seen, 0.5 + 0.04 * (count(*) % 10) AS confidence FROM events GROUP BY event_type)
 SELECT term, round(confidence * pow(2, -greatest(0, epoch(TIMESTAMP '2024-02-10' - date_trunc('second', last_seen)) / 86400.0) / 14), 6) AS decayed_confidence FROM s WHERE confidence * pow(2, -greatest(0, epoch(TIMESTAMP '2024-02-10' - date_trunc('second', last_seen)) / 86400.0) / 14) >= 0.2""")
 def lexicon_decay(spark, d):
-    s = table(spark, d, "events").where("event_id % 3 = 0").groupBy(F.col("event_type").alias("term")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"), (0.5 + 0.04 * (F.count(F.lit(1)) % 10)).alias("confidence"))
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("term")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"), (0.5 + 0.04 * (F.count(F.lit(1)) % 10)).alias("confidence"))
     return knowledge.decayed(s, F.lit("2024-02-10").cast("timestamp")).select("term", r6("decayed_confidence").alias("decayed_confidence"))
 
 

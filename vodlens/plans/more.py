@@ -76,12 +76,18 @@ def burst_coverage(spark, d):
     return media.burst_coverage(b, V.keyframes(spark, d), ["stream_id"], HOUR)
 
 
-@query("""WITH $VIEWS, t AS (SELECT stream_id, segment_id AS turn_id, start_sec AS lo, end_sec AS hi, speaker_label FROM speech WHERE segment_id % 2 = 0),
-m AS (SELECT stream_id, segment_id, (start_sec + end_sec) / 2 AS mid FROM speech), j AS (SELECT m.stream_id, segment_id, speaker_label, row_number() OVER (PARTITION BY m.stream_id, segment_id ORDER BY lo, turn_id) AS k FROM m JOIN t ON t.stream_id = m.stream_id AND mid BETWEEN lo AND hi)
+SPANS = """ga AS (SELECT *, lag(speaker_label) OVER w AS pg, lag(end_sec) OVER w AS pe FROM speech WINDOW w AS (PARTITION BY stream_id ORDER BY start_sec, segment_id)),
+gb AS (SELECT *, sum(CASE WHEN pg IS NULL OR speaker_label <> pg OR start_sec - pe > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY start_sec, segment_id) AS i FROM ga),
+gs AS (SELECT stream_id, speaker_label, min(start_sec) AS start_sec, max(end_sec) AS end_sec, sum(end_sec - start_sec) AS spoken_sec FROM gb GROUP BY stream_id, speaker_label, i)"""
+
+
+@query(f"""WITH $VIEWS, {SPANS}, m AS (SELECT stream_id, segment_id, (start_sec + end_sec) / 2 AS mid FROM speech),
+j AS (SELECT m.stream_id, segment_id, speaker_label, row_number() OVER (PARTITION BY m.stream_id, segment_id ORDER BY start_sec, speaker_label) AS k FROM m JOIN gs ON gs.stream_id = m.stream_id AND mid BETWEEN start_sec AND end_sec)
 SELECT m.stream_id, m.segment_id, coalesce(speaker_label, 'SPEAKER_00') AS speaker FROM m LEFT JOIN j ON j.stream_id = m.stream_id AND j.segment_id = m.segment_id AND k = 1""")
 def speaker_lookup(spark, d):
+    """Whose span of the whole recording holds each segment's midpoint first."""
     s = V.speech(spark, d)
-    t = s.where("segment_id % 2 = 0").select("stream_id", F.col("segment_id").alias("turn_id"), F.col("start_sec").alias("turn_start"), F.col("end_sec").alias("turn_end"), F.col("speaker_label").alias("speaker"))
+    t = media.guests(s, ["stream_id"], "speaker_label").select("stream_id", F.col("speaker_label").alias("turn_id"), F.col("start_sec").alias("turn_start"), F.col("end_sec").alias("turn_end"), F.col("speaker_label").alias("speaker"))
     return media.speaker_at(s, t, ["stream_id"], HOUR).select("stream_id", "segment_id", "speaker")
 
 
@@ -110,16 +116,16 @@ def sampling_savings(spark, d):
     return out.withColumn("reduction_pct", r6("reduction_pct")).withColumn("saved_sec", r6("saved_sec"))
 
 
-@query(f"WITH $VIEWS, w AS (SELECT user_id % 8 AS stream_id, event_id, t AS lo, t + {HOUR} + 2 AS hi FROM ev WHERE event_type = 'click' AND event_id % 5 = 0), n AS (SELECT c.stream_id FROM w JOIN chat c ON c.stream_id = w.stream_id AND timestamp_offset BETWEEN lo AND hi WHERE contains(content, 'KEKW')) SELECT stream_id, 'kekw' AS term, 'HYPE' AS intent, count(*) AS votes FROM n GROUP BY stream_id")
+@query(f"WITH $VIEWS, w AS (SELECT user_id % 8 AS stream_id, event_id, t AS lo, t + {HOUR} + 2 AS hi FROM ev WHERE event_type = 'click'), n AS (SELECT c.stream_id FROM w JOIN chat c ON c.stream_id = w.stream_id AND timestamp_offset BETWEEN lo AND hi WHERE contains(content, 'KEKW')) SELECT stream_id, 'kekw' AS term, 'HYPE' AS intent, count(*) AS votes FROM n GROUP BY stream_id")
 def slang_context(spark, d):
-    e = V.events(spark, d).where("event_type = 'click' AND event_id % 5 = 0")
+    e = V.events(spark, d).where("event_type = 'click'")
     cand = e.select((F.col("user_id") % 8).alias("stream_id"), F.lit("kekw").alias("term"), F.col("t").alias("window_start"), (F.col("t") + HOUR).alias("window_end"))
     return media.slang_context(cand, V.chat(spark, d), ["stream_id"], HOUR)
 
 
 @query()
 def novel_clusters(spark, d):
-    words = table(spark, d, "conversations").where("role = 'system'").select((F.col("conv_id") % 4).alias("k"), F.explode(C.index_tokens(F.col("text"))).alias("term")).distinct()
+    words = table(spark, d, "conversations").select(F.col("conv_id").alias("k"), F.explode(C.index_tokens(F.col("text"))).alias("term")).distinct()
     return media.novel_clusters(words, ["k"], "term")
 
 

@@ -228,3 +228,9 @@ ml AS (SELECT message_id, coalesce(sum(p) / nullif(count(p), 0), 0) AS s FROM (S
 md AS (SELECT a.stream_id, count(*) AS n, count(*) FILTER (s > 0.15 OR {' OR '.join(f"contains(lower(content), '{w}')" for w in L.POSITIVE_CHAT)}) AS np, count(*) FILTER ({' OR '.join(f"contains(lower(content), '{w}')" for w in L.PURCHASE_TRIGGERS)}) AS n_intent FROM air a JOIN chat c ON c.stream_id = a.stream_id AND timestamp_offset BETWEEN lo AND hi JOIN ml USING (message_id) GROUP BY 1),
 x AS (SELECT stream_id, airtime_sec, logo_sec, (coalesce(k0, false)::INT + coalesce(k1, false)::INT) * 100.0 / 2 AS keyword_pct, coalesce(k2, false) AS promo_mentioned, CASE WHEN coalesce(n, 0) > 0 THEN np * 100.0 / n ELSE 75.0 END AS positive_pct, coalesce(n_intent, 0) AS n_intent, coalesce(n, 0) = 0 AS is_estimated FROM air LEFT JOIN sd USING (stream_id) LEFT JOIN md USING (stream_id))
 SELECT stream_id, round(airtime_sec, 6) AS airtime_sec, round(logo_sec, 6) AS logo_sec, keyword_pct::DOUBLE AS keyword_pct, promo_mentioned, round(positive_pct, 6)::DOUBLE AS positive_pct, n_intent, round(airtime_sec * 15 * (1 + positive_pct / 100) + n_intent * 25, 6) AS earned_value, is_estimated, keyword_pct >= 80 AND promo_mentioned AND airtime_sec >= 480 AS compliance_passed FROM x""")
+oracle("novel_clusters", """WITH RECURSIVE t AS (SELECT DISTINCT conv_id AS key, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM conversations),
+o AS MATERIALIZED (SELECT key, term, list_distinct(list_transform(generate_series(1, greatest(1, length(term))), lambda i: ('^' || term || '$')[i:i + 2])) AS g, row_number() OVER (PARTITION BY key ORDER BY term) AS n FROM t),
+r AS (SELECT DISTINCT key, 0::BIGINT AS n, []::STRUCT(l VARCHAR, g VARCHAR[])[] AS leads, NULL::VARCHAR AS leader FROM o UNION ALL
+SELECT key, n, CASE WHEN found IS NULL THEN list_append(leads, struct_pack(l := term, g := g)) ELSE leads END, coalesce(found, term) FROM
+(SELECT o.key, o.n, o.term, o.g, r.leads, list_filter(r.leads, lambda x: len(list_intersect(x.g, o.g))::DOUBLE / len(list_distinct(list_concat(x.g, o.g))) >= 0.40)[1].l AS found FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1))
+SELECT key AS k, term, leader FROM r JOIN o USING (key, n)""")

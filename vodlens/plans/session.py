@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,6 +27,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of spark.checkpoint.dir; only a local session may do without that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vodlens-checkpoints-"))
+    return df.checkpoint()
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
