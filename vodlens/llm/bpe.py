@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vodlens.llm.common import freed
+
 #: Fixed values of the byte-level format: the pattern that splits a text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per generation in a worker's cache, and the longest word that is kept.
@@ -267,7 +269,7 @@ _LOADED: dict[str, ByteBpe] = {}
 
 
 def loaded(spec: str) -> ByteBpe:
-    """One vocabulary per worker process, so that its cache lasts from task to task."""
+    """One vocabulary and its caches per worker process; a task drops them when it ends."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
@@ -304,7 +306,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, id_c
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = SCHEMA + (", ids array<long>, decoded string" if keep_ids else "")
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            _LOADED.clear()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]

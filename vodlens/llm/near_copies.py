@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vodlens.llm import simhash
-from vodlens.llm.common import drop_stored, partitions, stored
+from vodlens.llm.common import drop_stored, freed, partitions, stored
 from vodlens.llm.components import components
 from vodlens.llm.simhash import SEED, keep_one, shingle_hashes
 
@@ -70,20 +70,25 @@ def cells_of(members: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingle_hashes(x.as_py() or "", shingle) for x in batch.column(1)]
-            marks = pa.array(map(simhash.fingerprint_of, rows), pa.int64())
-            sets = [np.unique(x) for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), marks, pa.array(map(cells_of, sets), pa.list_(pa.int64()))],
-                ["doc_id", "node", "n", "fp", "cells"],
-            )
+            nodes, sizes, marks, cells = [], [], [], []
+            for x in batch.column(1):
+                hashes = shingle_hashes(x.as_py() or "", shingle)
+                members = np.unique(hashes)
+                nodes.append(node_of(members))
+                sizes.append(len(members))
+                marks.append(simhash.fingerprint_of(hashes))
+                cells.append(pa.array(cells_of(members), pa.int64()))
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells)]), pa.int32()), pa.concat_arrays([*cells, pa.array([], pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.int64()), listed], ["doc_id", "node", "n", "fp", "cells"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, fp long, cells array<long>")
 
 
 def _with_node(docs: DataFrame, shingle: int) -> DataFrame:
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = [node_of(shingle_set(x.as_py() or "", shingle)) for x in batch.column(0)]
@@ -95,6 +100,7 @@ def _with_node(docs: DataFrame, shingle: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Of the pairs (a, b) of nodes, those whose sets are similar enough."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
 
@@ -188,6 +194,7 @@ def _within_cells(open_: DataFrame, texts: DataFrame, shingle: int, similarity:
         links = forest(sets, cut, similarity) if (cut if pair else len(sets) > 1) else []
         return pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets, cut = None, [], [], 0
         for batch in batches:

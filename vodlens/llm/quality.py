@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import crc_mod
+from vodlens.llm.common import crc_mod, freed
 
 SAMPLE, SAMPLE_CHARS = 3_000, 20_000
 BLOCK, DICTIONARY, LEVEL = 1024, 112_640, 3
@@ -152,6 +152,7 @@ def score(docs: DataFrame, model: SizeModel, threshold: float = THRESHOLD, held_
     """doc_id, held_out, score and predicted of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = sent.value.scores([x.as_py() or "" for x in batch.column(2)])
@@ -167,6 +168,7 @@ def keep_good(docs: DataFrame, model: SizeModel, threshold: float = THRESHOLD) -
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = sent.value.scores([x.as_py() or "" for x in batch.column(at)])
