@@ -188,6 +188,31 @@ def ema_bursts(windows: DataFrame, keys: list[str], order: str, count: str, auth
     return folded(windows.select(*keys, order, count, authors), keys, [order], fold, schema)
 
 
+def merged_spans(spans: list[tuple[float, float]]) -> tuple[list[float], list[float]]:
+    """Starts and ends of the union of closed intervals, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def stepped(end: float, spans: list[tuple[float, float]], fine: float, coarse: float) -> list[float]:
+    """Times from 0 on: steps of `fine` within the spans and `coarse` outside."""
+    import bisect
+
+    starts, ends = merged_spans(spans)
+    t, out = 0.0, []
+    while t < end:
+        out.append(t)
+        k = bisect.bisect_right(starts, t) - 1
+        t += fine if k >= 0 and t <= ends[k] else coarse
+    return out
+
+
 def sample_times(bursts: DataFrame, keys: list[str], duration: str, low: str, high: str, fine: float = 0.5, coarse: float = 5.0) -> DataFrame:
     """Sampling timestamps: steps of `fine` within merged burst intervals and `coarse` outside, 0.15 s apart at least."""
     kinds = {f.name: f.dataType.simpleString() for f in bursts.schema}
@@ -195,10 +220,28 @@ def sample_times(bursts: DataFrame, keys: list[str], duration: str, low: str, hi
 
     def fold(pdf: pd.DataFrame) -> list:
         spans = [(a, b) for a, b in pdf[[low, high]].itertuples(index=False) if a == a and a is not None]
-        end, t, out = float(pdf[duration].iloc[0]), 0.0, []
-        while t < end:
-            out.append(t)
-            t += fine if any(a <= t <= b for a, b in spans) else coarse
-        return [(round(out[k], 3),) for k in thin([round(x, 3) for x in out], 0.15)]
+        out = [round(x, 3) for x in stepped(float(pdf[duration].iloc[0]), spans, fine, coarse)]
+        return [(out[k],) for k in thin(out, 0.15)]
 
     return folded(bursts.select(*keys, duration, low, high), keys, [low], fold, schema)
+
+
+def sampling_plan(bounds: DataFrame, bursts: DataFrame, cuts: DataFrame, keys: list[str], fine: float = 0.5, coarse: float = 5.0, after_cut: float = 0.1) -> DataFrame:
+    """sample_times with bursts of any kind (keys, lo, hi) and a sample just after each scene cut (keys, cut)."""
+    kinds = {f.name: f.dataType.simpleString() for f in bounds.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "timestamp_sec double"])
+    none = F.lit(None).cast("double")
+    rows = bounds.select(*keys, "duration", none.alias("lo"), none.alias("hi"), none.alias("cut"))
+    rows = rows.unionByName(bursts.select(*keys, none.alias("duration"), "lo", "hi", none.alias("cut"))).unionByName(cuts.select(*keys, none.alias("duration"), none.alias("lo"), none.alias("hi"), "cut"))
+
+    def fold(pdf: pd.DataFrame) -> list:
+        end = pdf["duration"].max()
+        if not end > 0:
+            return []
+        spans = list(pdf[["lo", "hi"]].dropna().itertuples(index=False, name=None))
+        times = {round(x, 3) for x in stepped(float(end), spans, fine, coarse)}
+        times |= {round(x + after_cut, 3) for x in pdf["cut"].dropna() if 0 <= x < end}
+        out = sorted(t for t in times if t <= end)
+        return [(out[k],) for k in thin(out, 0.15)]
+
+    return folded(rows, keys, ["lo"], fold, schema)

@@ -79,6 +79,11 @@ def speaker_at(segments: DataFrame, turns: DataFrame, keys: list[str], bin_size:
     return segments.join(best, [*keys, "segment_id"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(default)))
 
 
+def attributed(segments: DataFrame, known: DataFrame, item: str) -> DataFrame:
+    """Segments with the label assigned to their embedding; without one they keep their own."""
+    return segments.join(known.select(item, "assigned"), item, "left").withColumn("speaker_label", F.coalesce("assigned", "speaker_label")).drop("assigned")
+
+
 def loud_segments(rows: DataFrame, keys: list[str], rms: str, factor: float = 0.9) -> DataFrame:
     """The streamer is where a segment is at least `factor` of its stream's mean loudness."""
     return rows.withColumn("speaker_label", F.when(F.col(rms) >= factor * F.avg(rms).over(Window.partitionBy(*keys)), "STREAMER").otherwise("EXTERNAL_VIDEO"))

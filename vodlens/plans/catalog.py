@@ -6,6 +6,7 @@ Results that are real numbers are rounded to six places in both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from vodlens.functions import columns as C
 from vodlens.functions import lexicons as L
 from vodlens.operators import chat as chat_ops
-from vodlens.operators import clips, costream, folds, fusion, islands, knowledge, search, sponsor, store, temporal
+from vodlens.operators import costream, folds, fusion, islands, knowledge, search, sponsor, store, temporal
 from vodlens.plans import views as V
 from vodlens.plans.views import table
 
@@ -288,7 +289,7 @@ def chatter_influence(spark, d):
     chat, talk = V.chat(spark, d), V.speech(spark, d)
     origins = chat.join(meme_bursts(spark, d).select(F.col("seed").alias("message_id")), "message_id").select("author_name")
     out = chat_ops.influence(chat, origins, chat_ops.responses(chat, talk, ["stream_id"], longest=1800.0))
-    return out.withColumn("influence_score", r6("influence_score"))
+    return out.withColumn("influence_score", r6("influence_score")).drop("user_id")
 
 
 @query("WITH $VIEWS SELECT message_id, CASE WHEN contains(content, 'KEKW') OR contains(content, 'trash') THEN 'GOOD_NATURED_BANTER' ELSE 'BENIGN_CHAT' END AS verdict FROM chat")
@@ -619,20 +620,6 @@ def multi_angle_candidates(spark, d):
 # ---- clips ------------------------------------------------------------------------------------
 
 
-@query()
-def clip_candidates(spark, d):
-    e = V.events(spark, d).select((F.col("user_id") % 8).alias("stream_id"), F.col("event_id").cast("string").alias("item"), F.col("t").alias("peak_sec"), F.col("value"))
-    top = Window.partitionBy("stream_id")
-    h = e.withColumn("score", F.col("value") / F.max("value").over(top)).drop("value")
-    b = temporal.z_bursts(_dense(spark, d), ["stream_id"]).select("stream_id", F.col("bucket_index").cast("string").alias("item"), (F.col("bucket_index") * HOUR).alias("peak_sec"), "z_score")
-    picked = clips.select_candidates(clips.anchors(h, b, ["stream_id"]), ["stream_id"], 6 * HOUR, 20)
-    c = picked.select("stream_id", "anchor_id", "score", F.greatest(F.lit(0.0), F.col("peak_sec") - 20).alias("start_sec"), (F.col("peak_sec") + 20).alias("end_sec"))
-    out = clips.snap(c, V.speech(spark, d), ["stream_id"], "anchor_id")
-    a = clips.arc(F.col("score"), F.lit(1.0))
-    v = clips.virality(F.lit("hook"), a["primary_emotion"], F.lit(1.0), F.col("clip_end") - F.col("clip_start"), F.lit(2), F.lit("PASSED"))
-    return out.select("stream_id", "anchor_id", r6("score").alias("score"), r6("clip_start").alias("clip_start"), r6("clip_end").alias("clip_end"), a["narrative_arc"].alias("narrative_arc"), r6(v).alias("virality"))
-
-
 # ---- stores and catalogues --------------------------------------------------------------------
 
 
@@ -742,10 +729,12 @@ def stream_ring(spark, d):
     return out.select("user_id", "event_id")
 
 
+@cache
 def _complete() -> None:
-    from vodlens.plans import more, oracles  # noqa: F401  more registers its queries
+    from vodlens.plans import making, more, oracles  # noqa: F401  more registers its queries
 
     ORACLES.update(oracles.ORACLES)
+    making.register()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

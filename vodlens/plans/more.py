@@ -241,18 +241,6 @@ def youtube_package(spark, d):
     return kept.select("stream_id", "bucket_index", F.concat_ws(" ", C.clock(F.col("start_sec")), F.initcap(F.replace("active_scene_type", F.lit("_"), F.lit(" ")))).alias("chapter"))
 
 
-@query()
-def short_packages(spark, d):
-    """Candidates, policy audit and virality: the production of shorts from end to end."""
-    from vodlens.plans.catalog import clip_candidates
-
-    c = clip_candidates(spark, d).select("stream_id", F.concat_ws("_", F.col("stream_id").cast("string"), "anchor_id").alias("candidate_id"), F.col("clip_start").alias("start_sec"), F.col("clip_end").alias("end_sec"), "narrative_arc", "virality")
-    texts = V.chat(spark, d).select("stream_id", F.col("timestamp_offset").alias("t"), F.col("content").alias("text"))
-    a = knowledge.policy_audit(c, texts, ["stream_id"], speech=V.speech(spark, d))
-    factor = F.when(F.col("audit_status") == "FLAGGED", 0.85).when(F.col("audit_status") == "REJECTED", 0.30).otherwise(1.0)
-    return a.select("candidate_id", "audit_status", "narrative_arc", r6(F.col("virality") * factor).alias("virality"))
-
-
 @query(f"WITH $VIEWS SELECT user_id, max({STANCE}::DOUBLE) AS best, arg_max(event_id, struct_pack(a := t, b := event_id)) AS last_event FROM ev GROUP BY user_id")
 def point_state(spark, d):
     rows = V.events(spark, d).withColumn("v", F.expr(STANCE).cast("double"))

@@ -1,13 +1,15 @@
-"""Sinks: rosters, partitioned chunks with a manifest, reports and decks.
+"""Sinks: rosters, partitioned chunks with a manifest, text files, reports and decks.
 
-Reports are of small results (one recording's highlights, one campaign); their rows are bounded by a
-parameter before they reach the driver.
+Text files (subtitles, whole tables as HTML or Markdown) are written by Spark. The report functions
+that return a text are of small results (one recording's highlights, one campaign): they raise where
+there are more rows than their parameter allows, and leave none out.
 """
 
 from __future__ import annotations
 
 import html
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,38 @@ def completed_chunks(spark: SparkSession, path: str, chunk: str = "chunk") -> Da
     return spark.read.parquet(path).select(chunk).distinct()
 
 
+def finished(spark: SparkSession, root: str, phases: list[str], chunk: str = "chunk") -> DataFrame:
+    """phase and chunk of every part that is complete, of the phases whose tables lie under root."""
+    out = spark.createDataFrame([], f"phase string, {chunk} long")
+    for phase in phases:
+        try:
+            done = completed_chunks(spark, f"{root}/{phase}", chunk)
+        except AnalysisException:
+            continue  # the phase has written nothing yet
+        out = out.unionByName(done.select(F.lit(phase).alias("phase"), F.col(chunk).cast("long").alias(chunk)))
+    return out
+
+
+def bounded(rows: DataFrame, order: list[str], most: int) -> list:
+    """All rows, sorted, on the driver; an error if there are more than `most`."""
+    kept = rows.orderBy(*order).limit(most + 1).collect()
+    if len(kept) > most:
+        raise ValueError(f"over {most} rows; write the table with write_lines instead")
+    return kept
+
+
+def write_lines(rows: DataFrame, column: str, order: list[str], path: str, head: list[str] | None = None) -> None:
+    """One text file of the column's lines in order, after the head's lines; of any size."""
+    spark = rows.sparkSession
+    key = [F.struct(*[F.col(c) for c in order]).alias("k"), F.col(column).alias("value")]
+    first = spark.createDataFrame([(k, x) for k, x in enumerate(head or [])], "n long, value string")
+    lines = first.select(F.lit(0).alias("part"), "n", "value").unionByName(rows.select(*key).orderBy("k").select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("n"), "value"))
+    lines.coalesce(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)
+
+
 def report_html(title: str, rows: DataFrame, order: list[str], most: int = 500) -> str:
     """A table of at most `most` rows."""
-    kept = rows.orderBy(*order).limit(most).collect()
+    kept = bounded(rows, order, most)
     cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
     head = "".join(cell("th", c) for c in rows.columns)
     body = "\n".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in kept)
@@ -43,13 +74,18 @@ def report_html(title: str, rows: DataFrame, order: list[str], most: int = 500)
 
 def deck_markdown(title: str, rows: DataFrame, order: list[str], most: int = 200) -> str:
     """A Markdown table of at most `most` rows."""
-    kept = rows.orderBy(*order).limit(most).collect()
+    kept = bounded(rows, order, most)
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
     return "\n".join([f"# {title}", "", line(rows.columns), line("-" for _ in rows.columns), *map(line, kept)]) + "\n"
 
 
+SUBTITLE_HEAD = ["[Script Info]", "ScriptType: v4.00+", "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
+
+
 def subtitle_file(events: DataFrame, order: list[str], most: int = 20_000) -> str:
-    """A subtitle file from subtitle events (one recording's lines)."""
-    kept = [r.event for r in events.orderBy(*order).limit(most).collect()]
-    head = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
-    return "\n".join([head, *kept]) + "\n"
+    """A subtitle file from subtitle events (one recording's lines); write_subtitles() has no bound."""
+    return "\n".join([*SUBTITLE_HEAD, *(r.event for r in bounded(events, order, most))]) + "\n"
+
+
+def write_subtitles(events: DataFrame, order: list[str], path: str) -> None:
+    write_lines(events, "event", order, path, SUBTITLE_HEAD)
