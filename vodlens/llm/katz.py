@@ -8,13 +8,14 @@ for counts up to K; larger counts keep all but REST of their mass, so that every
 off. alpha(h) = (1 - seen mass) / (1 - sum of p over seen words) normalises each context exactly; its
 sums are kept as integer counts of counts, so no order of addition can change them.
 
-Plan. Texts are worked on in blocks of about BLOCK_CHARS characters. A block sends each distinct word
+Plan. Texts are read once, into stored blocks of about BLOCK_CHARS characters: a block's number is
+written with it, so that whatever runs again meets the same blocks. A block sends each distinct word
 and pair once, with its training count, to the part of its hash (Spark moves packed rows of many
 keys). A part adds the counts up, keeps them as its piece of the stored model tables and replies to
 each block in the order of its keys. So hot words and pairs are pre-aggregated, every part has about
-PART_CHARS characters' worth of keys at any input size, and the driver sees ten sums. A second pass
-over the texts turns the replies into scores and sends the backoff sums, of which a last exchange
-makes the weights of those contexts that some block has to back off from.
+PART_CHARS characters' worth of keys at any input size, and the driver sees ten sums. The stored blocks
+then turn the replies into scores and send the backoff sums, of which a last exchange makes the weights
+of those contexts that some block has to back off from.
 
 Words and pairs are known by 64-bit hashes in the tables (xxHash of the word; mixed for pairs).
 
@@ -131,38 +132,40 @@ def from_int_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+def block_of(ids: list, held: list[bool], texts: list[str]) -> bytes:
+    """Some documents, packed: their tokens, numbered by the block's own distinct words in the order of their hashes."""
+    tokens: list[bytes] = []
+    lens = np.empty(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        words = text.encode("utf-8", "replace").lower().split()
+        tokens += words
+        tokens.append(END)
+        lens[k] = len(words) + 1
+    coded = pa.array(tokens, pa.binary()).dictionary_encode()
+    del tokens
+    names = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return pack(ids, np.array(held, bool), lens, planes(hashes[order]), int_planes(place[coded.indices.to_numpy()]))
+
+
 class Block:
-    """The tokens of some documents, numbered by the block's own distinct words in the order of their hashes."""
-
-    def __init__(self, ids: list, held: list[bool], texts: list[str]):
-        self.ids, self.held = ids, np.array(held, bool)
-        tokens: list[bytes] = []
-        lens = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = text.encode("utf-8", "replace").lower().split()
-            tokens += words
-            tokens.append(END)
-            lens[k] = len(words) + 1
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        del tokens
-        names = coded.dictionary.to_pylist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.cur, self.words, self.lens = place[coded.indices.to_numpy()], hashes[order], lens
-
-    def count(self) -> None:
-        """Finds the pairs, for counting."""
-        self.pairs, _, _, self.pair = pairs_of(self.words, self.cur)
-        self.trained = ~np.repeat(self.held, self.lens)
+    """A packed block again, with its pairs."""
+
+    def __init__(self, raw: bytes):
+        self.ids, self.held, self.lens, words, cur = unpack(raw)
+        self.words, self.cur = from_planes(words), from_int_planes(cur)
+        self.pairs, self.before, self.after, self.pair = pairs_of(self.words, self.cur)
 
     def keys(self, kind: int) -> np.ndarray:
         return self.words if kind == WORDS else self.pairs
 
     def counts(self, kind: int) -> np.ndarray:
+        """How often the training documents have each key."""
         at = self.cur if kind == WORDS else self.pair
-        return np.bincount(at[self.trained], minlength=len(self.keys(kind)))
+        return np.bincount(at[~np.repeat(self.held, self.lens)], minlength=len(self.keys(kind)))
 
 
 def part_slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -173,21 +176,25 @@ def part_slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
         yield p, slice(int(edges[p]), int(edges[p + 1]))
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[int, Block]]:
-    """The blocks of a task, in the same order and with the same numbers whenever it runs."""
-    first, number = TaskContext.get().partitionId() << 24, 0
-    ids, held, texts, size = [], [], [], 0
-    for batch in batches:
-        for a, b, c in zip(batch.column(0), batch.column(1), batch.column(2)):
-            ids.append(a.as_py())
-            held.append(b.as_py())
-            texts.append(c.as_py())
-            size += len(texts[-1])
-            if size >= block_chars:
-                yield first + number, Block(ids, held, texts)
-                ids, held, texts, size, number = [], [], [], 0, number + 1
-    if ids:
-        yield first + number, Block(ids, held, texts)
+def _blocks(block_chars: int) -> Callable:
+    """Documents as packed blocks, each with a number of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        ids, held, texts, size = [], [], [], 0
+        for batch in batches:
+            for a, b, c in zip(batch.column(0), batch.column(1), batch.column(2)):
+                ids.append(a.as_py())
+                held.append(b.as_py())
+                texts.append(c.as_py())
+                size += len(texts[-1])
+                if size >= block_chars:
+                    yield rows_batch([(-1, number, 0, block_of(ids, held, texts))])
+                    ids, held, texts, size, number = [], [], [], 0, number + 1
+        if ids:
+            yield rows_batch([(-1, number, 0, block_of(ids, held, texts))])
+
+    return run
 
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,13 +238,14 @@ class KatzModel:
         return np.where(c > 0, left / rest, 1.0)
 
 
-def _requests(parts: int, block_chars: int) -> Callable:
+def _requests(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks_of(batches, block_chars):
-            block.count()
-            for kind in (WORDS, PAIRS):
-                keys, counts = block.keys(kind), block.counts(kind)
-                yield rows_batch([(kind, number, p, pack(planes(keys[s]), counts[s].astype(np.int32))) for p, s in part_slices(keys, parts)])
+        for batch in batches:
+            for number, raw in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                block = Block(raw.as_py())
+                for kind in (WORDS, PAIRS):
+                    keys, counts = block.keys(kind), block.counts(kind)
+                    yield rows_batch([(kind, number, p, pack(planes(keys[s]), counts[s].astype(np.int32))) for p, s in part_slices(keys, parts)])
 
     return run
 
@@ -267,25 +275,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_batch(out[k : k + 256])
 
 
-def _tokens(block_chars: int) -> Callable:
-    """The blocks again, without texts, to meet their replies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in blocks_of(batches, block_chars):
-            yield rows_batch([(-1, number, 0, pack(b.ids, b.held, b.lens, planes(b.words), int_planes(b.cur)))])
-
-    return run
-
-
 def _score(model: KatzModel, parts: int) -> Callable:
     """Scores a block as far as it can; rows out: its state (kind 0), backoff sums (1), and needs (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in grouped(batches, "block"):
             parts_of = {kind: sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"]) for kind in (-1, WORDS, PAIRS)}
-            ids, held, lens, words, cur = unpack(parts_of[-1][0]["payload"])
-            words, cur = from_planes(words), from_int_planes(cur)
-            _, pair_prev, pair_cur, pair = pairs_of(words, cur)
+            block = Block(parts_of[-1][0]["payload"])
+            ids, held, lens, words, cur = block.ids, block.held, block.lens, block.words, block.cur
+            pair_prev, pair_cur, pair = block.before, block.after, block.pair
             c = np.concatenate([unpack(r["payload"])[0] for r in parts_of[WORDS]]).astype(np.int64) >> 1
             told = np.concatenate([unpack(r["payload"])[0] for r in parts_of[PAIRS]]).astype(np.int64)
             r, own = told >> 1, (told & 1 == 1) & (told > 1)
@@ -369,7 +367,8 @@ class KatzScores:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
         chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         parts = max(least_parts, -(-chars // part_chars))
-        sent = rows.mapInArrow(_requests(parts, block_chars), MIXED)
+        self.blocks = stored(rows.mapInArrow(_blocks(block_chars), MIXED), "katz-blocks")
+        sent = self.blocks.mapInArrow(_requests(parts), MIXED)
         dealt = sent.repartition(2 * parts, "kind", "part").sortWithinPartitions("kind", "part")
         self.counts = stored(dealt.mapInArrow(_count, MIXED), "katz-counts")
         sums = self.counts.where("block = -2").mapInArrow(_unpacked_sums, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
@@ -379,9 +378,9 @@ class KatzScores:
         # Per kind: types seen 0..K+1 times, sum of counts over K, tokens, types.
         histogram = [np.concatenate([x[: K + 2], x[K + 2 : K + 3]]) for x in n]
         self.model = KatzModel(histogram[0], histogram[1], int(n[0, K + 3]), int(n[0, K + 4]))
-        blocks = rows.mapInArrow(_tokens(block_chars), MIXED)
-        met = blocks.unionByName(self.counts.where("block >= 0")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
+        met = self.blocks.unionByName(self.counts.where("block >= 0")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
         self.states = stored(met.mapInArrow(_score(self.model, parts), MIXED), "katz-states")
+        drop_stored(self.blocks)
         asked = self.states.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "kind", "block")
         self.weights = stored(asked.mapInArrow(_weigh(self.model), MIXED), "katz-weights")
         self.parts = parts
@@ -398,6 +397,12 @@ class KatzScores:
         """key, count and alpha of every context."""
         return self.weights.where("block = -1").mapInArrow(_unpacked_weights, "key long, count long, alpha double")
 
+    def save(self, path: str) -> None:
+        """The model as tables of plain columns: words and pairs (key, count) and backoff (key, count, alpha), by part of the key."""
+        part = F.shiftrightunsigned("key", 56).cast("int").alias("part")
+        for name, df in (("words", self.table(WORDS)), ("pairs", self.table(PAIRS)), ("backoff", self.backoff())):
+            df.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+
     def drop(self) -> None:
         for df in (self.counts, self.states, self.weights):
             drop_stored(df)
@@ -424,5 +429,9 @@ def _unpacked_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(from_planes(keys).view(np.int64)), pa.array(counts), pa.array(alpha)], ["key", "count", "alpha"])
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    return KatzScores(docs).scores()
+def score_documents(docs: DataFrame, **options) -> DataFrame:
+    """The scores of all documents; what they were made from goes."""
+    model = KatzScores(docs, **options)
+    out = stored(model.scores(), "katz-scores")
+    model.drop()
+    return out
