@@ -7,9 +7,10 @@ again as the next stage's docs. All stages but the last return the columns of `d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vodlens.llm import bpe, decontaminate, line_dedup, near_copies, quality
-from vodlens.llm.common import stored, table
+from vodlens.llm.common import drop_stored, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +19,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go, everywhere."""
-    return line_dedup.drop_frequent_lines(docs)
+    """Lines found in ten documents or more go, everywhere; n_chars is of what is left."""
+    kept = line_dedup.drop_frequent_lines(docs)
+    size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), size).otherwise(F.col("n_chars")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
+    """One document of each group of near copies stays: SimHash links and wider candidates, five-word shingles, Jaccard 0.8 or more."""
     return near_copies.one_of_each(docs)
 
 
@@ -51,8 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stored(docs)  # the stage before is read no more
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
