@@ -160,8 +160,8 @@ def brute_components(marks, distance):
     return [find(i) for i in range(len(marks))]
 
 
-@pytest.mark.parametrize("cell", [simhash.CELL, 16])
-def test_links_connect_what_is_connected(spark, cell):
+@pytest.mark.parametrize("cell,whole", [(simhash.CELL, None), (16, 3), (simhash.CELL, 6)])
+def test_links_connect_what_is_connected(spark, cell, whole):
     rng = np.random.default_rng(3)
     marks = {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 60)}
     for x in list(marks)[:12]:  # chains of near copies, some crossing the distance
@@ -170,7 +170,7 @@ def test_links_connect_what_is_connected(spark, cell):
                 x ^= 1 << int(b)
             marks.add(x)
     marks = sorted(marks | {0, 1, 3, -1})
-    found = components(simhash.links(spark.createDataFrame([(m,) for m in marks], "fp long"), 3, cell))
+    found = components(simhash.links(spark.createDataFrame([(m,) for m in marks], "fp long"), 3, cell, whole))
     roots = {r.node: r.root for r in found.collect()}
     want = brute_components([m & (1 << 64) - 1 for m in marks], 3)
     got = [roots.get(m, m) for m in marks]
@@ -233,6 +233,34 @@ def test_url_prefix_inside_a_segment(spark):
     assert trie.match("w.a.b", "/english") == ("a.b/en", "block") and trie.match("a.b", "/english/xy") == ("a.b/english/x", "allow") and trie.match("a.b", "") == ("a.b", "allow")
 
 
+def test_bands_grow_with_the_table():
+    sizes = [simhash.bands_for(10**k, 3) for k in range(3, 12)]
+    assert sizes == sorted(sizes) and sizes[0] == 3 and sizes[-1] == 6
+
+
+def test_long_labelled_texts_take_part(spark):
+    good, bad = "the quick brown fox walks over the hill. ", "BUY!! NOW!! CHEAP!! "
+    rows = [(k, (good if k % 2 else bad) * (60 + k) * 9) for k in range(80)]
+    assert min(len(t) for _, t in rows) < quality.SAMPLE_CHARS < max(len(t) for _, t in rows)
+    d = docs(spark, *[(i, t) for i, t in rows if len(t) > quality.SAMPLE_CHARS])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    model = quality.fit(d, labels)
+    assert model.constant is None and model.scores([good * 30])[0] > 0.7 > 0.3 > model.scores([bad * 30])[0]
+    pieces = d.select(F.length(quality.spaced(F.col("text"))).alias("n")).collect()
+    assert {r.n for r in pieces} == {quality.PIECES * (quality.PIECE + 1) - 1}
+
+
+def test_url_rules_of_equal_length(spark):
+    rules = [("a.b", "/cd", "block"), ("x.a.b", "/", "allow"), ("a.b", "/ce", "allow"), ("x.a.b", "/", "block")]
+    for order in (rules, rules[::-1]):
+        pages = spark.createDataFrame([(1, "http://x.a.b/cd"), (2, "http://y.a.b/cd"), (3, "http://x.a.b/q")], "page_id long, url string")
+        both = [sorted(map(tuple, url_rules.judge_urls(pages, order, max_rules=n).collect())) for n in (url_rules.MAX_RULES, 0)]
+        last = max((r for r in order if r[0] + r[1] in ("a.b/cd", "x.a.b/")), key=lambda r: (len(r[0] + r[1]), order.index(r) if order.count(r) == 1 else 0))
+        assert both[0] == both[1] and both[0][0][3] == last[0] + last[1]
+    trie = url_rules.RuleTrie([("a.b", f"/p{k}", "block") for k in range(100_000)])
+    assert trie.match("a.b", "/p99999x") == ("a.b/p99999", "block") and len(trie.root["b"]["a"][trie.PATHS][""][trie.SIZES]) == 5
+
+
 def test_line_runs(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     sizes = []
@@ -290,6 +318,13 @@ def test_bpe_vector_form_equals_the_tree_of_one_word():
         assert np.frombuffer(own.learn({w.decode()})[w.decode()], "<u4").tolist() == own.merge(w)
 
 
+def test_bpe_rejects_what_it_does_not_honour():
+    spec = json.load(open(bpe.default_vocabulary(), encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        bpe.ByteBpe(spec)
+
+
 def test_bpe_small_cache(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     own = bpe.ByteBpe(json.load(open(bpe.default_vocabulary(), encoding="utf-8")))

@@ -86,6 +86,9 @@ class ByteBpe:
         self.rank = np.array([self.pairs.get(k, (NONE, -1))[0] for k in self.keys.tolist()], np.int64)
         self.into = np.array([self.pairs.get(k, (NONE, -1))[1] for k in self.keys.tolist()], np.int64)
         self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
+        for t in spec.get("added_tokens", []):
+            if any(t.get(flag) for flag in ("lstrip", "rstrip", "single_word")):
+                raise ValueError(f"the added token {t['content']!r} takes in what is around it, which is not supported")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split = regex.compile(SPLIT)

@@ -7,9 +7,11 @@ long text does not become its own dictionary. The normalised size difference ove
 that repeats itself. A logistic regression, fitted on labelled texts that no dictionary has seen,
 turns both into the probability of label 1.
 
-Bounded sample: the dictionaries and the regression see at most SAMPLE labelled rows per label, of
-at most SAMPLE_CHARS characters each, chosen by a hash of the row; scoring reads every whole text.
-Labels, lang, source and doc_id are never inputs of a score.
+Bounded sample: the dictionaries and the regression see at most SAMPLE labelled rows per label, chosen
+by a hash of the row, of any length: of a text over SAMPLE_CHARS characters they see PIECES evenly spaced
+pieces of PIECE characters, of the others all. Of each text BLOCKS_PER_TEXT evenly spaced blocks and more
+(up to twice as many) train a dictionary. Scoring reads every whole text. Labels, lang, source and
+doc_id are never inputs of a score.
 
 Defined results: a null text counts as empty; an empty text gets the score of a text whose sizes
 are equal; without any usable label the score is 0.5, with one label only it is that label's;
@@ -24,12 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vodlens.llm.common import crc_mod, freed
 
 SAMPLE, SAMPLE_CHARS = 3_000, 20_000
+PIECES, PIECE = 20, 1_000
 BLOCK, DICTIONARY, LEVEL = 1024, 112_640, 3
 BLOCKS_PER_TEXT = 8
 THRESHOLD = 0.7
@@ -133,6 +136,14 @@ def fit_texts(good: list[str], bad: list[str], share_good: float | None = None)
     return model
 
 
+def spaced(text: Column) -> Column:
+    """A text of at most SAMPLE_CHARS characters as it is, of a longer one its evenly spaced pieces."""
+    last = F.char_length(text) - PIECE
+    at = lambda k: (k * last / (PIECES - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(text, at(k), F.lit(PIECE)))
+    return F.when(F.char_length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2, sample: int = SAMPLE) -> SizeModel:
     """Fits on labelled rows outside the held-out remainder, at most `sample` for each label."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(crc_mod(F.col("doc_id"), held_out_mod) != held_out)
@@ -141,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int
     # Only ids are ordered and collected; then the texts of these few documents, by a broadcast of their ids.
     chosen = [(r.doc_id, q) for q in (1, 0) for r in usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text") > 0).join(F.broadcast(ids), "doc_id")
+    texts = texts.withColumn("text", spaced(F.col("text")))
     rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     by_label = [[r.text for r in rows if r.quality == q] for q in (1, 0)]

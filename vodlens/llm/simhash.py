@@ -5,9 +5,10 @@ A fingerprint's 64 bits fall into 32 segments of two bits; the vector of their b
 of the fingerprints. A count is kept in unary, two bits each: then the Manhattan distance is itself
 the number of differing bits of two such codes, and the whole embedding is one 64-bit number.
 
-Grid range join: the 32 coordinates form `bands` bands. Vectors at a Manhattan distance of at most
-d differ in at most d bands, so with d + 3 bands they share at least three whole ones: they meet in
-at least one cell of the grid over three bands. In a cell, pairs pass the Manhattan bound and then
+Grid range join: the 32 coordinates form d + w bands. Vectors at a Manhattan distance of at most d
+differ in at most d bands, so they share at least w whole ones: they meet in at least one cell of the
+grid over w bands. w is chosen from the counted fingerprints, so that cells stay small as they grow in
+number; any w finds all links. In a cell, pairs pass the Manhattan bound and then
 the exact Hamming test. A cell gives up only a spanning forest of its links, never all pairs, and
 cells of over CELL fingerprints are worked on as pairs of blocks of half that size, so that no task
 holds a whole hot cell and no link is lost.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from vodlens.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 CELL = 4_096
+#: Whole bands that a cell fixes: the least, the most, and the bits of a vector of unrelated texts' counts.
+LEAST_BANDS, MOST_BANDS, ENTROPY = 3, 6, 48
 #: Every second bit of a 64-bit number.
 EVEN = 0x5555555555555555
 
@@ -123,10 +127,19 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[t
     return out
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
+def bands_for(count: int, distance: int) -> int:
+    """The fewest whole bands with which a fingerprint meets at most eight unrelated ones in all its cells."""
+    for whole in range(LEAST_BANDS, MOST_BANDS):
+        if comb(distance + whole, whole) * count <= 8 * 2 ** (ENTROPY * whole / (distance + whole)):
+            return whole
+    return MOST_BANDS
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL, whole: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), enough to connect what is connected."""
-    masks = bands_of(distance + 3)
-    grids = list(combinations(range(len(masks)), 3))
+    whole = whole or bands_for(nodes.count(), distance)
+    masks = bands_of(distance + whole)
+    grids = list(combinations(range(len(masks)), whole))
     code = unary_counts(F.col("fp"))
     cells = F.array(*[F.struct(F.lit(k).alias("grid"), code.bitwiseAND(F.lit(_signed(sum(masks[m] for m in g)))).alias("at")) for k, g in enumerate(grids)])
     placed = nodes.select("fp", F.explode(cells).alias("c")).select("fp", "c.grid", "c.at")

@@ -1,9 +1,9 @@
 """URL filters: a trie over reversed host labels and path segments, longest match first.
 
 A rule's host fits the host itself and every subdomain; its path fits each url path that starts
-with it. Of several fitting rules the longest (host and path, in characters) wins; where an allow
-and a block rule are equal in text, the one listed last holds. Without a fitting rule the verdict is
-the filter's default.
+with it. Of several fitting rules the longest (host and path, in characters) wins; of those of equal
+length the one listed last, and so where an allow and a block rule are equal in text. Without a fitting
+rule the verdict is the filter's default.
 
 The trie is a part of each task, so its size is checked: beyond MAX_RULES the rules are joined
 instead, on the host suffixes and path prefixes of each url.
@@ -32,14 +32,16 @@ class RuleTrie:
     """Nodes are dicts. Host labels lead down from the top-level domain, then path segments follow.
 
     A rule's last path segment is kept apart at its node (key TAILS), since it need only be the
-    beginning of a url's segment: /en fits /english, /en/ ends in an empty segment that fits all.
+    beginning of a url's segment: /en fits /english, /en/ ends in an empty segment that fits all. The
+    beginnings of a segment are looked up by the lengths that the node's tails have (key SIZES), so
+    that many rules at one node cost no more than their distinct lengths.
     """
 
-    PATHS, TAILS = 0, 1  # labels and segments are strings, so these cannot clash
+    PATHS, TAILS, SIZES = 0, 1, 2  # labels and segments are strings, so these cannot clash
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
-        for host, path, verdict in rules:
+        for order, (host, path, verdict) in enumerate(rules):
             node = self.root
             for label in reversed(host.lower().split(".")):
                 node = node.setdefault(label, {})
@@ -47,10 +49,11 @@ class RuleTrie:
             *segments, tail = path.split("/")
             for segment in segments:
                 node = node.setdefault(segment, {})
-            node.setdefault(self.TAILS, {})[tail] = (host + path, verdict)
+            node.setdefault(self.TAILS, {})[tail] = (host + path, verdict, order)
+            node.setdefault(self.SIZES, set()).add(len(tail))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
-        best, node = None, self.root
+        best, rank, node = None, (-1, -1), self.root
         segments = path.split("/")
         for label in reversed(host.split(".")):
             node = node.get(label)
@@ -58,9 +61,11 @@ class RuleTrie:
                 break
             place = node.get(self.PATHS)
             for segment in segments if place is not None else ():
-                for tail, rule in place.get(self.TAILS, {}).items():
-                    if segment.startswith(tail) and (best is None or len(rule[0]) > len(best[0])):
-                        best = rule
+                tails = place.get(self.TAILS)
+                for size in place[self.SIZES] if tails else ():
+                    rule = tails.get(segment[:size]) if size <= len(segment) else None
+                    if rule and (len(rule[0]), rule[2]) > rank:
+                        best, rank = rule[:2], (len(rule[0]), rule[2])
                 place = place.get(segment)
                 if place is None:
                     break
@@ -84,7 +89,7 @@ def _by_join(parts: DataFrame, rules: list[tuple[str, str, str]], default: str)
     labels = F.split("host", r"\.")
     hosts = urls.withColumn("r_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     fitting = hosts.join(listed, "r_host").where(F.startswith("path", "r_path"))
-    best = fitting.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.length("rule")).alias("best"))
+    best = fitting.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "r_order")).alias("best"))
     return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
