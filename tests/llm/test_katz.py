@@ -34,25 +34,43 @@ def good_turing(counts):
     return lambda r: out[r] if r <= K else 1 - REST
 
 
-def plain_scores(texts, held):
+def plain_scores(texts, held, order=2):
     train = [words(t) for i, t in texts.items() if not held(i)]
-    uni = Counter(w for ws in train for w in ws)
-    bi = Counter((h, w) for ws in train for h, w in zip([END, *ws], ws))
-    total = sum(uni.values())
-    d1, d2 = good_turing(uni.values()), good_turing(bi.values())
-    p1 = {w: d1(c) * c / total for w, c in uni.items()}
-    unknown = 1 - sum(p1.values()) if total else 1.0
-    seen = defaultdict(list)
-    for h, w in bi:
-        seen[h].append(w)
-    alpha = {h: (1 - sum(d2(bi[h, w]) * bi[h, w] for w in ws) / uni[h]) / (1 - sum(p1[w] for w in ws)) for h, ws in seen.items()}
-
-    def log_p(h, w):
-        if (h, w) in bi:
-            return math.log10(d2(bi[h, w]) * bi[h, w] / uni[h])
-        return math.log10(alpha.get(h, 1.0)) + math.log10(p1.get(w, unknown))
-
-    return {i: sum(log_p(h, w) for h, w in zip([END, *words(t)], words(t))) for i, t in texts.items()}
+    grams = [Counter() for _ in range(order)]
+    contexts = [Counter() for _ in range(order)]
+    for ws in train:
+        for i in range(len(ws)):
+            padded = [END] * (order - 1) + ws
+            for k in range(order):
+                g = tuple(padded[i + order - 1 - k : i + order])
+                grams[k][g] += 1
+                contexts[k][g[:-1]] += 1
+    total = sum(grams[0].values())
+    d = [good_turing(g.values()) for g in grams]
+    unknown = 1 - sum(d[0](c) * c / total for c in grams[0].values()) if total else 1.0
+
+    def seen_p(g):
+        return d[len(g) - 1](grams[len(g) - 1][g]) * grams[len(g) - 1][g] / contexts[len(g) - 1][g[:-1]]
+
+    alpha = [None] + [defaultdict(lambda: 1.0) for _ in range(order - 1)]
+    for k in range(1, order):
+        under = defaultdict(list)
+        for g in grams[k]:
+            under[g[:-1]].append(g)
+        for h, gs in under.items():
+            alpha[k][h] = (1 - sum(seen_p(g) for g in gs)) / (1 - sum(seen_p(g[1:]) for g in gs))
+
+    def log_p(g):
+        if g in grams[len(g) - 1]:
+            return math.log10(seen_p(g))
+        return math.log10(alpha[len(g) - 1][g[:-1]]) + log_p(g[1:]) if len(g) > 1 else math.log10(unknown)
+
+    def score(text):
+        ws = words(text)
+        padded = [END] * (order - 1) + ws
+        return sum(log_p(tuple(padded[i : i + order])) for i in range(len(ws)))
+
+    return {i: score(t) for i, t in texts.items()}
 
 
 def made(seed):
@@ -62,11 +80,11 @@ def made(seed):
     return {i: text() for i in range(150)} | {200: "never seen words here", 201: "", 202: None, 203: "W0 w0\tw1"}
 
 
-@pytest.mark.parametrize("options", [{}, {"block_chars": 900, "part_chars": 300}])
+@pytest.mark.parametrize("options", [{}, {"block_chars": 900, "part_chars": 300}, {"order": 3, "block_chars": 900, "part_chars": 300}, {"order": 4}])
 def test_scores_equal_a_plain_version(spark, options):
     texts = made(7)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    want = plain_scores(texts, held)
+    want = plain_scores(texts, held, options.get("order", 2))
     rows = katz.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **options).collect()
     assert {r.doc_id for r in rows} == set(want)
     for r in rows:
@@ -85,7 +103,7 @@ def test_saved_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b a")], "doc_id long, text string")
     model = katz.KatzScores(docs, held_out_mod=10**9)
     model.save(str(tmp_path))
-    assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/words").collect()) == [2, 2, 3]
-    assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/pairs").collect()) == [1, 1, 1, 2, 2]
-    assert spark.read.parquet(f"{tmp_path}/backoff").where("alpha > 0").count() == 3
+    assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/counts-1").collect()) == [2, 2, 3]
+    assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/counts-2").collect()) == [1, 1, 1, 2, 2]
+    assert spark.read.parquet(f"{tmp_path}/backoff-2").where("alpha > 0").count() == 3
     model.drop()

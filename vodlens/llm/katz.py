@@ -1,23 +1,25 @@
-"""LM scoring: a Katz backoff bigram model with Good-Turing discounts.
+"""LM scoring: a Katz backoff model of words with Good-Turing discounts, of any order (bigrams by default).
 
 Tokens are the words of a text (runs of other than ASCII white space, A-Z lower-cased) and one end
-token, which is also the context of a text's first token. A seen pair (h, w) of count r has
-probability d(r) * r / c(h); an unseen one has alpha(h) * p(w), and p(w) is d'(c) * c / N for a known
-word and the left-over mass for the single unknown word. d and d' are Katz's Good-Turing discounts
-for counts up to K; larger counts keep all but REST of their mass, so that every context can back
-off. alpha(h) = (1 - seen mass) / (1 - sum of p over seen words) normalises each context exactly; its
-sums are kept as integer counts of counts, so no order of addition can change them.
+token, which also fills the context before a text's first token. A seen gram (h, w) of count r has
+probability d(r) * r / c(h); an unseen one has alpha(h) * p(w | h'), where h' is h without its first
+word, and so on down to p(w), which is d'(c) * c / N for a known word and the left-over mass for the
+single unknown word. Contexts that training never saw back off with weight one. d are Katz's Good-Turing
+discounts of each order for counts up to K; larger counts keep all but REST of their mass, so that every
+context can back off. alpha(h) = (1 - seen mass) / (1 - sum of p(w | h') over seen w) normalises each
+context exactly: a gram seen in training has its shorter grams seen too, so both sums are over discounted
+counts, and are kept as integer counts of counts, which no order of addition can change.
 
 Plan. Texts are read once, into stored blocks of about BLOCK_CHARS characters: a block's number is
-written with it, so that whatever runs again meets the same blocks. A block sends each distinct word
-and pair once, with its training count, to the part of its hash (Spark moves packed rows of many
+written with it, so that whatever runs again meets the same blocks. A block sends each distinct gram
+of each order once, with its training count, to the part of its hash (Spark moves packed rows of many
 keys). A part adds the counts up, keeps them as its piece of the stored model tables and replies to
-each block in the order of its keys. So hot words and pairs are pre-aggregated, every part has about
-PART_CHARS characters' worth of keys at any input size, and the driver sees ten sums. The stored blocks
+each block in the order of its keys. So hot grams are pre-aggregated, every part has about
+PART_CHARS characters' worth of keys at any input size, and the driver sees nine sums an order. The stored blocks
 then turn the replies into scores and send the backoff sums, of which a last exchange makes the weights
 of those contexts that some block has to back off from.
 
-Words and pairs are known by 64-bit hashes in the tables (xxHash of the word; mixed for pairs).
+Grams are known by 64-bit hashes in the tables (xxHash of the word; mixed with the context's for longer ones).
 
 Defined results: a null text counts as empty, whose only token is its end; without training texts
 every token is unknown and scores 0 (probability 1 for the one unknown word); a null doc_id counts as
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 from vodlens.llm.common import crc_mod, drop_stored, stored
 
 K, REST = 5, 1e-6
+#: Words of a gram.
+ORDER = 2
 BLOCK_CHARS, PART_CHARS, LEAST_PARTS = 6_000_000, 4_000_000, 16
 END = b"\n"
 WORDS, PAIRS = 0, 1
@@ -104,23 +108,8 @@ class Discounted:
 
 
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
-
-
-def pairs_of(words: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's tokens: its distinct pairs' keys (sorted), contexts and words, and each token's pair."""
-    if not len(cur):
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none, none
-    prev = np.empty_like(cur)
-    prev[1:] = cur[:-1]
-    prev[0] = np.searchsorted(words, END_HASH)
-    distinct, pair = np.unique(prev * len(words) + cur, return_inverse=True)
-    before, after = np.divmod(distinct, len(words))
-    keys = mixed(words[before], words[after])
-    order = np.argsort(keys, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return keys[order], before[order], after[order], place[pair]
+#: Stands for the context of several ends before a text; a text without words has such a gram of its own.
+PAD_HASH = np.uint64(xxhash.xxh64_intdigest(END, 1))
 
 
 def int_planes(x: np.ndarray) -> bytes:
@@ -151,21 +140,53 @@ def block_of(ids: list, held: list[bool], texts: list[str]) -> bytes:
     return pack(ids, np.array(held, bool), lens, planes(hashes[order]), int_planes(place[coded.indices.to_numpy()]))
 
 
+class Grams:
+    """A block's distinct grams of one order, in the order of their keys; contexts are those of the order below."""
+
+    def __init__(self, below: Grams | None, words: np.ndarray, cur: np.ndarray, starts: np.ndarray):
+        self.below = below
+        if below is None:
+            self.keys, self.at = words, cur
+            return
+        if below.below is None:
+            self.context_keys, pad = words, np.searchsorted(words, END_HASH)
+        else:
+            self.context_keys, pad = np.append(below.keys, PAD_HASH), len(below.keys)
+        self.context_at = np.empty_like(below.at)
+        self.context_at[1:] = below.at[:-1]
+        self.context_at[starts] = pad
+        distinct, first, gram = np.unique(self.context_at * max(1, len(words)) + cur, return_index=True, return_inverse=True)
+        context, word = np.divmod(distinct, max(1, len(words)))
+        keys = mixed(self.context_keys[context], words[word])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = first[order]
+        self.keys, self.context, self.at = keys[order], context[order], place[gram]
+        self.lower = below.at[first]
+        self.lower_context = None if below.below is None else below.context_at[first]
+
+    def context_counts(self, counts: list[np.ndarray], level: int, end: int) -> np.ndarray:
+        """How often training has each context, from the counts of the grams below."""
+        return counts[0] if level == 2 else np.append(counts[level - 2], counts[0][end])
+
+
 class Block:
-    """A packed block again, with its pairs."""
+    """A packed block again, with its grams of all orders."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, order: int):
         self.ids, self.held, self.lens, words, cur = unpack(raw)
         self.words, self.cur = from_planes(words), from_int_planes(cur)
-        self.pairs, self.before, self.after, self.pair = pairs_of(self.words, self.cur)
-
-    def keys(self, kind: int) -> np.ndarray:
-        return self.words if kind == WORDS else self.pairs
+        starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64) if len(self.lens) else np.empty(0, np.int64)
+        self.end = int(np.searchsorted(self.words, END_HASH))
+        self.levels = [Grams(None, self.words, self.cur, starts)]
+        for _ in range(order - 1):
+            self.levels.append(Grams(self.levels[-1], self.words, self.cur, starts))
 
     def counts(self, kind: int) -> np.ndarray:
-        """How often the training documents have each key."""
-        at = self.cur if kind == WORDS else self.pair
-        return np.bincount(at[~np.repeat(self.held, self.lens)], minlength=len(self.keys(kind)))
+        """How often the training documents have each gram."""
+        level = self.levels[kind]
+        return np.bincount(level.at[~np.repeat(self.held, self.lens)], minlength=len(level.keys))
 
 
 def part_slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -220,10 +241,23 @@ def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
 class KatzModel:
     """The sums that every task needs; the tables stay in the shared folder."""
 
-    def __init__(self, n_words: np.ndarray, n_pairs: np.ndarray, tokens: int, types: int):
+    def __init__(self, histograms: list[np.ndarray], tokens: int, types: int):
         self.tokens, self.types = tokens, types
-        self.words, self.pairs = Discounted(n_words), Discounted(n_pairs)
-        self.seen = (float(self.words.total(n_words[1 : K + 1], n_words[-1])) / tokens) if tokens else 0.0
+        self.levels = [Discounted(n) for n in histograms]
+        few, many = histograms[0][1 : K + 1], histograms[0][-1]
+        self.seen = (float(self.words.total(few, many)) / tokens) if tokens else 0.0
+
+    @property
+    def order(self) -> int:
+        return len(self.levels)
+
+    @property
+    def words(self) -> Discounted:
+        return self.levels[0]
+
+    @property
+    def pairs(self) -> Discounted:
+        return self.levels[1]
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """p(w) by training count; 0 stands for the unknown word."""
@@ -231,20 +265,20 @@ class KatzModel:
             return np.ones(len(c))
         return np.where(c > 0, self.words(c) / self.tokens, 1 - self.seen)
 
-    def alpha(self, c: np.ndarray, pair_small: np.ndarray, pair_large: np.ndarray, word_small: np.ndarray, word_large: np.ndarray) -> np.ndarray:
-        """Backoff weights of contexts with count c, from their integer sums; 1 for unknown contexts."""
-        left = 1 - self.pairs.total(pair_small, pair_large) / np.maximum(c, 1)
-        rest = 1 - self.words.total(word_small, word_large) / max(1, self.tokens)
+    def alpha(self, level: int, c: np.ndarray, below: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Backoff weights of an order's contexts with counts c, and `below` for their shorter contexts; 1 for unknown ones."""
+        left = 1 - self.levels[level - 1].total(sums[:K].T, sums[K]) / np.maximum(c, 1)
+        rest = 1 - self.levels[level - 2].total(sums[K + 1 : 2 * K + 1].T, sums[2 * K + 1]) / np.maximum(below, 1)
         return np.where(c > 0, left / rest, 1.0)
 
 
-def _requests(parts: int) -> Callable:
+def _requests(parts: int, order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                block = Block(raw.as_py())
-                for kind in (WORDS, PAIRS):
-                    keys, counts = block.keys(kind), block.counts(kind)
+                block = Block(raw.as_py(), order)
+                for kind, level in enumerate(block.levels):
+                    keys, counts = level.keys, block.counts(kind)
                     yield rows_batch([(kind, number, p, pack(planes(keys[s]), counts[s].astype(np.int32))) for p, s in part_slices(keys, parts)])
 
     return run
@@ -275,46 +309,67 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_batch(out[k : k + 256])
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x
+
+
+def _backoff_rows(model: KatzModel, number: int, parts: int, level: int, grams: Grams, counts: list[np.ndarray], own: np.ndarray, end: int) -> Iterator[tuple]:
+    """Of each owned gram, under its context: its count and its shorter gram's, as counts of counts."""
+    h, r, low = grams.context[own], counts[level - 1][own], counts[level - 2][grams.lower[own]]
+    size = len(grams.context_keys)
+    sums = np.zeros((size, 2 * K + 2), np.int64)
+    for k in range(1, K + 1):
+        sums[:, k - 1] = np.bincount(h[r == k], minlength=size)
+        sums[:, K + k] = np.bincount(h[low == k], minlength=size)
+    sums[:, K] = np.bincount(h, weights=np.where(r > K, r, 0), minlength=size)
+    sums[:, 2 * K + 1] = np.bincount(h, weights=np.where(low > K, low, 0), minlength=size)
+    c = grams.context_counts(counts, level, end)
+    below = np.full(size, model.tokens, np.int64)
+    if level > 2:
+        below[h] = grams.below.context_counts(counts, level - 1, end)[grams.lower_context[own]]
+    some = np.flatnonzero(sums[:, : K + 1].any(1))
+    some = some[np.argsort(grams.context_keys[some], kind="stable")]
+    for p, s in part_slices(grams.context_keys[some], parts):
+        at = some[s]
+        yield 2 * level, number, p, pack(planes(grams.context_keys[at]), _small(c[at]), _small(below[at]), _small(sums[at].T))
+
+
 def _score(model: KatzModel, parts: int) -> Callable:
-    """Scores a block as far as it can; rows out: its state (kind 0), backoff sums (1), and needs (2)."""
+    """Scores a block as far as it can; rows out: its state (kind 0), and per order its backoff sums (even) and needs (odd)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in grouped(batches, "block"):
-            parts_of = {kind: sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"]) for kind in (-1, WORDS, PAIRS)}
-            block = Block(parts_of[-1][0]["payload"])
-            ids, held, lens, words, cur = block.ids, block.held, block.lens, block.words, block.cur
-            pair_prev, pair_cur, pair = block.before, block.after, block.pair
-            c = np.concatenate([unpack(r["payload"])[0] for r in parts_of[WORDS]]).astype(np.int64) >> 1
-            told = np.concatenate([unpack(r["payload"])[0] for r in parts_of[PAIRS]]).astype(np.int64)
-            r, own = told >> 1, (told & 1 == 1) & (told > 1)
-            doc = np.repeat(np.arange(len(lens)), lens)
-            add = lambda v: np.bincount(doc, weights=v, minlength=len(lens))
-            known = add((c > 0)[cur])
+            block = Block(next(r["payload"] for r in rows if r["kind"] == -1), model.order)
+            told = [np.concatenate([unpack(r["payload"])[0] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]).astype(np.int64) for kind in range(model.order)]
+            del rows
+            counts = [t >> 1 for t in told]
+            c, cur = counts[0], block.cur
+            doc = np.repeat(np.arange(len(block.lens)), block.lens)
+            add = lambda v: np.bincount(doc, weights=v, minlength=len(block.lens))
+            known = add((c > 0)[cur]).astype(np.int64)
             base = add(np.log10((c + 1) / (model.tokens + model.types + 1))[cur])
-            p_word = np.log10(model.unigram(c))
-            with np.errstate(divide="ignore"):
-                p_pair = np.where(r > 0, np.log10(model.pairs(np.maximum(r, 1)) / np.maximum(c[pair_prev], 1)), p_word[pair_cur])
-            score = add(p_pair[pair])
-            back = (r == 0) & (c[pair_prev] > 0)  # an unknown context backs off with weight one
-            token = np.flatnonzero(back[pair])
-            needed, need = np.unique(pair_prev[pair[token]], return_inverse=True)
-            state = pack(ids, held, lens, known.astype(np.int64), base, score, doc[token].astype(np.int32), need.astype(np.int32))
-            out = [(0, number, -1, state)]
-            # Of each owned pair: its count under its context, and its word's count.
-            h, rr, cc = pair_prev[own], r[own], c[pair_cur[own]]
-            size = len(words)
-            sums = np.zeros((size, 2 * K + 2), np.int64)
-            for k in range(1, K + 1):
-                sums[:, k - 1] = np.bincount(h[rr == k], minlength=size)
-                sums[:, K + k] = np.bincount(h[cc == k], minlength=size)
-            sums[:, K] = np.bincount(h, weights=np.where(rr > K, rr, 0), minlength=size)
-            sums[:, 2 * K + 1] = np.bincount(h, weights=np.where(cc > K, cc, 0), minlength=size)
-            some = np.flatnonzero(sums[:, : K + 1].any(1))
-            for p, s in part_slices(words[some], parts):
-                at = some[s]
-                out.append((1, number, p, pack(planes(words[at]), c[at].astype(np.int32) if c[at].max(initial=0) < 1 << 31 else c[at], sums[at].T.astype(np.int32 if sums[at].max(initial=0) < 1 << 31 else np.int64))))
-            for p, s in part_slices(words[needed], parts):
-                out.append((2, number, p, pack(planes(words[needed[s]]))))
+            # The longest seen gram of each token tells its probability; the unseen ones above it back off.
+            p, open_ = np.log10(model.unigram(c))[cur], np.ones(len(cur), bool)
+            needs, out = [], []
+            for level in range(model.order, 1, -1):
+                grams, r = block.levels[level - 1], counts[level - 1]
+                contexts = grams.context_counts(counts, level, block.end)
+                seen = (r > 0)[grams.at]
+                hit = open_ & seen
+                ratio = np.log10(model.levels[level - 1](np.maximum(r, 1)) / np.maximum(contexts[grams.context], 1))
+                p[hit] = ratio[grams.at[hit]]
+                token = np.flatnonzero(open_ & ~seen & (contexts > 0)[grams.context_at])
+                open_ &= ~seen
+                needed, need = np.unique(grams.context_at[token], return_inverse=True)
+                by_key = np.argsort(grams.context_keys[needed], kind="stable")
+                place = np.empty(len(by_key), np.int64)
+                place[by_key] = np.arange(len(by_key))
+                needs.append((level, doc[token].astype(np.int32), place[need].astype(np.int32)))
+                keys = grams.context_keys[needed[by_key]]
+                out += [(2 * level + 1, number, q, pack(planes(keys[s]))) for q, s in part_slices(keys, parts)]
+                own = (told[level - 1] & 1 == 1) & (told[level - 1] > 1)
+                out += _backoff_rows(model, number, parts, level, grams, counts, own, block.end)
+            out.insert(0, (0, number, -1, pack(block.ids, block.held, block.lens, known, base, add(p), needs)))
             for k in range(0, len(out), 256):
                 yield rows_batch(out[k : k + 256])
 
@@ -322,23 +377,27 @@ def _score(model: KatzModel, parts: int) -> Callable:
 
 
 def _weigh(model: KatzModel) -> Callable:
-    """Backoff weights of a part's contexts. Rows out: replies (block >= 0) and the table (-1)."""
+    """Backoff weights of a part's contexts. Rows out, by order: replies (block >= 0) and the table (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part,), rows in grouped(batches, "part"):
-            given = [unpack(r["payload"]) for r in rows if r["kind"] == 1]
-            asked = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["block"])
-            keys = [from_planes(g[0]) for g in given] or [np.empty(0, np.uint64)]
-            every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            c = np.concatenate([g[1] for g in given]).astype(np.int64)[first] if given else np.empty(0, np.int64)
-            sums = np.zeros((2 * K + 2, len(every)), np.int64)
-            for k in range(2 * K + 2) if given else ():
-                np.add.at(sums[k], at, np.concatenate([g[2][k] for g in given]))
-            alpha = model.alpha(c, sums[:K].T, sums[K], sums[K + 1 : 2 * K + 1].T, sums[2 * K + 1])
-            out = [(0, -1, part, pack(planes(every), c, alpha))]
-            for r in asked:
-                want = from_planes(unpack(r["payload"])[0])
-                out.append((0, r["block"], part, pack(alpha[np.searchsorted(every, want)])))
+            out = []
+            for level in range(2, model.order + 1):
+                given = [unpack(r["payload"]) for r in rows if r["kind"] == 2 * level]
+                asked = sorted((r for r in rows if r["kind"] == 2 * level + 1), key=lambda r: r["block"])
+                if not given and not asked:
+                    continue
+                keys = [from_planes(g[0]) for g in given] or [np.empty(0, np.uint64)]
+                every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+                c, below = (np.concatenate([g[k] for g in given]).astype(np.int64)[first] if given else np.empty(0, np.int64) for k in (1, 2))
+                sums = np.zeros((2 * K + 2, len(every)), np.int64)
+                for k in range(2 * K + 2) if given else ():
+                    np.add.at(sums[k], at, np.concatenate([g[3][k] for g in given]))
+                alpha = model.alpha(level, c, below, sums)
+                out.append((level, -1, part, pack(planes(every), c, alpha)))
+                for r in asked:
+                    want = from_planes(unpack(r["payload"])[0])
+                    out.append((level, r["block"], part, pack(alpha[np.searchsorted(every, want)])))
             for k in range(0, len(out), 256):
                 yield rows_batch(out[k : k + 256])
 
@@ -348,11 +407,12 @@ def _weigh(model: KatzModel) -> Callable:
 def _finish(model: KatzModel) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "block"):
-            rows.sort(key=lambda r: r["part"])
-            (ids, held, lens, known, base, score, doc, need), replies = unpack(rows[0]["payload"]), rows[1:]
-            if replies:
-                alpha = np.log10(np.concatenate([unpack(r["payload"])[0] for r in replies]))
-                score = score + np.bincount(doc, weights=alpha[need], minlength=len(lens))
+            ids, held, lens, known, base, score, needs = unpack(next(r["payload"] for r in rows if r["part"] == -1))
+            for level, doc, need in needs:
+                replies = sorted((r for r in rows if r["kind"] == level and r["part"] >= 0), key=lambda r: r["part"])
+                if replies:
+                    alpha = np.log10(np.concatenate([unpack(r["payload"])[0] for r in replies]))
+                    score = score + np.bincount(doc, weights=alpha[need], minlength=len(lens))
             cols = [ids, held, lens, known, np.full(len(lens), model.tokens), base, score]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, OUT_KINDS)], [x.split(" ")[0] for x in OUT.split(", ")])
 
@@ -362,22 +422,21 @@ def _finish(model: KatzModel) -> Callable:
 class KatzScores:
     """Scores of all documents, and the stored model tables (packed by part): counts and weights."""
 
-    def __init__(self, docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS, least_parts: int = LEAST_PARTS):
+    def __init__(self, docs: DataFrame, held_out_mod: int = 7, held_out: int = 2, order: int = ORDER, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS, least_parts: int = LEAST_PARTS):
         held = F.coalesce(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), held_out_mod) == held_out), F.lit(False))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
         chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         parts = max(least_parts, -(-chars // part_chars))
         self.blocks = stored(rows.mapInArrow(_blocks(block_chars), MIXED), "katz-blocks")
-        sent = self.blocks.mapInArrow(_requests(parts), MIXED)
-        dealt = sent.repartition(2 * parts, "kind", "part").sortWithinPartitions("kind", "part")
+        sent = self.blocks.mapInArrow(_requests(parts, order), MIXED)
+        dealt = sent.repartition(order * parts, "kind", "part").sortWithinPartitions("kind", "part")
         self.counts = stored(dealt.mapInArrow(_count, MIXED), "katz-counts")
         sums = self.counts.where("block = -2").mapInArrow(_unpacked_sums, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
-        n = np.zeros((2, K + 5), np.int64)
+        n = np.zeros((order, K + 5), np.int64)
         for s in sums:
             n[s["kind"], s["at"]] = s["n"]
-        # Per kind: types seen 0..K+1 times, sum of counts over K, tokens, types.
-        histogram = [np.concatenate([x[: K + 2], x[K + 2 : K + 3]]) for x in n]
-        self.model = KatzModel(histogram[0], histogram[1], int(n[0, K + 3]), int(n[0, K + 4]))
+        # Per order: types seen 0..K+1 times, sum of counts over K, tokens, types.
+        self.model = KatzModel([np.concatenate([x[: K + 2], x[K + 2 : K + 3]]) for x in n], int(n[0, K + 3]), int(n[0, K + 4]))
         met = self.blocks.unionByName(self.counts.where("block >= 0")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
         self.states = stored(met.mapInArrow(_score(self.model, parts), MIXED), "katz-states")
         drop_stored(self.blocks)
@@ -387,20 +446,21 @@ class KatzScores:
 
     def scores(self) -> DataFrame:
         both = self.states.where("part = -1").unionByName(self.weights.where("block >= 0"))
-        return both.repartition(self.parts, "block").sortWithinPartitions("block", "part").mapInArrow(_finish(self.model), OUT)
+        return both.repartition(self.parts, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(_finish(self.model), OUT)
 
     def table(self, kind: int) -> DataFrame:
-        """key and count of all words (0) or pairs (1) of the training texts."""
+        """key and count of all words (0), pairs (1) or longer grams of the training texts."""
         return self.counts.where((F.col("block") == -1) & (F.col("kind") == kind)).mapInArrow(_unpacked_table, "key long, count long")
 
-    def backoff(self) -> DataFrame:
-        """key, count and alpha of every context."""
-        return self.weights.where("block = -1").mapInArrow(_unpacked_weights, "key long, count long, alpha double")
+    def backoff(self, level: int = 2) -> DataFrame:
+        """key, count and alpha of every context of an order."""
+        return self.weights.where((F.col("block") == -1) & (F.col("kind") == level)).mapInArrow(_unpacked_weights, "key long, count long, alpha double")
 
     def save(self, path: str) -> None:
-        """The model as tables of plain columns: words and pairs (key, count) and backoff (key, count, alpha), by part of the key."""
+        """The model as tables of plain columns, by part of the key: counts-1, .. (key, count) and backoff-2, .. (key, count, alpha)."""
         part = F.shiftrightunsigned("key", 56).cast("int").alias("part")
-        for name, df in (("words", self.table(WORDS)), ("pairs", self.table(PAIRS)), ("backoff", self.backoff())):
+        tables = {f"counts-{k + 1}": self.table(k) for k in range(self.model.order)} | {f"backoff-{k}": self.backoff(k) for k in range(2, self.model.order + 1)}
+        for name, df in tables.items():
             df.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
 
     def drop(self) -> None:
