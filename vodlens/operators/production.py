@@ -35,7 +35,7 @@ def chat_evidence(candidates: DataFrame, chat: DataFrame, keys: list[str], item:
     mean = F.col("n_all") / F.col("span")
     rate = F.coalesce("n_in", F.lit(0)) / F.greatest(F.lit(1.0), F.col("e_high") - F.col("e_low"))
     z = C.clamp((rate - mean) / F.greatest(F.lit(0.5), 0.5 * mean), 0.0, 10.0)
-    return j.select(*keys, item, F.coalesce(z, F.lit(1.5)).alias("z"), F.coalesce("dominant", F.array().cast("array<string>")).alias("dominant"))
+    return j.select(*keys, item, F.when(F.col("n_all").isNull(), 1.5).otherwise(z).alias("z"), F.coalesce("dominant", F.array().cast("array<string>")).alias("dominant"))
 
 
 def hooks(candidates: DataFrame, speech: DataFrame, keys: list[str], item: str, start: str, end: str, bin_size: float = 60.0, words: int = 12, summary: int = 160) -> DataFrame:
@@ -103,13 +103,13 @@ def macro_chapters(highlights: DataFrame, bounds: DataFrame, keys: list[str], it
     """
     from vodlens.operators.folds import thinned
 
-    strong = highlights.where(F.col(score) >= least).select(*keys, item, F.col(ts).alias("t"), F.col(score).alias("s"))
+    strong = highlights.where(F.col(score) >= least).select(*keys, F.col(item).cast("string").alias("m_item"), F.col(ts).alias("m_t"), F.col(score).alias("m_score"))
     # The start of the recording counts as the first kept time.
-    begin = bounds.select(*keys, F.lit(None).cast(highlights.schema[item].dataType).alias(item), F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("s"))
-    kept = thinned(begin.unionByName(strong).withColumn(item, F.coalesce(F.col(item).cast("string"), F.lit(""))), keys, "t", item, apart)
-    placed = kept.join(strong.withColumn(item, F.col(item).cast("string")), [*keys, item, "t"], "left")
-    kind = F.when(F.col(item) == "", "start").when(F.col("s") >= peak, "peak").otherwise("climax")
-    rows = placed.select(*keys, "t", kind.alias("kind"))
+    begin = bounds.select(*keys, F.lit("").alias("m_item"), F.lit(0.0).alias("m_t"), F.lit(None).cast("double").alias("m_score"))
+    kept = thinned(begin.unionByName(strong), keys, "m_t", "m_item", apart)
+    placed = kept.join(strong, [*keys, "m_item", "m_t"], "left")
+    kind = F.when(F.col("m_item") == "", "start").when(F.col("m_score") >= peak, "peak").otherwise("climax")
+    rows = placed.select(*keys, F.col("m_t").alias("t"), kind.alias("kind"))
     last = rows.groupBy(*keys).agg(F.max("t").alias("last")).join(bounds.select(*keys, "duration"), keys)
     close = last.where((F.col("duration") > 1800) & (F.col("duration") - F.col("last") >= 600)).select(*keys, (F.col("duration") - 300).alias("t"), F.lit("close").alias("kind"))
     return rows.unionByName(close).withColumn("label", C.clock(F.col("t")))
