@@ -93,3 +93,12 @@ def test_rpc_schemas_and_streams(spark, tmp_path):
     assert d.handle({"method": "getLiveStatus", "params": {"name": "tail"}})["result"]["error"] is None
     assert not d.handle({"method": "stopLiveTail", "params": {"name": "tail"}})["result"]["active"]
     assert d.handle({"method": "startLiveTail", "params": {"name": "none"}})["error"]["code"] == -32602
+
+
+def test_uuid5_equals_the_library(spark):
+    import uuid
+
+    from vodlens.functions import columns as C
+
+    rows = spark.createDataFrame([("a",), ("é long name",), ("",), *[(str(k),) for k in range(40)]], "n string").select("n", C.uuid5(str(uuid.NAMESPACE_URL), F.col("n")).alias("u"))
+    assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, r.n)) for r in rows.collect())

@@ -102,6 +102,15 @@ def half_life(value: Column, days: Column, half: float = 14.0) -> Column:
     return value * F.pow(F.lit(2.0), -days / half)
 
 
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (version 5) of a text, as text."""
+    import uuid
+
+    h = F.sha1(F.concat(F.unhex(F.lit(uuid.UUID(namespace).hex)), name.cast("binary")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def fuzzy_match(pattern: str, text: Column) -> Column:
     """Substring over squashed words, or a word that differs in at most one position or by one letter at the end."""
     import re

@@ -75,10 +75,11 @@ def training_triples(slices: DataFrame, edge: float = 0.33) -> DataFrame:
 
 
 def chapters(segmented: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
-    """Per segment: span, majority scene (ties: first met) and mean velocity."""
+    """Per segment: span, majority scene (ties: first met), mean velocity, and as title its first text on screen, else the scene."""
     rows = segmented.select(*keys, "segment_id", "bucket_index").join(slices, [*keys, "bucket_index"])
     scenes = rows.groupBy(*keys, "segment_id", "active_scene_type").agg(F.count(F.lit(1)).alias("n"), F.min("bucket_index").alias("first"))
     order = Window.partitionBy(*keys, "segment_id").orderBy(F.desc("n"), "first")
     main = scenes.withColumn("r", F.row_number().over(order)).where("r = 1").select(*keys, "segment_id", F.col("active_scene_type").alias("scene_type"))
-    spans = rows.groupBy(*keys, "segment_id").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.avg("chat_velocity_per_sec").alias("mean_velocity"))
-    return spans.join(main, [*keys, "segment_id"])
+    spans = rows.groupBy(*keys, "segment_id").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.avg("chat_velocity_per_sec").alias("mean_velocity"), F.min(F.when(F.size("screen_ocr") > 0, F.struct("bucket_index", F.col("screen_ocr")[0].alias("ocr")))).alias("shown"))
+    named = spans.join(main, [*keys, "segment_id"])
+    return named.withColumn("title", F.coalesce("shown.ocr", F.initcap(F.replace("scene_type", F.lit("_"), F.lit(" "))))).drop("shown")

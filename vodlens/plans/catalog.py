@@ -495,7 +495,7 @@ def scene_chapters(spark, d):
     m = _matrix(spark, d)
     seg = folds.scene_segments(m, ["stream_id"], "start_sec", "active_scene_type", "bucket_index", DAY)
     out = fusion.chapters(seg.select("stream_id", "segment_id", "bucket_index"), m, ["stream_id"])
-    return out.select("stream_id", "segment_id", "scene_type", C.clock(F.col("start_sec")).alias("label"), "start_sec", "end_sec", r6("mean_velocity").alias("mean_velocity"))
+    return out.select("stream_id", "segment_id", "scene_type", "title", C.clock(F.col("start_sec")).alias("label"), "start_sec", "end_sec", r6("mean_velocity").alias("mean_velocity"))
 
 
 THIN = f"""WITH RECURSIVE $VIEWS, o AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev),

@@ -363,6 +363,32 @@ SELECT stream_id, t AS timestamp_sec FROM r JOIN o USING (stream_id, k) WHERE ke
         return folds.sampling_plan(V.bounds(V.chat(spark, d)), b.unionByName(said), cuts, ["stream_id"], 600.0, 6000.0)
 
 
+EMOTES = ", ".join(f"'{k}'" for k in L.EMOTE_POLARITY)
+
+
+@query(f"WITH $VIEWS SELECT message_id, round(timestamp_offset, 6) AS t FROM chat WHERE len(list_filter(string_split(content, ' '), lambda w: w IN ({EMOTES}))) > 0 OR length(content) > 20")
+def emote_triggers(spark, d):
+    """The times of messages with an emote, or of over twenty characters."""
+    emotes = F.filter(C.words(F.col("content")), lambda w: w.isin(*L.EMOTE_POLARITY))
+    return V.chat(spark, d).where((F.size(emotes) > 0) | (F.length("content") > 20)).select("message_id", r6("timestamp_offset").alias("t"))
+
+
+FEED = " OR ".join(f"contains(lower(text), '{w}')" for w in L.KILLFEED)
+KNOWN = " OR ".join(f"contains(lower(m), '{w}')" for w in L.SITES)
+
+
+@query(rf"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
+c AS (SELECT doc_id, list_filter(list_transform(lines, lambda x: regexp_extract(x, '{media.HANDLE}', 1)), lambda h: h <> '')[1] AS handle, list_filter(regexp_extract_all(text, '{media.ADDRESS}', 1), lambda m: {KNOWN})[1] AS url, {FEED} AS killfeed FROM l)
+SELECT * FROM c WHERE handle IS NOT NULL OR url IS NOT NULL OR killfeed""")
+def dense_frames(spark, d):
+    """Each frame's first post, address and kill feed together."""
+    docs = table(spark, d, "documents")
+    cards = media.screen_cards(docs.select("doc_id", F.array("text").alias("ocr_text_blocks")), ["doc_id"])
+    first = cards.groupBy("doc_id").agg(F.min_by("handle", F.struct("block_no", "line_no")).alias("handle"))
+    seen = docs.select("doc_id", media.screen_address(F.col("text"))["url"].alias("url"), media.is_killfeed(F.col("text")).alias("killfeed"))
+    return seen.join(first, "doc_id", "left").where("handle is not null or url is not null or killfeed").select("doc_id", "handle", "url", "killfeed")
+
+
 # ---- live ---------------------------------------------------------------------------------------
 
 

@@ -76,8 +76,8 @@ oracle("scene_segments", f"WITH RECURSIVE $VIEWS, {scenes('keyframes', 'timestam
 oracle("scene_chapters", f"""WITH RECURSIVE $VIEWS, {MATRIX}, {scenes('mat', 'start_sec', 'active_scene_type', 'bucket_index', DAY)},
 g AS (SELECT stream_id, segment_id, item AS bucket_index FROM r JOIN o USING (stream_id, k)), x AS (SELECT * FROM g JOIN mat USING (stream_id, bucket_index)),
 n AS (SELECT stream_id, segment_id, active_scene_type AS scene_type, count(*) AS n, min(bucket_index) AS first FROM x GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY n DESC, first) AS i FROM n),
-s AS (SELECT stream_id, segment_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, round(avg(chat_velocity_per_sec), 6) AS mean_velocity FROM x GROUP BY ALL)
-SELECT stream_id, segment_id, scene_type, {CLOCK} AS label, start_sec, end_sec, mean_velocity FROM s JOIN c USING (stream_id, segment_id) WHERE i = 1""")
+s AS (SELECT stream_id, segment_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, round(avg(chat_velocity_per_sec), 6) AS mean_velocity, (min(struct_pack(b := bucket_index, o := screen_ocr[1])) FILTER (len(screen_ocr) > 0)).o AS shown FROM x GROUP BY ALL)
+SELECT stream_id, segment_id, scene_type, coalesce(shown, array_to_string(list_transform(string_split(scene_type, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ')) AS title, {CLOCK} AS label, start_sec, end_sec, mean_velocity FROM s JOIN c USING (stream_id, segment_id) WHERE i = 1""")
 
 # ---- folds --------------------------------------------------------------------------------------
 
