@@ -16,8 +16,11 @@ def build_matrix(chat: DataFrame, speech: DataFrame, keyframes: DataFrame, bound
     bounds: keys and duration. Chat is shifted by the latency; speech counts where it overlaps a bucket
     strictly; a bucket's last keyframe wins and is carried forward.
     """
-    dense = spikes(tumbling_counts(chat, bounds, keys, "timestamp_offset", width, lag), keys)
-    mood = chat_ops.bucket_sentiment(chat, keys, width=width, lag=lag)
+    # Counts and mood come from one pass over the chat.
+    total, hits = chat_ops.polarity_sums(F.col("content"))
+    marked = chat.select(*keys, "timestamp_offset", total.alias("p"), hits.alias("h"))
+    dense = spikes(tumbling_counts(marked, bounds, keys, "timestamp_offset", width, lag, p=F.sum("p"), h=F.sum("h")), keys)
+    dense = dense.withColumn("sentiment", F.when(F.col("h") > 0, F.col("p") / F.col("h")).otherwise(0.0)).drop("p", "h")
     top = chat_ops.top_tokens(chat, keys, width=width, lag=lag)
     votes = top.groupBy(*keys, "bucket_index").agg(
         F.sum(F.when(F.col("token").isin(*L.AGREEMENT_TOKENS), F.col("n")).otherwise(0)).alias("agree"),
@@ -36,7 +39,7 @@ def build_matrix(chat: DataFrame, speech: DataFrame, keyframes: DataFrame, bound
     frames = keyframes.withColumn("bucket_index", bucket(F.col("timestamp_sec"), width)).groupBy(*keys, "bucket_index")
     seen = frames.agg(F.max_by(F.struct("scene_type", "screen_summary", "ocr_text_blocks"), "frame_index").alias("frame"))
     at = [*keys, "bucket_index"]
-    rows = dense.join(mood.drop("n_hits"), at, "left").join(votes, at, "left").join(spoken, at, "left").join(seen, at, "left")
+    rows = dense.join(votes, at, "left").join(spoken, at, "left").join(seen, at, "left")
     rows = carry_forward(rows, keys, "bucket_index", ["frame"]).fillna({"sentiment": 0.0, "agree": 0, "dissent": 0})
     spoke = F.coalesce("streamer_spoke", F.lit(False))
     total = F.col("agree") + F.col("dissent")
