@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vodlens.llm import bpe, decontaminate, html_extract, katz, line_dedup, quality, simhash, topk, url_rules, warc
+from vodlens.llm import bpe, decontaminate, html_extract, katz, kmeans, language, line_dedup, quality, ranked, simhash, topk, url_rules, warc
 from vodlens.llm.common import table
 
 
@@ -51,6 +51,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -59,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE, "op7_url_rules": url_rules.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op7_url_rules": url_rules.ORACLE, "op9_topk": topk.ORACLE, "op11_ranked": ranked.ORACLE, "op13_kmeans": kmeans.ORACLE}
