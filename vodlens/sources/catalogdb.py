@@ -173,7 +173,9 @@ class TableReader(DataSourceReader):
                 out += [Rows(path, at, min(at + size, high + 1)) for at in range(low, high + 1, size)]
         return out
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
+    def read(self, partition: Rows | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's way to read a source without partitions
+            return
         table, kinds = self.options["table"], [f.dataType for f in self.schema]
         with database(partition.path) as c:
             there = {r[1] for r in c.execute(f"PRAGMA table_info({quoted(table)})")}

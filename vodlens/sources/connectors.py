@@ -250,8 +250,9 @@ class LogReader(DataSourceReader):
             out += ranges(channel, parts[0][0], log.size(), rows) if parts else []
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from LineLog(self.options["log"], partition.channel).read(partition.first, partition.last)
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # None: Spark's way to read a source without partitions
+            yield from LineLog(self.options["log"], partition.channel).read(partition.first, partition.last)
 
 
 class LiveReader(DataSourceStreamReader):
@@ -293,8 +294,9 @@ class LiveReader(DataSourceStreamReader):
         rows = int(self.options.get("rowsperpartition", 50_000))
         return [p for channel, last in end.items() for p in ranges(channel, start.get(channel, 0), last, rows)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from LineLog(self.options["log"], partition.channel).read(partition.first, partition.last)
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is not None:  # None: Spark's way to read a source without partitions
+            yield from LineLog(self.options["log"], partition.channel).read(partition.first, partition.last)
 
     def commit(self, end: dict[str, int]) -> None:
         if self.options.get("keep", "all") == "unread":
