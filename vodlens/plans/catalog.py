@@ -731,7 +731,7 @@ def stream_ring(spark, d):
 
 @cache
 def _complete() -> None:
-    from vodlens.plans import making, more, oracles  # noqa: F401  more registers its queries
+    from vodlens.plans import deep, making, more, oracles  # noqa: F401  deep and more register their queries
 
     ORACLES.update(oracles.ORACLES)
     making.register()
