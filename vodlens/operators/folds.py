@@ -1,18 +1,20 @@
 """Sequential operators: greedy selection, segmentation and chunking.
 
-Each is a fold over one key's rows in time order, which no window function can express; rows go to it
-pre-reduced, one key at a time, through applyInPandas. A key is one stream (a recording), so a group
-is bounded by the length of a recording, not by the table.
+Each is a fold over one key's rows, which no window function can express. Folds in time order run over
+blocks of rows (operators/blocks), so that a long key is spread over many tasks; greedy selection by score
+and the sampling plans take a key's rows, pre-reduced, through applyInPandas: one recording each.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vodlens.operators import blocks
 from vodlens.plans.session import ship_package
 
 
@@ -41,14 +43,32 @@ def thin(times: list[float], least: float) -> list[int]:
     return kept
 
 
-def thinned(rows: DataFrame, keys: list[str], ts: str, item: str, least: float) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, item, ts])
+class Thin(blocks.Fold):
+    """thin() as a fold: the state is the last kept time."""
 
-    def fold(pdf: pd.DataFrame) -> list:
-        return [(pdf[item].iloc[k], pdf[ts].iloc[k]) for k in thin(pdf[ts].tolist(), least)]
+    def __init__(self, least: float):
+        self.least = least
+
+    def reset(self) -> None:
+        self.last = None
+
+    def get(self):
+        return self.last
+
+    def set(self, state) -> None:
+        self.last = state
+
+    def step(self, item, t) -> list[tuple]:
+        if self.last is not None and t - self.last < self.least:
+            return []
+        self.last = t
+        return [(0, 0, (item, t))]
 
-    return folded(rows.select(*keys, item, ts), keys, [ts, item], fold, schema)
+
+def thinned(rows: DataFrame, keys: list[str], ts: str, item: str, least: float, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, item, ts])
+    return blocks.folded(rows, keys, [ts, item], [item, ts], Thin(least), schema, rows_per_block)
 
 
 def greedy_nms(rows: DataFrame, keys: list[str], ts: str, score: str, item: str, apart: float, cap: int | None = None) -> DataFrame:
@@ -74,118 +94,199 @@ def greedy_nms(rows: DataFrame, keys: list[str], ts: str, score: str, item: str,
     return folded(rows.select(*keys, item, ts, score), keys, [ts, item], fold, schema)
 
 
-def scene_segments(rows: DataFrame, keys: list[str], ts: str, scene: str, item: str, least: float = 60.0) -> DataFrame:
+class Scenes(blocks.Fold):
+    """The state is the segment's scene and when it began; its number counts the changes."""
+
+    number_at = 0
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def reset(self) -> None:
+        self.now, self.since = None, None
+
+    def get(self):
+        return self.now, self.since
+
+    def set(self, state) -> None:
+        self.now, self.since = state
+
+    def step(self, item, t, scene) -> list[tuple]:
+        begins = 0
+        if self.since is None:
+            self.now, self.since = scene, t
+        elif scene != self.now and scene != "UNKNOWN" and t - self.since >= self.least:
+            self.now, self.since, begins = scene, t, 1
+        return [(begins, 0, (item, t, scene))]
+
+
+def scene_segments(rows: DataFrame, keys: list[str], ts: str, scene: str, item: str, least: float = 60.0, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """A new segment begins where the scene differs from the segment's, is known, and `least` seconds have passed."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"segment_id int, {item} {kinds[item]}, {ts} {kinds[ts]}, {scene} string"])
+    return blocks.folded(rows, keys, [ts, item], [item, ts, scene], Scenes(least), schema, rows_per_block)
 
-    def fold(pdf: pd.DataFrame) -> list:
-        out, number, now, since = [], 0, None, None
-        for i, t, s in pdf[[item, ts, scene]].itertuples(index=False):
-            if now is None:
-                now, since = s, t
-            elif s != now and s != "UNKNOWN" and t - since >= least:
-                number, now, since = number + 1, s, t
-            out.append((number, i, t, s))
+
+class Chunks(blocks.Fold):
+    """The state is the chunk that is open."""
+
+    number_at = 0
+
+    def __init__(self, span: float, back: float):
+        self.span, self.back = span, back
+
+    def reset(self) -> None:
+        self.held, self.begin, self.last = [], 0.0, 0.0
+
+    def get(self):
+        return list(self.held), self.begin, self.last
+
+    def set(self, state) -> None:
+        self.held, self.begin, self.last = list(state[0]), *state[1:]
+
+    def step(self, start, end, text) -> list[tuple]:
+        out = []
+        if self.held and end - self.begin > self.span:
+            out = self.close()
+            self.held, self.begin = [], max(0.0, start - self.back)
+        elif not self.held:
+            self.begin = start
+        self.held.append(text)
+        self.last = end
         return out
 
-    return folded(rows.select(*keys, item, ts, scene), keys, [ts, item], fold, schema)
+    def close(self) -> list[tuple]:
+        return [(0, 1, (self.begin, self.last, " ".join(self.held)))] if self.held else []
 
 
-def chunked(rows: DataFrame, keys: list[str], start: str, end: str, text: str, span: float = 15.0, back: float = 3.0) -> DataFrame:
+def chunked(rows: DataFrame, keys: list[str], start: str, end: str, text: str, span: float = 15.0, back: float = 3.0, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """Transcript chunks of at most `span` seconds; a later chunk's start is set `back` seconds earlier."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "chunk_no int, start_sec double, end_sec double, text string"])
+    return blocks.folded(rows.where(F.trim(text) != ""), keys, [start, end, text], [start, end, text], Chunks(span, back), schema, rows_per_block)
 
-    def fold(pdf: pd.DataFrame) -> list:
-        out: list[tuple] = []
-        held: list[str] = []
-        begin = last = 0.0
-        for s, e, t in pdf[[start, end, text]].itertuples(index=False):
-            if held and e - begin > span:
-                out.append((len(out), begin, last, " ".join(held)))
-                held, begin = [], max(0.0, s - back)
-            elif not held:
-                begin = s
-            held.append(t)
-            last = e
-        if held:
-            out.append((len(out), begin, last, " ".join(held)))
+
+class Captions(blocks.Fold):
+    """The state is the line that is open."""
+
+    number_at = 0
+
+    def __init__(self, most: int, gap: float):
+        self.most, self.gap = most, gap
+
+    def reset(self) -> None:
+        self.held = []
+
+    def get(self):
+        return list(self.held)
+
+    def set(self, state) -> None:
+        self.held = list(state)
+
+    def step(self, *row) -> list[tuple]:
+        out = []
+        if self.held and (len(self.held) >= self.most or row[0] - self.held[-1][1] > self.gap):
+            out = self.close()
+            self.held = []
+        self.held.append(row)
         return out
 
-    return folded(rows.select(*keys, start, end, text).where(F.trim(text) != ""), keys, [start, end, text], fold, schema)
+    def close(self) -> list[tuple]:
+        return [(0, 1, (self.held[0][0], self.held[-1][1], " ".join(h[2] for h in self.held)))] if self.held else []
 
 
-def caption_lines(rows: DataFrame, keys: list[str], start: str, end: str, word: str, most: int = 5, gap: float = 0.8) -> DataFrame:
+def caption_lines(rows: DataFrame, keys: list[str], start: str, end: str, word: str, most: int = 5, gap: float = 0.8, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """Caption lines of at most `most` words without a pause of over `gap` seconds."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "line_no int, start_sec double, end_sec double, text string"])
+    return blocks.folded(rows, keys, [start, end], [start, end, word], Captions(most, gap), schema, rows_per_block)
 
-    def fold(pdf: pd.DataFrame) -> list:
-        out: list[tuple] = []
-        held: list[tuple] = []
-        for row in pdf[[start, end, word]].itertuples(index=False, name=None):
-            if held and (len(held) >= most or row[0] - held[-1][1] > gap):
-                out.append((len(out), held[0][0], held[-1][1], " ".join(h[2] for h in held)))
-                held = []
-            held.append(row)
-        if held:
-            out.append((len(out), held[0][0], held[-1][1], " ".join(h[2] for h in held)))
+
+class Leaders(blocks.Fold):
+    """The state is the rows of the latest window, with whether a cluster has them; a seed is decided when its window is over."""
+
+    def __init__(self, similar: float, within: float, authors: int):
+        self.similar, self.within, self.authors = similar, within, authors
+
+    def reset(self) -> None:
+        self.held = deque()
+
+    def get(self):
+        return [tuple(h) for h in self.held]
+
+    def set(self, state) -> None:
+        self.held = deque(list(h) for h in state)
+
+    def decided(self) -> list[tuple]:
+        """The oldest row as a seed, with the rows of its window."""
+        t, item, author, seed, used = self.held[0]
+        out = []
+        if seed and not used:
+            member = [h for k, h in enumerate(self.held) if k == 0 or (h[0] - t <= self.within and not h[4] and h[3] and len(seed & h[3]) / len(seed | h[3]) >= self.similar)]
+            distinct = len({h[2] for h in member})
+            if distinct >= self.authors:
+                for h in member:
+                    h[4] = True
+                out = [(0, 0, (item, t, max(h[0] for h in member), distinct, len(member)))]
+        self.held.popleft()
         return out
 
-    return folded(rows.select(*keys, start, end, word), keys, [start, end], fold, schema)
+    def step(self, t, item, author, tokens) -> list[tuple]:
+        out = []
+        while self.held and t - self.held[0][0] > self.within:
+            out += self.decided()
+        self.held.append([t, item, author, frozenset(tokens or ()), False])
+        return out
 
+    def close(self) -> list[tuple]:
+        out = []
+        while self.held:
+            out += self.decided()
+        return out
 
-def leader_clusters(rows: DataFrame, keys: list[str], ts: str, item: str, author: str, tokens: str, similar: float = 0.65, within: float = 10.0, authors: int = 5) -> DataFrame:
+
+def leader_clusters(rows: DataFrame, keys: list[str], ts: str, item: str, author: str, tokens: str, similar: float = 0.65, within: float = 10.0, authors: int = 5, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """Clusters around seeds in time order: later rows within `within` seconds of the seed whose token sets are `similar`."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"seed {kinds[item]}, start_sec double, end_sec double, n_authors int, n_rows int"])
+    return blocks.folded(rows, keys, [ts, item], [ts, item, author, tokens], Leaders(similar, within, authors), schema, rows_per_block)
 
-    def fold(pdf: pd.DataFrame) -> list:
-        times, items, who = pdf[ts].tolist(), pdf[item].tolist(), pdf[author].tolist()
-        sets = [frozenset(x) if x is not None else frozenset() for x in pdf[tokens]]
-        used, out = [False] * len(items), []
-        for i, seed in enumerate(sets):
-            if used[i] or not seed:
-                continue
-            member = [i]
-            for j in range(i + 1, len(items)):
-                if times[j] - times[i] > within:
-                    break
-                if not used[j] and sets[j] and len(seed & sets[j]) / len(seed | sets[j]) >= similar:
-                    member.append(j)
-            distinct = len({who[j] for j in member})
-            if distinct >= authors:
-                for j in member:
-                    used[j] = True
-                out.append((items[i], times[i], max(times[j] for j in member), distinct, len(member)))
-        return out
 
-    return folded(rows.select(*keys, ts, item, author, tokens), keys, [ts, item], fold, schema)
+class Emas(blocks.Fold):
+    """The state is the running mean and variance; every window that stands out is given out."""
+
+    def __init__(self, window_sec: float, least: int, least_authors: int, z: float, rate: float):
+        self.window_sec, self.least, self.least_authors, self.z, self.rate = window_sec, least, least_authors, z, rate
+
+    def reset(self) -> None:
+        self.mean, self.var = 0.0, 0.05
 
+    def get(self):
+        return self.mean, self.var
 
-def ema_bursts(windows: DataFrame, keys: list[str], order: str, count: str, authors: str, window_sec: float = 10.0, least: int = 4, least_authors: int = 3, z: float = 3.0, rate: float = 0.25) -> DataFrame:
+    def set(self, state) -> None:
+        self.mean, self.var = state
+
+    def step(self, at, n, authors) -> list[tuple]:
+        if n < self.least or authors < self.least_authors:
+            return []
+        velocity = n / self.window_sec
+        score = (velocity - self.mean) / (max(0.001, self.var) ** 0.5 + 0.05)
+        self.mean += self.rate * (velocity - self.mean)
+        self.var += self.rate * ((velocity - self.mean) ** 2 - self.var)
+        return [(0, 0, (at, n, score))] if score >= self.z else []
+
+
+def ema_bursts(windows: DataFrame, keys: list[str], order: str, count: str, authors: str, window_sec: float = 10.0, least: int = 4, least_authors: int = 3, z: float = 3.0, rate: float = 0.25, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
     """Per key, the first window whose velocity stands out from the running mean and variance of earlier ones.
 
     Only windows with enough rows and authors count, and each updates the averages once.
     """
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{order} {kinds[order]}, {count} long, z_score double"])
-
-    def fold(pdf: pd.DataFrame) -> list:
-        mean, var = 0.0, 0.05
-        for at, n, a in pdf[[order, count, authors]].itertuples(index=False):
-            if n < least or a < least_authors:
-                continue
-            velocity = n / window_sec
-            score = (velocity - mean) / (max(0.001, var) ** 0.5 + 0.05)
-            mean += rate * (velocity - mean)
-            var += rate * ((velocity - mean) ** 2 - var)
-            if score >= z:
-                return [(at, n, score)]
-        return []
-
-    return folded(windows.select(*keys, order, count, authors), keys, [order], fold, schema)
+    found = blocks.folded(windows, keys, [order], [order, count, authors], Emas(window_sec, least, least_authors, z, rate), schema, rows_per_block)
+    first = found.groupBy(*keys).agg(F.min_by(F.struct(order, count, "z_score"), order).alias("f"))
+    return first.select(*keys, "f.*")
 
 
 def merged_spans(spans: list[tuple[float, float]]) -> tuple[list[float], list[float]]:
