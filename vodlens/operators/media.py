@@ -168,14 +168,13 @@ def subtitle_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, "line_no", text.alias("event"))
 
 
-def guests(rows: DataFrame, keys: list[str], guest: str, gap: float = 60.0) -> DataFrame:
+def guests(rows: DataFrame, keys: list[str], guest: str, gap: float = 60.0, block: float | None = None) -> DataFrame:
     """Spans in which one guest speaks, without breaks of over `gap` seconds and without another guest between."""
-    from vodlens.operators.islands import with_island
+    from vodlens.operators.islands import lagged, with_island
 
     order = ["start_sec", "segment_id"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("p_g", F.lag(guest).over(w)).withColumn("p_e", F.lag("end_sec").over(w))
-    spans = with_island(marked, keys, order, (F.col(guest) != F.col("p_g")) | (F.col("start_sec") - F.col("p_e") > gap))
+    marked = lagged(rows, keys, order, block, p_g=guest, p_e="end_sec")
+    spans = with_island(marked, keys, order, (F.col(guest) != F.col("p_g")) | (F.col("start_sec") - F.col("p_e") > gap), block)
     return spans.groupBy(*keys, guest, "island").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.sum(F.col("end_sec") - F.col("start_sec")).alias("spoken_sec")).drop("island")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vodlens.functions import columns as C
 from vodlens.functions import lexicons as L
 from vodlens.operators.chat import polarity_sums
-from vodlens.operators.islands import with_island
+from vodlens.operators.islands import lagged, with_island
 from vodlens.operators.temporal import range_join
 
 
@@ -31,14 +31,11 @@ def mentions(speech: DataFrame, keyframes: DataFrame, keys: list[str], brands: l
     return found.select(*keys, "brand_id", "kind", "start_sec", "end_sec", "text")
 
 
-def segments(found: DataFrame, keys: list[str], gap: float = 30.0) -> DataFrame:
+def segments(found: DataFrame, keys: list[str], gap: float = 30.0, block: float | None = None) -> DataFrame:
     """Mentions clustered where each starts at most `gap` after the one before it ends."""
-    from pyspark.sql import Window
-
     by = [*keys, "brand_id"]
     order = ["start_sec", "kind", "end_sec", "text"]
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = with_island(found.withColumn("p_end", F.lag("end_sec").over(w)), by, order, F.col("start_sec") - F.col("p_end") > gap)
+    marked = with_island(lagged(found, by, order, block, p_end="end_sec"), by, order, F.col("start_sec") - F.col("p_end") > gap, block)
     return marked.groupBy(*by, F.col("island").alias("segment_id")).agg(
         F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"),
         F.sum((F.col("kind") == "audio").cast("long")).alias("n_audio"), F.sum((F.col("kind") == "ocr").cast("long")).alias("n_ocr"),

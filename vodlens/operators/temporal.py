@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vodlens.operators import scans
+
 
 def shifted(ts: Column, lag: float) -> Column:
     """Latency shift; early rows clamp to zero."""
@@ -42,11 +44,14 @@ def sliding(rows: DataFrame, ts: Column, size: float, hop: float, origin: Column
     return rows.withColumn("w_id", F.explode(ids)).withColumn("window_start", start + F.col("w_id") * hop).withColumn("window_end", F.col("window_start") + size).drop("w_id")
 
 
-def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, tolerance, tie: str, take: list[str]) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, tolerance, tie: str, take: list[str], block: float | None = None) -> DataFrame:
     """As-of left join: the earliest right row at or after left_ts, within tolerance.
 
     Both sides go through one shuffle by key and one ordered window; rows without a match keep nulls.
+    With block (a width of time) a key's rows are spread over many tasks (operators/scans).
     """
+    if block is not None:
+        return scans.asof(left, right, keys, left_ts, right_ts, tie, take, block, tolerance)
     out = [c for c in left.columns]
     l = left.select(F.struct(*out).alias("l"), *keys, F.col(left_ts).alias("a_ts"), F.lit(0).alias("a_side"), F.lit(None).cast(right.schema[tie].dataType).alias("a_tie"), F.lit(None).cast(struct_type(right, [right_ts, *take])).alias("r"))
     r = right.select(F.lit(None).cast(l.schema["l"].dataType).alias("l"), *keys, F.col(right_ts).alias("a_ts"), F.lit(1).alias("a_side"), F.col(tie).alias("a_tie"), F.struct(right_ts, *take).alias("r"))
@@ -86,8 +91,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, ri
     return pairs.groupBy(*left.columns).agg(best.alias("n")).select(*left.columns, "n.n_ts", "n.n_id")
 
 
-def carry_forward(dense: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Last observation carried forward along `order`."""
+def carry_forward(dense: DataFrame, keys: list[str], order: str, columns: list[str], block: float | None = None) -> DataFrame:
+    """Last observation carried forward along `order`; with block (a width of it) in many tasks per key."""
+    if block is not None:
+        return scans.carry_forward(dense, keys, order, columns, block)
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return dense.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 

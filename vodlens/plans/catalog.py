@@ -21,6 +21,8 @@ from vodlens.plans.views import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HOUR, DAY = 3600.0, 86400.0
+#: A block of time: what one task takes of a key in the ordered scans.
+WEEK = 7 * DAY
 
 
 def query(sql: str | None = None) -> Callable:
@@ -102,7 +104,7 @@ def asof_reaction(spark, d):
     e = V.events(spark, d)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
     right = e.where("event_type = 'click'").select("event_id", "user_id", "t")
-    out = temporal.asof_forward(left, right, ["user_id"], "t", "t", DAY, "event_id", ["event_id"])
+    out = temporal.asof_forward(left, right, ["user_id"], "t", "t", DAY, "event_id", ["event_id"], WEEK)
     return out.select("event_id", "user_id", r6("t").alias("t"), "r_event_id", r6("r_t").alias("r_t"))
 
 
@@ -137,7 +139,7 @@ SELECT stream_id, bucket_index, coalesce(last_value(s IGNORE NULLS) OVER (PARTIT
 def locf_state(spark, d):
     dense = temporal.spine(V.bounds(V.chat(spark, d)), ["stream_id"], HOUR)
     frames = V.keyframes(spark, d).withColumn("bucket_index", temporal.bucket(F.col("timestamp_sec"), HOUR)).groupBy("stream_id", "bucket_index").agg(F.max_by("scene_type", "frame_index").alias("scene"))
-    out = temporal.carry_forward(dense.join(frames, ["stream_id", "bucket_index"], "left"), ["stream_id"], "bucket_index", ["scene"])
+    out = temporal.carry_forward(dense.join(frames, ["stream_id", "bucket_index"], "left"), ["stream_id"], "bucket_index", ["scene"], WEEK / HOUR)
     return out.select("stream_id", "bucket_index", F.coalesce("scene", F.lit("UNKNOWN")).alias("scene"))
 
 
@@ -191,7 +193,7 @@ def training_triples(spark, d):
 b AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > {DAY / 2} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM a)
 SELECT user_id, round(min(t), 6) AS start_sec, round(max(t), 6) AS end_sec, count(*) AS n_rows FROM b GROUP BY user_id, i""")
 def gap_islands(spark, d):
-    out = islands.gap_islands(V.events(spark, d), ["user_id"], "t", "t", ["t", "event_id"], DAY / 2)
+    out = islands.gap_islands(V.events(spark, d), ["user_id"], "t", "t", ["t", "event_id"], DAY / 2, WEEK)
     return out.select("user_id", r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"), "n_rows")
 
 
@@ -199,7 +201,7 @@ def gap_islands(spark, d):
 b AS (SELECT *, sum(CASE WHEN p IS NULL OR start_sec > p THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY start_sec, segment_id) AS i FROM a)
 SELECT stream_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, count(*) AS n_rows FROM b GROUP BY stream_id, i""")
 def merge_intervals(spark, d):
-    return islands.merge_intervals(V.speech(spark, d), ["stream_id"], "start_sec", "end_sec", ["start_sec", "segment_id"])
+    return islands.merge_intervals(V.speech(spark, d), ["stream_id"], "start_sec", "end_sec", ["start_sec", "segment_id"], WEEK)
 
 
 @query(f"""WITH $VIEWS, a AS (SELECT *, lead(t, 2) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev)
@@ -215,21 +217,20 @@ STANCE = "CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 1.0 WHEN '
 SELECT user_id, event_id, p AS previous, v, v - p AS delta, v * p < 0 AS is_reversal FROM a WHERE p IS NOT NULL AND abs(v - p) >= 0.5""")
 def stance_shifts(spark, d):
     rows = V.events(spark, d).withColumn("v", F.expr(STANCE).cast("double"))
-    return islands.shifts(rows, ["user_id"], "v", ["t", "event_id"]).select("user_id", "event_id", "previous", "v", "delta", "is_reversal")
+    return islands.shifts(rows, ["user_id"], "v", ["t", "event_id"], block=WEEK).select("user_id", "event_id", "previous", "v", "delta", "is_reversal")
 
 
 @query(f"""WITH $VIEWS, a AS (SELECT user_id, abs({STANCE}::DOUBLE - lag({STANCE}::DOUBLE) OVER (PARTITION BY user_id ORDER BY t, event_id)) AS s FROM ev)
 SELECT user_id, count(*) AS n_rows, round(CASE WHEN count(*) < 2 THEN 0 ELSE least(1.0, coalesce(sum(s), 0) / (2.0 * (count(*) - 1))) END, 6) AS volatility FROM a GROUP BY user_id""")
 def stance_volatility(spark, d):
     rows = V.events(spark, d).withColumn("v", F.expr(STANCE).cast("double"))
-    return islands.volatility(rows, ["user_id"], "v", ["t", "event_id"]).select("user_id", "n_rows", r6("volatility").alias("volatility"))
+    return islands.volatility(rows, ["user_id"], "v", ["t", "event_id"], block=WEEK).select("user_id", "n_rows", r6("volatility").alias("volatility"))
 
 
 @query(f"""WITH $VIEWS, a AS (SELECT user_id, {STANCE}::DOUBLE AS v, lag({STANCE}::DOUBLE) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM ev)
 SELECT user_id, round(avg(v), 6) AS mean_stance, count(*) AS n, count(*) FILTER (p * v < 0) AS contradictions, CASE WHEN avg(v) >= 0.35 THEN 'POSITIVE' WHEN avg(v) <= -0.35 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS consensus FROM a GROUP BY user_id""")
 def opinion_consensus(spark, d):
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    rows = V.events(spark, d).withColumn("v", F.expr(STANCE).cast("double")).withColumn("p", F.lag("v").over(w))
+    rows = islands.lagged(V.events(spark, d).withColumn("v", F.expr(STANCE).cast("double")), ["user_id"], ["t", "event_id"], WEEK, p="v")
     out = rows.groupBy("user_id").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce((F.col("p") * F.col("v") < 0).cast("long"), F.lit(0))).alias("contradictions"))
     return out.select("user_id", r6("m").alias("mean_stance"), "n", "contradictions", knowledge.stance_of(F.col("m"), names=("POSITIVE", "NEGATIVE", "NEUTRAL")).alias("consensus"))
 
@@ -238,7 +239,7 @@ TURNS = """tu AS (SELECT *, coalesce(speaker_label <> lag(speaker_label) OVER w
 
 
 def _turns(spark, d):
-    return islands.turns(V.speech(spark, d), ["stream_id"], "speaker_label", "start_sec", "end_sec", ["start_sec", "segment_id"])
+    return islands.turns(V.speech(spark, d), ["stream_id"], "speaker_label", "start_sec", "end_sec", ["start_sec", "segment_id"], block=WEEK)
 
 
 @query(f"WITH $VIEWS, {TURNS} SELECT stream_id, segment_id, speaker_label, start_sec, end_sec, cuts AS interrupts_previous FROM tu")
