@@ -12,18 +12,24 @@ from pyspark.sql import functions as F
 from vodlens.operators import scans
 
 
-def lagged(rows: DataFrame, keys: list[str], order: list[str], block: float | None, **columns: str) -> DataFrame:
-    """The values of the row before, null for the first: name=column."""
+def lagged(rows: DataFrame, keys: list[str], order: list[str], block: float | None, first: str | None = None, **columns: str) -> DataFrame:
+    """The values of the row before, null for the first: name=column. first: a column that tells whether it is the first."""
     if block is not None:
-        return scans.lagged(rows, keys, order[0], order, block, **columns)
+        return scans.lagged(rows, keys, order[0], order, block, first, **columns)
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumns({name: F.lag(c).over(w) for name, c in columns.items()})
+    told = {first: F.row_number().over(w) == 1} if first else {}
+    return rows.withColumns({name: F.lag(c).over(w) for name, c in columns.items()} | told)
 
 
-def with_island(rows: DataFrame, keys: list[str], order: list[str], begins: Column, block: float | None = None) -> DataFrame:
-    """island: how many rows up to this one begin a new one (the first always does)."""
+def with_island(rows: DataFrame, keys: list[str], order: list[str], begins: Column, block: float | None = None, first: str | None = None) -> DataFrame:
+    """island: how many rows up to this one begin a new one (the first always does).
+
+    first: the column that tells a key's first row, where lagged() has added it; it is dropped.
+    """
     if block is not None:
-        return scans.with_island(rows, keys, order[0], order, begins, block)
+        return scans.with_island(rows, keys, order[0], order, begins, block, first)
+    if first:
+        rows = rows.drop(first)
     w = Window.partitionBy(*keys).orderBy(*order)
     flag = F.when(F.row_number().over(w) == 1, 1).when(begins, 1).otherwise(0)
     return rows.withColumn("i_flag", flag).withColumn("island", F.sum("i_flag").over(w)).drop("i_flag")
@@ -31,17 +37,18 @@ def with_island(rows: DataFrame, keys: list[str], order: list[str], begins: Colu
 
 def gap_islands(rows: DataFrame, keys: list[str], start: str, end: str, order: list[str], gap: float, block: float | None = None) -> DataFrame:
     """Clusters: a row begins a new one where its start lies over `gap` after the end of the row before it."""
-    marked = with_island(lagged(rows, keys, order, block, p_end=end), keys, order, F.col(start) - F.col("p_end") > gap, block)
+    marked = with_island(lagged(rows, keys, order, block, "i_first", p_end=end), keys, order, F.col(start) - F.col("p_end") > gap, block, "i_first")
     return marked.groupBy(*keys, "island").agg(F.min(start).alias("start_sec"), F.max(end).alias("end_sec"), F.count(F.lit(1)).alias("n_rows")).drop("island")
 
 
 def merge_intervals(rows: DataFrame, keys: list[str], start: str, end: str, order: list[str], block: float | None = None) -> DataFrame:
     """The union of intervals that overlap or touch, by the largest end so far."""
     if block is not None:
-        reached = scans.scan(rows, keys, order[0], order, block, p_end=scans.Scan("max", F.col(end), own=False))
+        reached = scans.scan(rows, keys, order[0], order, block, p_end=scans.Scan("max", F.col(end), own=False), i_any=scans.Scan("last", F.lit(1), own=False))
+        reached = reached.withColumn("i_first", F.col("i_any").isNull()).drop("i_any")
     else:
         reached = rows.withColumn("p_end", F.max(end).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
-    marked = with_island(reached, keys, order, F.col(start) > F.col("p_end"), block)
+    marked = with_island(reached, keys, order, F.col(start) > F.col("p_end"), block, "i_first" if block is not None else None)
     return marked.groupBy(*keys, "island").agg(F.min(start).alias("start_sec"), F.max(end).alias("end_sec"), F.count(F.lit(1)).alias("n_rows")).drop("island")
 
 

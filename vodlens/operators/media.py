@@ -173,8 +173,8 @@ def guests(rows: DataFrame, keys: list[str], guest: str, gap: float = 60.0, bloc
     from vodlens.operators.islands import lagged, with_island
 
     order = ["start_sec", "segment_id"]
-    marked = lagged(rows, keys, order, block, p_g=guest, p_e="end_sec")
-    spans = with_island(marked, keys, order, (F.col(guest) != F.col("p_g")) | (F.col("start_sec") - F.col("p_e") > gap), block)
+    marked = lagged(rows, keys, order, block, "i_first", p_g=guest, p_e="end_sec")
+    spans = with_island(marked, keys, order, (F.col(guest) != F.col("p_g")) | (F.col("start_sec") - F.col("p_e") > gap), block, "i_first")
     return spans.groupBy(*keys, guest, "island").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.sum(F.col("end_sec") - F.col("start_sec")).alias("spoken_sec")).drop("island")
 
 

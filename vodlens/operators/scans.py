@@ -83,17 +83,23 @@ def carry_forward(dense: DataFrame, keys: list[str], order: str, columns: list[s
     return out.select(*[F.col(f"f_{c}").alias(c) if c in columns else F.col(c) for c in dense.columns])
 
 
-def lagged(rows: DataFrame, keys: list[str], ts: str, order: list[str], block: float, **columns: str) -> DataFrame:
-    """The values of the row before, null for the first: name=column."""
+def lagged(rows: DataFrame, keys: list[str], ts: str, order: list[str], block: float, first: str | None = None, **columns: str) -> DataFrame:
+    """The values of the row before, null for the first: name=column. first: a column that tells whether it is the first."""
     out = scan(rows, keys, ts, order, block, l_row=Scan("last", F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), own=False))
-    return out.select(*rows.columns, *[F.col(f"l_row.{n}").alias(n) for n in columns])
+    told = [F.col("l_row").isNull().alias(first)] if first else []
+    return out.select(*rows.columns, *[F.col(f"l_row.{n}").alias(n) for n in columns], *told)
 
 
-def with_island(rows: DataFrame, keys: list[str], ts: str, order: list[str], begins: Column, block: float) -> DataFrame:
-    """island: how many rows up to this one begin a new one (the first of a key always does)."""
-    marked = scan(rows.withColumn("i_begins", F.coalesce(begins, F.lit(False))), keys, ts, order, block, i_any=Scan("last", F.lit(1), own=False))
-    flag = F.when(F.col("i_any").isNull() | F.col("i_begins"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    flagged = marked.withColumn("i_flag", flag).drop("i_any", "i_begins")
+def with_island(rows: DataFrame, keys: list[str], ts: str, order: list[str], begins: Column, block: float, first: str | None = None) -> DataFrame:
+    """island: how many rows up to this one begin a new one (the first of a key always does).
+
+    first: the column that tells a key's first row, where a scan before has found it; it is dropped.
+    """
+    if first is None:
+        first = "i_first"
+        marked = scan(rows.withColumn("i_begins", F.coalesce(begins, F.lit(False))), keys, ts, order, block, i_any=Scan("last", F.lit(1), own=False))
+        rows, begins = marked.withColumn(first, F.col("i_any").isNull()).drop("i_any"), F.col("i_begins")
+    flagged = rows.withColumn("i_flag", (F.col(first) | F.coalesce(begins, F.lit(False))).cast("long")).drop(first, "i_begins")
     return scan(flagged, keys, ts, order, block, island=Scan("sum", F.col("i_flag"))).drop("i_flag")
 
 

@@ -35,7 +35,7 @@ def segments(found: DataFrame, keys: list[str], gap: float = 30.0, block: float
     """Mentions clustered where each starts at most `gap` after the one before it ends."""
     by = [*keys, "brand_id"]
     order = ["start_sec", "kind", "end_sec", "text"]
-    marked = with_island(lagged(found, by, order, block, p_end="end_sec"), by, order, F.col("start_sec") - F.col("p_end") > gap, block)
+    marked = with_island(lagged(found, by, order, block, "i_first", p_end="end_sec"), by, order, F.col("start_sec") - F.col("p_end") > gap, block, "i_first")
     return marked.groupBy(*by, F.col("island").alias("segment_id")).agg(
         F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"),
         F.sum((F.col("kind") == "audio").cast("long")).alias("n_audio"), F.sum((F.col("kind") == "ocr").cast("long")).alias("n_ocr"),

@@ -66,3 +66,16 @@ def vector_lists(spark, d):
     index = vector_index.build(e, "vec_id", "embedding", _folder(spark, "vectors"))
     out = vector_index.search(index, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, probes=4, exact=True, not_self=True)
     return out.withColumn("sim", r6("sim"))
+
+
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT label, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+r AS (SELECT label, k, x AS c FROM o WHERE k = 1 UNION ALL SELECT label, k, list_transform(t, lambda z: z / CASE WHEN list_inner_product(t, t) > 0 THEN sqrt(list_inner_product(t, t)) ELSE 1 END) FROM
+(SELECT o.label, o.k, list_transform(list_zip(r.c, o.x), lambda z: ((o.k - 1) * z[1] + z[2]) / o.k) AS t FROM r JOIN o ON o.label = r.label AND o.k = r.k + 1))
+SELECT label, k AS sample_count, round(c[1], 6) AS c_first, round(c[64], 6) AS c_last, round(list_sum(list_transform(c, lambda z: abs(z))), 6) AS c_size FROM r QUALIFY k = max(k) OVER (PARTITION BY label)""")
+def voiceprints(spark, d):
+    """Each label's embeddings folded in order into an enrolled centroid, over blocks."""
+    from vodlens.operators import enrolment
+
+    out = enrolment.enrol(table(spark, d, "embeddings"), "label", ["vec_id"], "embedding", 100)
+    size = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return out.select("label", "sample_count", r6(F.get("centroid", F.lit(0))).alias("c_first"), r6(F.get("centroid", F.lit(63))).alias("c_last"), r6(size).alias("c_size"))
