@@ -79,3 +79,26 @@ def voiceprints(spark, d):
     out = enrolment.enrol(table(spark, d, "embeddings"), "label", ["vec_id"], "embedding", 100)
     size = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + F.abs(x))
     return out.select("label", "sample_count", r6(F.get("centroid", F.lit(0))).alias("c_first"), r6(F.get("centroid", F.lit(63))).alias("c_last"), r6(size).alias("c_size"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n, user_id % 64 AS channel FROM events),
+subs AS (SELECT channel, user_id, n, event_id % 3 AS kind FROM e WHERE event_type = 'signup'), posts AS (SELECT channel, n, event_id, event_type FROM e WHERE event_type IN ('view', 'purchase')),
+pairs AS (SELECT p.*, c.user_id FROM posts p JOIN (SELECT DISTINCT channel, user_id FROM subs) c USING (channel)),
+fit AS (SELECT p.user_id, p.event_id, row_number() OVER (PARTITION BY p.user_id ORDER BY p.n) AS r FROM pairs p ASOF JOIN subs s ON p.user_id = s.user_id AND p.n >= s.n WHERE s.kind = 2 OR (s.kind = 0) = (p.event_type = 'view'))
+SELECT 'u' || user_id AS client, event_id AS item, CASE WHEN r <= 40 THEN 'QUEUED' ELSE 'DROPPED' END AS what FROM fit""")
+def live_broadcast(spark, d):
+    """Clients join and change their topics while events come: what each client's queue takes and what it drops."""
+    from vodlens.plans.catalog import _event_stream
+    from vodlens.streaming import broadcast, live
+
+    e = _event_stream(spark, d)
+    is_join = F.col("event_type") == "signup"
+    kind = F.col("event_id") % 3
+    topics = F.when(is_join, F.when(kind == 0, F.array(F.lit("view"))).when(kind == 1, F.array(F.lit("purchase"))).otherwise(F.array(F.lit("*"))))
+    ops = e.where(F.col("event_type").isin("signup", "view", "purchase")).select(
+        (F.col("user_id") % 64).cast("string").alias("channel"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.when(is_join, "join").otherwise("event").alias("op"),
+        F.when(is_join, F.concat(F.lit("u"), "user_id")).alias("client"), topics.alias("topics"), "event_type", F.col("event_id").alias("item"), F.lit(0).alias("count"),
+    )
+    with broadcast.state_store(spark):
+        out = live.run_available(broadcast.broadcast(ops, shards=2, capacity=40, idle_sec=1e9, delay="60 days"), "broadcast")
+    return out.where(F.col("what").isin("QUEUED", "DROPPED")).select("client", "item", "what")
