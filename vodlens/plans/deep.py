@@ -102,3 +102,57 @@ def live_broadcast(spark, d):
     with broadcast.state_store(spark):
         out = live.run_available(broadcast.broadcast(ops, shards=2, capacity=40, idle_sec=1e9, delay="60 days"), "broadcast")
     return out.where(F.col("what").isin("QUEUED", "DROPPED")).select("client", "item", "what")
+
+
+PCM = "floor(greatest(-1, least(1, x::DOUBLE)) * 32767 + 0.5) / 32768"
+
+
+@query(f"""WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(embedding, lambda x: {PCM}) AS p FROM embeddings),
+s AS (SELECT label, n, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS i, unnest(list_concat([NULL], p[1:63])) AS before FROM v),
+f AS (SELECT label, n, sqrt(avg(x * x)) AS rms, avg(((x < 0) <> (before < 0))::INT) AS zcr FROM s GROUP BY ALL),
+d AS (SELECT label, n, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2)) AS m FROM s, generate_series(0, 32) g(k) GROUP BY ALL),
+c AS (SELECT label, n, sum(k * m) / (sum(m) + 1e-8) AS centroid FROM d GROUP BY ALL)
+SELECT label, n AS "window", round(rms, 6) AS rms, round(zcr, 6) AS zero_crossing_rate, round(centroid, 6) AS spectral_centroid, CASE WHEN rms >= 0.9 * avg(rms) OVER (PARTITION BY label) THEN 'STREAMER' ELSE 'EXTERNAL_VIDEO' END AS speaker_label FROM f JOIN c USING (label, n)""")
+def audio_profile(spark, d):
+    """Embeddings as PCM files, one per label, read back window by window: loudness, crossings, spectrum and who is near the microphone."""
+    from vodlens.operators import sound
+    from vodlens.sources import media
+
+    folder = _folder(spark, "audio")
+    done = media.write_wav(table(spark, d, "embeddings"), "label", ["vec_id"], "embedding", folder, 64)
+    done.write.format("noop").mode("overwrite").save()
+    found = media.acoustic_profile(spark, folder, window_sec=1.0).withColumn("label", F.regexp_extract("path", r"/([^/]*)\.wav$", 1).cast("int"))
+    out = sound.near_microphone(found, ["label"])
+    return out.select("label", "window", r6("rms").alias("rms"), r6("zero_crossing_rate").alias("zero_crossing_rate"), r6("spectral_centroid").alias("spectral_centroid"), "speaker_label")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, unnest([0, 16, 32]) AS f FROM embeddings), s AS (SELECT vec_id, f // 16 AS frame, x[f + 1:f + 32] AS p FROM v),
+u AS (SELECT vec_id, frame, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS i, unnest(list_concat([NULL], p[1:31])) AS before FROM s),
+m AS (SELECT vec_id, frame, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2)) AS m FROM u, generate_series(0, 16) g(k) GROUP BY ALL),
+c AS (SELECT vec_id, frame, sum(k * 500 * m) / (sum(m) + 1e-8) AS c FROM m GROUP BY ALL)
+SELECT vec_id AS item, frame, round(sqrt(avg(x * x)), 6) AS rms, round(avg(((x < 0) <> (before < 0))::INT), 6) AS zero_crossing_rate, round(any_value(c), 4) AS spectral_centroid FROM u JOIN c USING (vec_id, frame) GROUP BY vec_id, frame""")
+def audio_frames(spark, d):
+    """Features of overlapping frames of 32 samples within each embedding taken as samples."""
+    from vodlens.operators import sound
+
+    out = sound.frame_features(table(spark, d, "embeddings"), "vec_id", "embedding", 16_000, 32, 16)
+    return out.select("item", "frame", r6("rms").alias("rms"), r6("zero_crossing_rate").alias("zero_crossing_rate"), F.round("spectral_centroid", 4).alias("spectral_centroid"))
+
+
+@query("""WITH $VIEWS, o AS (SELECT event_id, user_id, t, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 1.0 WHEN 'error' THEN -1.0 ELSE 0.0 END::DOUBLE AS v FROM ev),
+a AS (SELECT user_id, v, lag(v) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM o)
+SELECT user_id, count(*) AS n_rows, count(*) FILTER (v * p < 0) AS reversals, round(CASE WHEN count(*) < 2 THEN 0 ELSE least(1.0, coalesce(sum(abs(v - p)), 0) / (2.0 * (count(*) - 1))) END, 6) AS volatility FROM a GROUP BY user_id""")
+def stance_history(spark, d):
+    """Stance observations added to a state table in overlapping batches, and what its last version says."""
+    from vodlens.operators import islands
+    from vodlens.plans.catalog import STANCE, WEEK
+    from vodlens.sources import state
+
+    kept = state.StateTable(spark, _folder(spark, "stances"))
+    rows = V.events(spark, d).select(F.col("event_id").alias("observation_id"), "user_id", "t", F.expr(STANCE).cast("double").alias("v"))
+    for k in range(3):
+        state.add_observations(kept, rows.where(F.col("observation_id") % 3 <= k))
+    steps = islands.lagged(kept.read(), ["user_id"], ["t", "observation_id"], WEEK, p="v")
+    n, step = F.count(F.lit(1)), F.abs(F.col("v") - F.col("p"))
+    volatility = F.when(n < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.sum(step), F.lit(0.0)) / (2.0 * (n - 1))))
+    return steps.groupBy("user_id").agg(n.alias("n_rows"), F.count_if(F.col("v") * F.col("p") < 0).alias("reversals"), r6(volatility).alias("volatility"))
