@@ -243,3 +243,14 @@ def test_text_functions(spark):
     assert df.select(C.similarity_tokens(F.col("v"))).first()[0] == ["yesss", "café", "bar"]
     assert df.select(C.subtitle_clock(F.lit(3725.5))).first()[0] == "1:02:05.50"
     assert df.select(C.epoch_seconds(F.lit(1.7e15)), C.epoch_seconds(F.lit(1.7e12)), C.epoch_seconds(F.lit(1.7e9))).first()[:] == (1.7e9, 1.7e9, 1.7e9)
+
+
+def test_overlap_join_meets_in_points_and_once(spark):
+    import itertools
+
+    left = [(1, a, b) for a, b in ((0.0, 5.0), (5.0, 5.0), (7.0, 6.0), (2.5, 100.0), (-3.0, -1.0))] + [(2, 0.0, 1.0)]
+    right = [(1, a, b) for a, b in ((5.0, 9.0), (-1.0, 0.0), (50.0, 50.0), (9.0, 1.0))]
+    l, r = spark.createDataFrame(left, "k long, a double, b double"), spark.createDataFrame(right, "k long, c double, d double")
+    want = sorted((k, a, b, c, d) for (k, a, b), (j, c, d) in itertools.product(left, right) if k == j and a <= b and c <= d and not (b < c or a > d))
+    for size in (0.5, 3.0, 1e6):
+        assert sorted(map(tuple, temporal.overlap_join(l, r, ["k"], ("a", "b"), ("c", "d"), size).select("k", "a", "b", "c", "d").collect())) == want

@@ -83,29 +83,25 @@ def policy_audit(candidates: DataFrame, texts: DataFrame, keys: list[str], terms
     texts: keys, t, text. speech: keys, start_sec, end_sec, transcript; a segment counts where it meets
     the candidate. checked: keys, t, verification_status; a DEBUNKED or FALSE claim within a candidate flags it.
     """
-    from vodlens.operators.temporal import range_join
+    from vodlens.operators.temporal import overlap_join
 
     def hits(text: str) -> Column:
         low = F.lower(text)
         return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in terms])).alias("hit")
 
-    marked = texts.select(*keys, "t", hits("text")).where(F.size("hit") > 0)
-    near = range_join(marked, candidates, keys, "t", "start_sec", "end_sec", 60.0).select("candidate_id", "hit")
+    # All that can count against a candidate goes through one join: what is written, what is said, what is false.
+    marks = texts.select(*keys, F.col("t").alias("m_low"), F.col("t").alias("m_high"), hits("text"), F.lit(False).alias("debunked")).where(F.size("hit") > 0)
     if speech is not None:
-        # A candidate that meets a segment starts within it, or the segment starts within the candidate.
-        said = speech.select(*keys, F.col("start_sec").alias("said_from"), F.col("end_sec").alias("said_to"), hits("transcript")).where(F.size("hit") > 0)
-        spans = candidates.select(*keys, "candidate_id", F.col("start_sec").alias("clip_from"), F.col("end_sec").alias("clip_to"))
-        near = near.unionByName(range_join(said, spans, keys, "said_from", "clip_from", "clip_to", bin_size).select("candidate_id", "hit"))
-        near = near.unionByName(range_join(spans, said, keys, "clip_from", "said_from", "said_to", bin_size).select("candidate_id", "hit"))
-    per = near.select("candidate_id", F.explode("hit").alias("w")).groupBy("candidate_id").agg(F.sort_array(F.collect_set("w")).alias("flagged_terms"))
+        marks = marks.unionByName(speech.select(*keys, F.col("start_sec").alias("m_low"), F.col("end_sec").alias("m_high"), hits("transcript"), F.lit(False).alias("debunked")).where(F.size("hit") > 0))
+    if checked is not None:
+        false = checked.where(F.col("verification_status").isin("DEBUNKED", "FALSE"))
+        marks = marks.unionByName(false.select(*keys, F.col("t").alias("m_low"), F.col("t").alias("m_high"), F.array().cast("array<string>").alias("hit"), F.lit(True).alias("debunked")))
+    spans = candidates.select(*keys, "candidate_id", "start_sec", "end_sec")
+    near = overlap_join(marks, spans, keys, ("m_low", "m_high"), ("start_sec", "end_sec"), bin_size).select("candidate_id", "debunked", F.explode_outer("hit").alias("w"))
+    per = near.groupBy("candidate_id").agg(F.sort_array(F.collect_set("w")).alias("flagged_terms"), F.bool_or("debunked").alias("debunked"))
     out = candidates.join(per, "candidate_id", "left").withColumn("flagged_terms", F.coalesce("flagged_terms", F.array().cast("array<string>")))
     out = out.withColumn("toxicity_score", F.least(F.lit(1.0), F.size("flagged_terms") * 0.35))
-    wrong = F.lit(False)
-    if checked is not None:
-        false = checked.where(F.col("verification_status").isin("DEBUNKED", "FALSE")).select(*keys, "t")
-        debunked = range_join(false, candidates.select(*keys, "candidate_id", "start_sec", "end_sec"), keys, "t", "start_sec", "end_sec", 60.0)
-        out = out.join(debunked.select("candidate_id", F.lit(True).alias("debunked")).distinct(), "candidate_id", "left")
-        wrong = F.coalesce("debunked", F.lit(False))
+    wrong = F.coalesce("debunked", F.lit(False))
     status = F.when(F.col("toxicity_score") >= 0.7, "REJECTED").when((F.col("toxicity_score") >= 0.35) | wrong, "FLAGGED").otherwise("PASSED")
     return out.withColumn("audit_status", status).drop("debunked")
 

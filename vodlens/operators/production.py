@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vodlens.functions import columns as C
-from vodlens.operators.temporal import range_join
+from vodlens.operators.temporal import overlap_join, range_join
 
 #: What is stripped from chat words, highlight colours by emotion (first match), and boxes (x, y, w, h).
 PUNCTUATION = "!?,.:;\"'()"
@@ -42,9 +42,7 @@ def hooks(candidates: DataFrame, speech: DataFrame, keys: list[str], item: str,
     """hook (first words of the first segment that meets the candidate) and summary (all their text, shortened)."""
     spans = candidates.select(*keys, item, F.col(start).alias("h_low"), F.col(end).alias("h_high"))
     said = speech.select(*keys, "segment_id", F.col("start_sec").alias("s_low"), F.col("end_sec").alias("s_high"), F.trim("transcript").alias("said"))
-    inside = range_join(said, spans, keys, "s_low", "h_low", "h_high", bin_size).select(*keys, item, "segment_id", "s_low", "said")
-    over = range_join(spans, said, keys, "h_low", "s_low", "s_high", bin_size).select(*keys, item, "segment_id", "s_low", "said")
-    met = inside.unionByName(over).distinct()
+    met = overlap_join(said, spans, keys, ("s_low", "s_high"), ("h_low", "h_high"), bin_size)
     lines = met.groupBy(*keys, item).agg(F.sort_array(F.collect_list(F.struct("s_low", "segment_id", "said"))).alias("lines"))
     first = C.words(F.col("lines")[0]["said"])
     hook = F.concat(F.array_join(F.slice(first, 1, words), " "), F.when(F.size(first) > words, "...").otherwise(""))

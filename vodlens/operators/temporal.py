@@ -82,6 +82,19 @@ def range_join(points: DataFrame, windows: DataFrame, keys: list[str], ts: str,
     return placed.join(spread, [*keys, "j_bin"]).where(F.col(ts).between(F.col(low), F.col(high))).drop("j_bin")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_size: float) -> DataFrame:
+    """Inner join of closed intervals that meet, in a point at least: neither ends before the other begins.
+
+    Both sides are spread over time bins, and a pair counts in the first bin that the two share only, so
+    that it comes once without a distinct. An interval that ends before it begins meets nothing.
+    """
+    (a, b), (c, d) = left_span, right_span
+    bin_of = lambda x: F.floor(F.col(x) / bin_size)
+    spread = lambda df, low, high: df.where(F.col(high) >= F.col(low)).withColumn("o_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    pairs = spread(left, a, b).join(spread(right, c, d), [*keys, "o_bin"])
+    return pairs.where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("o_bin") == F.greatest(bin_of(a), bin_of(c)))).drop("o_bin")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, reach: float, right_id: str) -> DataFrame:
     """Each left row's nearest right row within reach (ties: earlier, then smaller id); inner."""
     windows = left.withColumn("j_low", F.col(left_ts) - reach).withColumn("j_high", F.col(left_ts) + reach)

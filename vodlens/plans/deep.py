@@ -156,3 +156,15 @@ def stance_history(spark, d):
     n, step = F.count(F.lit(1)), F.abs(F.col("v") - F.col("p"))
     volatility = F.when(n < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.sum(step), F.lit(0.0)) / (2.0 * (n - 1))))
     return steps.groupBy("user_id").agg(n.alias("n_rows"), F.count_if(F.col("v") * F.col("p") < 0).alias("reversals"), r6(volatility).alias("volatility"))
+
+
+@query("""WITH $VIEWS, c AS (SELECT event_id, user_id % 8 AS stream_id, t AS lo, t + 600 AS hi FROM ev WHERE event_type = 'signup')
+SELECT c.stream_id, event_id, segment_id, round(least(hi, end_sec) - greatest(lo, start_sec), 6) AS shared_sec FROM c JOIN speech s ON s.stream_id = c.stream_id AND NOT (hi < start_sec OR lo > end_sec)""")
+def overlap_pairs(spark, d):
+    """Ten minutes after each signup against the segments that they meet, ends included."""
+    from vodlens.operators import temporal
+
+    c = V.events(spark, d).where("event_type = 'signup'").select("event_id", (F.col("user_id") % 8).alias("stream_id"), F.col("t").alias("lo"), (F.col("t") + 600).alias("hi"))
+    s = V.speech(spark, d).select("stream_id", "segment_id", "start_sec", "end_sec")
+    out = temporal.overlap_join(c, s, ["stream_id"], ("lo", "hi"), ("start_sec", "end_sec"), 3600.0)
+    return out.select("stream_id", "event_id", "segment_id", r6(F.least("hi", "end_sec") - F.greatest("lo", "start_sec")).alias("shared_sec"))

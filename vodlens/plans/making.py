@@ -10,6 +10,7 @@ from vodlens.functions import lexicons as L
 from vodlens.operators import clips, costream, folds, index, knowledge, media, production, registry, search, temporal
 from vodlens.plans import views as V
 from vodlens.plans.catalog import CLAIMS, CROSS, DAY, DENSE, HOUR, QVEC, _aligned, _dense, _event_stream, _matrix, _query_vector, query, r6, r9
+from vodlens.plans.session import checkpointed
 from vodlens.plans.views import table
 
 # ---- shorts -------------------------------------------------------------------------------------
@@ -23,7 +24,8 @@ def _picked(spark, d):
     b = temporal.z_bursts(_dense(spark, d), ["stream_id"]).select("stream_id", F.col("bucket_index").cast("string").alias("item"), (F.col("bucket_index") * HOUR).alias("peak_sec"), F.round("z_score", 9).alias("z_score"))
     picked = clips.select_candidates(clips.anchors(h, b, ["stream_id"]), ["stream_id"], 6 * HOUR, 20)
     c = picked.select("stream_id", "anchor_id", "score", F.greatest(F.lit(0.0), F.col("peak_sec") - 20).alias("start_sec"), (F.col("peak_sec") + 20).alias("end_sec"))
-    return clips.snap(c, V.speech(spark, d), ["stream_id"], "anchor_id").drop("start_sec", "end_sec")
+    # Few rows that everything below joins again and again: worked out once.
+    return checkpointed(clips.snap(checkpointed(c), V.speech(spark, d), ["stream_id"], "anchor_id").drop("start_sec", "end_sec"))
 
 
 def _candidates(spark, d):
@@ -36,7 +38,7 @@ def _candidates(spark, d):
     spans = c.select(*key, "anchor_id", (F.col("clip_start") - HOUR).alias("a_low"), (F.col("clip_end") + HOUR).alias("a_high"))
     agreed = temporal.range_join(m, spans, key, "mid", "a_low", "a_high", 2 * HOUR).groupBy(*key, "anchor_id").agg(F.round(F.avg("agreed"), 9).alias("agreed"))
     a = clips.arc(F.col("score"), F.col("z"), F.col("agreed"))
-    return c.join(agreed, [*key, "anchor_id"], "left").withColumn("arc", a).select("*", "arc.narrative_arc", "arc.primary_emotion").drop("arc")
+    return checkpointed(c.join(agreed, [*key, "anchor_id"], "left").withColumn("arc", a).select("*", "arc.narrative_arc", "arc.primary_emotion").drop("arc"))
 
 
 def strip(c: str) -> str:
