@@ -89,6 +89,11 @@ def write_chat(chat: DataFrame, path: str, partition: str = "streamer_id") -> No
     chat.repartition(partition, "vod_id").sortWithinPartitions("vod_id", "timestamp_ms").write.mode("append").partitionBy(partition).parquet(path)
 
 
+def write_speech(segments: DataFrame, path: str, partition: str = "streamer_id") -> None:
+    """The columnar speech store: a batch is one insert; partitioned by streamer, sorted by recording and start."""
+    segments.repartition(partition, "vod_id").sortWithinPartitions("vod_id", "start_ms").write.mode("append").partitionBy(partition).parquet(path)
+
+
 def verify_checksums(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
     """name, sha256 and whether each file of the folder fits the expected digest (name, sha256)."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"))
