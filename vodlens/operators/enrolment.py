@@ -21,7 +21,6 @@ a sum of length zero stays zero, as a zero centroid; ties in the order go by the
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -69,3 +69,28 @@ def relevant_posts(queries: DataFrame, posts: DataFrame, keys: list[str], item:
     words = F.filter(F.split(query, " "), lambda w: F.length(w) > 3)
     near = queries.select(*keys, item, words.alias("q_words")).join(posts, keys)
     return near.where(F.exists("q_words", lambda w: F.contains(F.lower(text), F.lower(w)))).drop("q_words")
+
+
+def with_context(chunks: DataFrame, chat: DataFrame, keys: list[str], around: float = 10.0, most: int = 10) -> DataFrame:
+    """chat_context: author, text and offset of up to `most` messages within `around` seconds of each chunk's time, in order.
+
+    chat: keys, message_id, timestamp_offset, author_name, content.
+    """
+    near = search.chat_context(chunks, chat, keys, "chunk_id", "timestamp_sec", around, most)
+    said = near.join(chat.select(*keys, "message_id", F.struct(F.col("author_name").alias("author"), F.col("content").alias("text"), F.col("timestamp_offset").alias("offset")).alias("m")), [*keys, "message_id"])
+    kept = said.groupBy(*keys, "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "m"))), lambda x: x["m"]).alias("chat_context"))
+    none = F.array().cast(kept.schema["chat_context"].dataType)
+    return chunks.join(kept, [*keys, "chunk_id"], "left").withColumn("chat_context", F.coalesce("chat_context", none))
+
+
+def with_embeddings(chunks: DataFrame, dim: int = 128) -> DataFrame:
+    """embedding: of each chunk's text."""
+    return chunks.join(search.embedded(chunks.select("chunk_id", "text"), "chunk_id", "text", dim), "chunk_id")
+
+
+def reindexed(chunks: DataFrame, batch: DataFrame, vod_ids: list[str] | None = None) -> DataFrame:
+    """The index with all chunks of some recordings (those of the batch) replaced by the batch's."""
+    if vod_ids is None:
+        gone = batch.select("vod_id").distinct()
+        return chunks.join(gone, "vod_id", "left_anti").select(*chunks.columns).unionByName(batch.where(F.trim("text") != ""))
+    return chunks.where(~F.col("vod_id").isin(*vod_ids)).unionByName(batch.where(F.col("vod_id").isin(*vod_ids) & (F.trim("text") != "")))

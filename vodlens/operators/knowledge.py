@@ -157,3 +157,22 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Upsert by key: the last row of each."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("u_rank", F.row_number().over(w)).where("u_rank = 1").drop("u_rank")
+
+
+def offline_citations(queries: DataFrame, item: str, text: str, rules: list[dict], fallback: dict) -> DataFrame:
+    """A citation for each query without a search: the first rule of which a keyword is in the query, else the fallback.
+
+    A rule: keywords, url, domain, title, confidence. In the fallback's url and title {query} is the
+    query's beginning, percent-encoded in the url.
+    """
+    low, body = F.lower(text), F.coalesce(F.col(text), F.lit(""))
+    cite = lambda r, url, title: F.struct(url.alias("url"), F.lit(r["domain"]).alias("domain"), title.alias("title"), F.lit(float(r["confidence"])).alias("confidence"))
+    put = lambda template, value: F.concat(*[x for k, part in enumerate(template.split("{query}")) for x in ([value] if k else []) + [F.lit(part)]])
+    quoted = F.replace(F.replace(F.url_encode(F.substring(body, 1, 30)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    out = cite(fallback, put(fallback["url"], quoted), put(fallback["title"], F.substring(body, 1, 40)))
+    for r in reversed(rules):
+        hit = F.lit(False)
+        for w in r["keywords"]:
+            hit = hit | F.contains(low, F.lit(w.lower()))
+        out = F.when(hit, cite(r, F.lit(r["url"]), F.lit(r["title"]))).otherwise(out)
+    return queries.select(item, out.alias("c")).select(item, "c.*")

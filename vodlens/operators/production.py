@@ -125,3 +125,56 @@ def words_around(words: DataFrame, clips: DataFrame, keys: list[str], item: str,
     windows = clips.select(*keys, item, F.col(start).alias("c_low"), F.col(end).alias("c_high"))
     near = range_join(words.select(*keys, "word", F.col("start").alias("at")), windows, keys, "at", "c_low", "c_high", widest)
     return near.groupBy(*keys, item).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"), F.count(F.lit(1)).alias("n_words"))
+
+
+#: Wording of a package; {name}, {hours} and {n} are filled in. A caller may give its own.
+TITLES = ["{name}: the moment that turned the stream", "{name} and the wildest live reaction of the day", "All of it live: {hours} hours with {name}"]
+RECAP = ["Live for {length} with {n} highlight moments.", "Chapters: {chapters}."]
+TAGS = ["stream highlights", "reaction", "full broadcast"]
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with its {names} replaced by columns."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if k % 2 == 0 else values[p].cast("string") for k, p in enumerate(parts)])
+
+
+def publication(chapters: DataFrame, highlights: DataFrame, bounds: DataFrame, keys: list[str], name: Column, ts: str, score: str, item: str, labels: dict[str, str], least: float = 0.60, titles: list[str] = TITLES, recap: list[str] = RECAP, tags: list[str] = TAGS) -> DataFrame:
+    """Titles, chapter lines, recap lines, tags, description and thumbnail times of each recording.
+
+    chapters: from macro_chapters(). labels: a wording for each kind of chapter, {k} being its number
+    among the highlights. Without a highlight the thumbnails are at a quarter and half of the recording.
+    """
+    strong = highlights.where(F.col(score) >= least)
+    counted = strong.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_strong"))
+    top = thumbnails(highlights, keys, item, ts, score, least).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "timestamp_sec"))), lambda x: x["timestamp_sec"]).alias("top"))
+    placed = chapters.withColumn("k", F.count_if(F.col("kind").isin("climax", "peak")).over(Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    wording = F.lit(None).cast("string")
+    for kind, template in labels.items():
+        wording = F.when(F.col("kind") == kind, filled(template, {"k": F.col("k")})).otherwise(wording)
+    lines = placed.withColumn("line", F.concat_ws(" - ", C.clock(F.col("t")), wording)).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "line"))), lambda x: x["line"]).alias("chapter_lines"))
+    j = bounds.select(*keys, "duration").join(lines, keys, "left").join(counted, keys, "left").join(top, keys, "left").withColumn("n_strong", F.coalesce("n_strong", F.lit(0)))
+    values = {"name": name, "hours": F.floor(F.col("duration") / 3600), "length": C.clock(F.col("duration")), "n": F.col("n_strong"), "chapters": F.size("chapter_lines")}
+    bullets = F.array(*[filled(t, values) for t in recap])
+    out = j.withColumns({
+        "titles": F.array(*[filled(t, values) for t in titles]), "recap": bullets, "tags": F.concat(F.array(F.lower(name)), F.array(*map(F.lit, tags))),
+        "thumbnails": F.coalesce("top", F.array(F.round(F.col("duration") * 0.25, 1), F.round(F.col("duration") * 0.5, 1))),
+        "description": F.concat(name, F.lit("\n\n"), F.array_join("chapter_lines", "\n"), F.lit("\n\n"), F.array_join(bullets, "\n")),
+    })
+    return out.select(*keys, "titles", "chapter_lines", "recap", "tags", "thumbnails", "description")
+
+
+PACKAGE = "candidate_id string, start_sec double, end_sec double, audit_status string, overall_virality_score double, title string"
+
+
+def write_packages(packages: DataFrame, path: str, per_file: int = 1) -> None:
+    """Packages as JSON files, `per_file` in each at most."""
+    packages.write.mode("append").option("maxRecordsPerFile", per_file).json(path)
+
+
+def read_packages(spark, path: str, pattern: str = "*.json") -> DataFrame:
+    """The packages of a folder; what is no package (no JSON, or none with an id) is left out."""
+    rows = spark.read.schema(PACKAGE).option("mode", "DROPMALFORMED").option("pathGlobFilter", pattern).json(path)
+    return rows.where(F.col("candidate_id").isNotNull()).withColumn("duration_sec", F.col("end_sec") - F.col("start_sec"))

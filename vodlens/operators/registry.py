@@ -105,3 +105,23 @@ def leaderboard(scores: DataFrame, score: str, order: list[Column], most: int) -
     """The best `most` rows with their rank: a rank among that many rows, none over the whole table."""
     top = scores.orderBy(F.desc(score), *order).limit(most)
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(score), *order)))
+
+
+def sampling_report(runs: DataFrame, frames: DataFrame, bursts: DataFrame, fps: float = 60.0, frame_sec: float = 0.08) -> DataFrame:
+    """What each recorded sampling run has saved, and the share of burst intervals that hold a frame.
+
+    runs: run_id, duration_sec, interval_sec. frames: run_id, t. bursts: run_id, lo, hi.
+    """
+    from vodlens.operators.temporal import range_join
+
+    taken = frames.groupBy("run_id").agg(F.count(F.lit(1)).alias("analyzed"))
+    numbered = bursts.distinct().withColumn("burst", F.struct("lo", "hi"))
+    met = range_join(frames, numbered, ["run_id"], "t", "lo", "hi", 60.0).select("run_id", "burst").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("met"))
+    every = numbered.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_bursts"))
+    j = runs.join(taken, "run_id", "left").join(met, "run_id", "left").join(every, "run_id", "left").fillna(0, ["analyzed", "met", "n_bursts"])
+    fixed = F.floor(F.col("duration_sec") / F.col("interval_sec")) + 1
+    saved = F.greatest(F.lit(0), fixed - F.col("analyzed"))
+    return j.select(
+        "run_id", F.floor(F.col("duration_sec") * fps).alias("potential_frames"), fixed.alias("fixed_frames"), "analyzed", saved.alias("frames_saved"),
+        F.round(100 * saved / fixed, 2).alias("reduction_pct"), F.round(saved * frame_sec, 2).alias("gpu_sec_saved"), F.when(F.col("n_bursts") == 0, 100.0).otherwise(F.round(100 * F.col("met") / F.col("n_bursts"), 2)).alias("burst_coverage_pct"),
+    )

@@ -732,7 +732,7 @@ def stream_ring(spark, d):
 
 @cache
 def _complete() -> None:
-    from vodlens.plans import deep, feeds, making, more, oracles  # noqa: F401  all but making register their queries
+    from vodlens.plans import deep, feeds, making, more, oracles, wider  # noqa: F401  all but making register their queries
 
     ORACLES.update(oracles.ORACLES)
     making.register()
