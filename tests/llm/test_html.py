@@ -83,3 +83,42 @@ def test_rows(spark):
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html_extract.extract(pages).collect())
     assert got == [(0, "v", SAID, len(SAID))] * 2 + [(1, "u", "", 0), (2, "", "", 0), (3, "w", "\n\n".join([SAID] * 3000), 3000 * (len(SAID) + 2) - 2)]
     assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+PARAS = ["The council met on Monday evening to talk about the old bridge, which has been closed since the spring floods.", "Work on the two piers will go on until autumn, said the mayor, and traffic has to take the northern road.", "Shops along the river have lost a third of their customers, according to a survey by the chamber of commerce."]
+REMARK = "I think that this is great and we all should go there again next year with our friends because it was really good fun for every one of us and nobody was bored at any time of the day".split()
+
+
+def remarks(tag, name, many, size, shape):
+    said = [" ".join(REMARK[(7 * k + j) % len(REMARK)] for j in range(size)).capitalize() + "." for k in range(many)]
+    item = (lambda c: f"<p>{c}</p>", lambda c: f"<div><b>Ann</b><p>{c}</p></div>", lambda c: f"<p><b>Ann</b>: {c}</p>")[shape]
+    return f'<{tag} class="{name}">' + "".join(f"<li>{item(c)}</li>" if tag == "ol" else item(c) for c in said) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "reader-comments"])
+@pytest.mark.parametrize("tag", ["section", "div", "ol", "aside", "article"])
+def test_named_comments_in_the_article_go(tag, name):
+    m, body = html_extract.default_model(), "".join(f"<p>{p}</p>" for p in PARAS)
+    for many in (1, 2, 3, 5):
+        for size in (1, 3, 8, 15, 25, 40):
+            for shape in range(3):
+                inner = remarks(tag, name, many, size, shape)
+                assert m.extract(f"<body><article>{body}{inner}</article></body>") == "\n\n".join(PARAS), (many, size, shape)
+                assert m.extract(f"<html><body><nav><a href=/>Home</a></nav><article>{body}{inner}</article><footer>&copy; 2020</footer></body></html>") == "\n\n".join(PARAS), (many, size, shape)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body>An ordinary sentence, which is the whole article of this page.</body>", "An ordinary sentence, which is the whole article of this page."),
+        ("<body><nav><a href=/>Home</a> <a href=/n>News</a></nav>An ordinary sentence, which is the whole article of this page.</body>", "An ordinary sentence, which is the whole article of this page."),
+        ("<body>First block of words that tell a story.<br><br>Second block of words, which goes on with it.</body>", "First block of words that tell a story. Second block of words, which goes on with it."),
+        ("<body>" + "".join(f"<p>{p}</p>" for p in PARAS) + "</body>", "\n\n".join(PARAS)),
+        ("<body><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul><h1>Bridge</h1>" + "".join(f"<p>{p}</p>" for p in PARAS) + "<p>&copy; 2020 The paper</p></body>", "\n\n".join(["Bridge", *PARAS])),
+        ("<body><table><tr><td><a href=/>Home</a> <a href=/n>News</a></td></tr><tr><td>" + "".join(f"<p>{p}</p>" for p in PARAS) + "</td></tr><tr><td>Copyright 2020</td></tr></table></body>", "\n\n".join(PARAS)),
+        (f"<body><article><h1>Bridge</h1><p>{PARAS[0]}</p><section><h2>Traffic</h2><p>{PARAS[1]}</p><p>{PARAS[2]}</p></section></article></body>", "\n\n".join(["Bridge", PARAS[0], "Traffic", *PARAS[1:]])),
+        (f"<body><div class=content><p>{PARAS[0]}</p><div><p>{PARAS[1]}</p><p>{PARAS[2]}</p></div></div></body>", "\n\n".join(PARAS)),
+    ],
+)
+def test_articles_without_an_article_element(page, want):
+    assert html_extract.default_model().extract(page) == want

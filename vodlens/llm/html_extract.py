@@ -4,9 +4,11 @@ A page becomes a tree: block-level elements, and under them a leaf for each text
 inline content between block boundaries). Every node is in one of three hidden states: content,
 boilerplate, or container (holds both). Parent-child potentials P(child | parent) connect nodes; node
 potentials are products of P(feature | state) over tag, name tokens, text size, link density, punctuation and
-what the subtree holds (text, its share of the page, paragraphs, fields of forms). Messages go once up and once down, which gives each node's exact marginals; a text block
+what the subtree holds (text, its share of the page, paragraphs, fields of forms) and how it differs from what
+stands beside it (place, likes, size of its blocks). Messages go once up and once down, which gives each node's exact marginals; a text block
 is extracted where content is the likeliest. Both kinds of potentials are counted from labelled
-pages (see html_pages) with additive smoothing, so training is one pass in closed form.
+pages (see html_pages) with additive smoothing, regions counting alike whatever they hold, so training is one
+pass in closed form.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones dropped, and the rest joined in page order by two line feeds. Scripts, styles,
@@ -35,9 +37,9 @@ from vodlens.llm.html_pages import labelled_pages
 CONTENT, BOILER, CONTAINER = 0, 1, 2
 STATES = 3
 SMOOTH = 0.3
-#: Exponents of the potentials by kind of feature: the kinds overlap, so that each counts in part (chosen on made pages
-#: of other seeds, with and without telling names).
-WEIGHTS = {"tag": 1.0, "mass": 0.2, "share": 0.2, "holds": 0.2, "name": 1.5, "in": 0.5, "size": 0.3, "ends": 1.0}
+#: Exponents of the potentials by kind of feature: the kinds overlap, so that each counts in part (chosen by coordinate
+#: search on made pages of other seeds, with and without telling names, and on articles with readers' comments inside).
+WEIGHTS = {"tag": 1.0, "mass": 0.14, "share": 0.1, "holds": 0.02, "spot": 0.17, "alike": 0.48, "against": 0.3, "name": 4.0, "in": 0.3, "size": 0.48, "ends": 1.0, "legal": 2.5}
 #: Least potential of a transition that the labelled pages never show.
 RARE = 1e-6
 
@@ -47,6 +49,7 @@ STOP = re.compile(r">|=\s*[\"']")
 COMMENT_END = re.compile(r"--!?>")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 LABEL = re.compile(r'data-label="([cb])"')
+LEGAL = re.compile("\\u00a9|copyright", re.I)
 PIECES = re.compile(r"[^a-z0-9]+")
 #: Fixed values of HTML: elements that make blocks, that have no content, and whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head button select option label".split())
@@ -59,6 +62,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 WITHIN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Elements of forms, and what a sentence ends in.
 FIELDS = frozenset("select button".split())
+PLAIN = frozenset("p li dt dd tr h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption #root html body head hr label button".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SENTENCE_ENDS = ".!?…。！？"
 INLINE_BLOCKS = frozenset("button select option label ins".split())
 
@@ -89,8 +94,20 @@ class Tree:
         n = len(self.tag)
         self.mass, self.link_mass = [0 if t is None else len(t) for t in self.text], list(self.linked)
         self.paragraphs, self.fields = [int(t == "p") for t in self.tag], [self.inputs[k] for k in range(n)]
+        self.leaves, self.children = [int(t is not None) for t in self.text], [0] * n
+        self.nth, self.own_paragraphs, self.headed = [0] * n, [0] * n, [False] * n
+        self.alike: Counter[tuple[int, str]] = Counter()
+        for k in range(1, n):
+            p = self.parent[k]
+            self.nth[k] = self.children[p]
+            self.children[p] += 1
+            self.own_paragraphs[p] += self.tag[k] == "p"
+            self.alike[p, self.tag[k]] += 1
+            if not self.nth[k]:
+                self.headed[p] = self.tag[k] in HEADS
         for k in range(n - 1, 0, -1):
             p = self.parent[k]
+            self.leaves[p] += self.leaves[k]
             self.mass[p] += self.mass[k]
             self.link_mass[p] += self.link_mass[k]
             self.paragraphs[p] += self.paragraphs[k]
@@ -244,11 +261,28 @@ def features(tree: Tree, k: int) -> list[str]:
         mass = tree.mass[k]
         out = [f"tag {tree.tag[k]} {bool(tree.names[k])}", f"mass {min(12, mass.bit_length())} {density(tree.link_mass[k], mass)}", f"share {round(8 * mass / max(1, tree.mass[0]))}"]
         out.append(f"holds {min(4, tree.paragraphs[k])} {min(1, tree.fields[k])}")
+        if tree.tag[k] not in PLAIN:
+            out += beside(tree, k)
         if tree.names[k]:
             out += [f"name {x}" for x in dict.fromkeys(PIECES.split(tree.names[k])) if len(x) > 1 and not x.isdigit()]
         return out
     size = len(text)
-    return [f"in {tree.tag[tree.parent[k]]}", f"size {min(9, size.bit_length())} {density(tree.linked[k], size)}", f"ends {text[-1] in SENTENCE_ENDS} {'.' in text or ',' in text}"]
+    out = [f"in {tree.tag[tree.parent[k]]}", f"size {min(9, size.bit_length())} {density(tree.linked[k], size)}", f"ends {text[-1] in SENTENCE_ENDS} {'.' in text or ',' in text}"]
+    return [*out, "legal"] if size < 200 and LEGAL.search(text) else out
+
+
+def beside(tree: Tree, k: int) -> list[str]:
+    """How a node differs from what stands beside it: its place, how many are like it, and the size of its blocks against theirs."""
+    p = tree.parent[k]
+    if p < 0:
+        return []
+    last = tree.nth[k] == tree.children[p] - 1
+    out = [f"spot {0 if not tree.nth[k] else 2 if last else 1} {min(2, tree.own_paragraphs[p])}", f"alike {min(3, tree.alike[p, tree.tag[k]])} {tree.headed[k]}"]
+    others = tree.leaves[p] - tree.leaves[k]
+    if others and tree.leaves[k]:
+        ratio = (tree.mass[k] / tree.leaves[k]) / max(1, (tree.mass[p] - tree.mass[k]) / others)
+        out.append(f"against {max(-3, min(3, round(math.log2(max(ratio, 1e-3)))))}")
+    return out
 
 
 class TreeModel:
@@ -259,7 +293,7 @@ class TreeModel:
         a = b = c = 0.0
         for f in feats:
             if x := self.logs.get(f):
-                w = WEIGHTS[f[: f.index(" ")]]
+                w = WEIGHTS[f.split(" ", 1)[0]]
                 a, b, c = a + w * x[0], b + w * x[1], c + w * x[2]
         top = max(a, b, c)
         return [math.exp(a - top), math.exp(b - top), math.exp(c - top)]
@@ -311,12 +345,19 @@ def train(pages: list[str]) -> TreeModel:
     for page in pages:
         tree = parse(page, labels=True)
         state = [{"c": CONTENT, "b": BOILER}.get(x, CONTAINER) for x in tree.label]
+        # Regions count alike, whatever they hold: a menu of nine links is one example of boilerplate, as a comment is.
+        region = [0] * len(state)
+        for k, s in enumerate(state):
+            p = tree.parent[k]
+            region[k] = k if not k or s != state[p] else region[p]
+        size = Counter(region)
         for k, s in enumerate(state):
             if k:
                 turns[state[tree.parent[k]]][s] += 1
+            w = 1 / math.sqrt(size[region[k]])
             for f in features(tree, k):
-                seen[s][f] += 1
-                kinds[s][f.split(" ")[0]] += 1
+                seen[s][f] += w
+                kinds[s][f.split(" ")[0]] += w
     vocabulary = {f for c in seen for f in c}
     width = Counter(f.split(" ")[0] for f in vocabulary)
     logs = {}

@@ -34,7 +34,9 @@ class Maker:
         return " ".join(self.r.choice(WORDS) for _ in range(self.r.randint(low, high)))
 
     def prose(self, low: int = 6, high: int = 90) -> str:
-        text = self.words(low, high).capitalize() + "."
+        text = self.words(low, high).capitalize() + self.r.choice(["."] * 12 + ["!", "!!", "?", ":", ""])
+        if self.r.random() < 0.4:  # commas within
+            text = text.replace(" ", ", ", 1)
         if self.r.random() < 0.3:
             text += f' <a href="/x">{self.words(1, 3)}</a> {self.words(3, 20)}.'
         if self.r.random() < 0.2:
@@ -75,7 +77,7 @@ class Maker:
 
     def footer(self) -> str:
         plain = self.r.random() < 0.7
-        inner = self.r.choice([f"&copy; {self.words(1, 3)} &middot; {self.prose(4, 20)}", f"<p>&copy; 2020 {self.words(2, 6)}</p>{self.links()}", self.links(), f"<p>{self.prose(5, 40)}</p>"])
+        inner = self.r.choice([f"&copy; {self.words(1, 3)} &middot; {self.prose(4, 20)}", f"<p>&copy; 2020 {self.words(2, 6)}</p>{self.links()}", f"<p>Copyright {self.words(1, 6)}</p>", self.links(), f"<p>{self.prose(5, 40)}</p>"])
         return self.boiler("footer" if plain else "div", FOOTER_NAMES, inner, not plain)
 
     def side(self) -> str:
@@ -96,11 +98,16 @@ class Maker:
         return self.boiler("form", FORM_NAMES, inner)
 
     def comments(self) -> str:
-        said = lambda: self.r.choice([f"<b>{self.words(1, 2)}</b><p>{self.prose(2, 60)}</p>", f"<p>{self.prose(2, 60)}</p>", f"{self.words(1, 2)}: {self.prose(2, 40)}"])
-        one = lambda: f"<{(t := self.r.choice(['div', 'li', 'article', 'section']))}{self.name(COMMENT_NAMES)}>{said()}</{t}>"
-        head = f"<h3>{self.words(1, 2)}</h3>" * (self.r.random() < 0.6)
-        many = "".join(one() for _ in range(self.r.randint(1, 5))) if self.r.random() < 0.7 else "".join(f"<p>{self.prose(2, 50)}</p>" for _ in range(self.r.randint(1, 4)))
-        return self.boiler(self.r.choice(["section", "div", "div", "ol", "aside"]), COMMENT_NAMES, head + many, True)
+        most = self.r.choice([5, 20, 40, 60])
+        said = lambda: self.r.choice([f"<b>{self.words(1, 2)}</b><p>{self.said(most)}</p>", f"<p>{self.said(most)}</p>", f"<p><b>{self.words(1, 2)}</b>: {self.said(most)}</p>", f"{self.words(1, 2)}: {self.said(most)}"])
+        kind, one = self.r.choice(["", "div", "li", "article", "section"]), self.name(COMMENT_NAMES)
+        head = f"<h3>{self.words(1, 2)}</h3>" * (self.r.random() < 0.4)
+        many = "".join(f"<{kind}{one}>{said()}</{kind}>" if kind else f"<p>{self.said(most)}</p>" for _ in range(self.r.randint(1, 5)))
+        return self.boiler(self.r.choice(["section", "div", "div", "ol", "aside", "article"]), COMMENT_NAMES, head + many, True)
+
+    def said(self, most: int) -> str:
+        """What a reader writes: shorter than prose, and without links."""
+        return self.words(1, self.r.randint(1, most)).capitalize() + self.r.choice([".", ".", ".", "!", ""])
 
     def share(self) -> str:
         return self.boiler(self.r.choice(["div", "ul", "p"]), SHARE_NAMES, " ".join(f'<a href="#">{self.words(1, 1)}</a>' for _ in range(3)), True)
@@ -128,7 +135,7 @@ class Maker:
 
     def inside(self) -> str:
         """Boilerplate that stands in an article."""
-        kinds = (self.comments, self.comments, self.advert, self.share, self.side, self.notice, self.form, self.menu, self.header, self.footer)
+        kinds = (self.comments, self.comments, self.comments, self.comments, self.comments, self.advert, self.share, self.side, self.notice, self.form, self.menu, self.header, self.footer)
         return self.r.choice(kinds)()
 
     def body(self) -> str:
@@ -138,15 +145,44 @@ class Maker:
         if self.r.random() < 0.15:  # a short article
             return "".join(parts) + self.r.choice([f"<p>{self.words(1, 8)}</p>", f"<p>{self.prose(1, 8)}</p>", self.prose(1, 12), f"<div>{self.prose(2, 12)}</div>"])
         blocks = [self.block() for _ in range(self.r.randint(1, 10))]
-        if self.r.random() < 0.25:  # parts of their own
+        if self.r.random() < 0.15:  # parts of their own, most of them with a heading
             cut = self.r.randint(0, len(blocks))
-            blocks = [*blocks[:cut], f"<{(t := self.r.choice(['section', 'div']))}{self.name(CONTENT_NAMES)}>{''.join(blocks[cut:])}</{t}>"]
+            head = f"<h2>{self.words(1, 6)}</h2>" * (self.r.random() < 0.7)
+            blocks = [*blocks[:cut], f"<{(t := self.r.choice(['section', 'div']))}{self.name(CONTENT_NAMES)}>{head}{''.join(blocks[cut:])}</{t}>"]
         for _ in range(self.r.choice([0, 1, 1, 2, 3])):
-            blocks.insert(self.r.randint(1, len(blocks)), self.inside())
+            at = len(blocks) if self.r.random() < 0.5 else self.r.randint(1, len(blocks))
+            blocks.insert(at, self.inside())
         return "".join([*parts, *blocks])
 
+    def loose(self) -> str:
+        """An article that lies in the body itself, some of it as bare text."""
+        x = self.r.random()
+        if x < 0.3:
+            return self.prose(3, 60)
+        if x < 0.6:
+            return "<br><br>".join(self.prose(3, 50) for _ in range(self.r.randint(2, 5)))
+        return f"<h1>{self.words(2, 8)}</h1>" * (self.r.random() < 0.6) + "".join(self.block() for _ in range(self.r.randint(1, 8)))
+
+    def table_page(self) -> str:
+        """A page laid out as a table without names."""
+        cell = lambda inner, label, wide=False: f'<td data-label="{label}"{" colspan=2" * wide}>{inner}</td>'
+        links = lambda: self.r.choice([self.links(), " ".join(self.words(1, 1).capitalize() for _ in range(self.r.randint(2, 5)))])
+        article = self.r.choice(["".join(self.block() for _ in range(self.r.randint(1, 6))), self.prose(10, 60), "<br><br>".join(self.prose(5, 40) for _ in range(3))])
+        top = f"<tr>{cell(links(), 'b', True)}</tr>" * (self.r.random() < 0.6)
+        side = cell(links(), "b") * (self.r.random() < 0.6)
+        foot = f"<tr>{cell(self.r.choice([f'Copyright 2020 {self.words(0, 3)}', f'&copy; {self.words(1, 4)}', links()]), 'b', True)}</tr>" * (self.r.random() < 0.8)
+        return f"<html><body><table>{top}<tr>{side}{cell(article, 'c')}</tr>{foot}</table></body></html>"
+
     def page(self) -> str:
         self.plain_names = self.r.random() >= self.invented
+        shape = self.r.random()
+        if shape < 0.06:
+            return self.table_page()
+        if shape < 0.16:
+            around = lambda *kinds: "".join(f() for f in kinds if self.r.random() < 0.35)
+            foot = self.r.choice([around(self.footer), f'<p data-label="b">&copy; {self.words(1, 5)}</p>', f'<p data-label="b">Copyright {self.words(1, 5)}</p>'])
+            before, after = around(self.header, self.menu, self.notice), around(self.comments, self.side, self.form)
+            return f'<html><body data-label="c">{before}{self.loose()}{after}{foot}</body></html>'
         kind = self.r.choice(["article", "article", "article", "main", "div", "div", "section"])
         name = self.name(CONTENT_NAMES) if kind in ("div", "section") or self.r.random() < 0.3 else ""
         while kind in ("div", "section") and not name:
