@@ -91,3 +91,23 @@ def test_hits_are_distinct_before_they_are_compared(spark):
     d = spark.createDataFrame([(1, "the " * 400)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "the " * 50)], "item_id long, text string")
     assert D.hits_of(d, bench).count() <= 450
+
+
+def test_short_items_with_one_change(spark):
+    """Items of 5 to 7 words: each word changed, the ends cut off by the text's own ends, and two changes, which are too many."""
+    bench, docs, want = [], [], set()
+    for n in (4, 5, 6, 7):
+        words = [f"s{n}w{k}" for k in range(n)]
+        bench.append((n, " ".join(words)))
+        for k in range(n):
+            for text in (["x", *words[:k], "new", *words[k + 1 :], "y"], [*words[:k], "new", *words[k + 1 :]]):
+                docs.append((len(docs), " ".join(text)))
+                want |= {(len(docs) - 1, n)} if n >= D.LEAST else set()
+        for text in (words[1:], words[:-1], ["z", *words[:-1]], [*words[1:], "z"]):
+            docs.append((len(docs), " ".join(text)))
+            want |= {(len(docs) - 1, n)} if n >= D.LEAST else set()
+        docs.append((len(docs), " ".join(["new", *words[1:-1], "new"])))
+        docs.append((len(docs), " ".join(words)))
+        want.add((len(docs) - 1, n))
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want

@@ -9,9 +9,9 @@ A hit fixes a diagonal (document position minus item position); hits are made di
 item and diagonal before anything is compared, so that a repetitive item costs no more than its
 diagonals. Verification lays the item along the diagonal and compares word by word. A document is
 contaminated where a run of RUN neighbouring item words (the whole item, if it is shorter) stands in
-it with at least SIMILARITY of its words equal; the rest may be substituted. Items of under LEAST words
-are too short for the masks: they count where all their words stand in the document, by a hash of the
-whole item (the lengths that the benchmark has are looked up, and no other).
+it with at least SIMILARITY of its words equal; the rest may be substituted. Items of under SEEDED words
+have masks of their own length instead, one for each word to be ignored, and those of under LEAST words, in
+which no word may differ, a hash of the whole item (the lengths that the benchmark has are looked up, and no other).
 
 The first pass keeps only row keys and diagonals. Texts are read again for rows with hits alone. Seeds,
 items and hits are broadcast only while their counted rows are at most MAX_BROADCAST; beyond that they
@@ -29,16 +29,16 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vodlens.llm.common import ASCII_SPACE, ascii_lower, stored
+from vodlens.llm.common import ASCII_SPACE, ascii_lower, drop_stored, stored
 from vodlens.llm.line_dedup import row_key
 
 SPAN = 7
 #: Kept positions of each mask. Wherever the changes lie that verification allows, in a run of RUN words
-#: or in an item of any size from LEAST words, at least one mask fits between them (found and tested by
+#: or in an item of any size from SEEDED words, at least one mask fits between them (found and tested by
 #: enumeration).
 MASKS = [(0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 2, 4, 6), (0, 3, 4, 5, 6)]
-#: Words of the shortest item that the masks seed; shorter ones match as a whole.
-LEAST = 8
+#: Words of the shortest item that the masks seed, and of the shortest one of which a word may differ.
+SEEDED, LEAST = 8, 5
 RUN, SIMILARITY = 13, 0.8
 MAX_BROADCAST = 400_000
 
@@ -81,42 +81,56 @@ def verified(hits: DataFrame, run: int, similarity: float) -> DataFrame:
     return laid.where(good).select("key", "doc_id", "item_id", "item_words", "equal_words")
 
 
-def run_hash(n: int, start: Column) -> Column:
-    """The hash of n neighbouring words."""
-    return F.xxhash64(F.lit(-n), *[F.get(F.col("words"), start + o) for o in range(n)])
+def ignored(n: int) -> list[int | None]:
+    """The words that a short item's masks ignore, one each; none where no word may differ."""
+    return list(range(n)) if n >= LEAST else [None]
 
 
-def with_whole(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """Like with_seeds, with a hash of each run of as many words as a short item has."""
+def run_hash(n: int, skip: int | None, start: Column) -> Column:
+    """The hash of n neighbouring words without the ignored one."""
+    return F.xxhash64(F.lit(-n), F.lit(-1 if skip is None else skip), *[F.get(F.col("words"), start + o) for o in range(n) if o != skip])
+
+
+def with_runs(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """Like with_seeds, with the hashes of each run of as many words as a short item has.
+
+    A run whose first or last word is ignored may begin before the text or end behind it.
+    """
     parts = []
     for n in lengths:
-        last = F.size("words") - n
-        hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), partial(run_hash, n))).otherwise(F.array().cast("array<bigint>"))
-        parts.append(F.transform(hashes, lambda h, i: F.struct(i.cast("int").alias("place"), h.alias("seed"))))
+        for skip in ignored(n):
+            first, last = -int(skip == 0), F.size("words") - n + int(skip == n - 1)
+            starts = F.when(last >= first, F.sequence(F.lit(first), F.greatest(last, F.lit(first)))).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(starts, partial(placed_run, n, skip)))
     return rows.select(*keep, F.explode_outer(F.flatten(F.array(*parts))).alias("s")).select(*keep, "s.place", "s.seed")
 
 
+def placed_run(n: int, skip: int | None, start: Column) -> Column:
+    return F.struct(start.cast("int").alias("place"), run_hash(n, skip, start).alias("seed"))
+
+
 def seeds_and_runs(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     placed = with_seeds(rows, *keep)
-    return placed.unionByName(with_whole(rows, lengths, *keep)) if lengths else placed
+    return placed.unionByName(with_runs(rows, lengths, *keep)) if lengths else placed
 
 
 def hits_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, similarity: float = SIMILARITY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """key (of the row), doc_id, item_id, item_words, equal_words: a row for each hit that holds."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("words"))
     items = stored(items.where(F.size("words") > 0).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words")), "decon-items")
-    short = items.where(F.size("words") < LEAST)
+    short = items.where(F.size("words") < SEEDED)
     lengths = sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect())  # seven at most
-    seeds = with_seeds(items.where(F.size("words") >= LEAST), "item")
-    if lengths:
-        whole = F.coalesce(*[F.when(F.size("words") == n, run_hash(n, F.lit(0))) for n in lengths])
-        seeds = seeds.unionByName(short.select("item", F.lit(0).alias("place"), whole.alias("seed")))
+    seeds = with_seeds(items.where(F.size("words") >= SEEDED), "item")
+    for n in lengths:
+        hashes = F.array(*[run_hash(n, skip, F.lit(0)) for skip in ignored(n)])
+        seeds = seeds.unionByName(short.where(F.size("words") == n).select("item", F.lit(0).alias("place"), F.explode(hashes).alias("seed")))
     seeds = stored(seeds.where("seed is not null").distinct().select(F.col("item").alias("s_item"), F.col("place").alias("s_place"), F.col("seed").alias("s_seed")), "decon-seeds")
     rows = docs.select(row_key(id_col, text_col).alias("key"), word_hashes(F.col(text_col)).alias("words"))
     placed = seeds_and_runs(rows, lengths, "key")
     few = F.broadcast if seeds.count() <= max_broadcast else lambda df: df
     found = placed.join(few(seeds), F.col("seed") == F.col("s_seed")).select("key.*", "s_item", (F.col("place") - F.col("s_place")).alias("diagonal"))
     found = stored(found.distinct(), "decon-hits")
+    drop_stored(seeds)
     texts = items.select("item", "item_id", F.col("words").alias("item_hashes"))
     if found.count() <= max_broadcast:
         found = F.broadcast(found)
