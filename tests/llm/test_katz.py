@@ -107,3 +107,14 @@ def test_saved_tables(spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/counts-2").collect()) == [1, 1, 1, 2, 2]
     assert spark.read.parquet(f"{tmp_path}/backoff-2").where("alpha > 0").count() == 3
     model.drop()
+
+
+def test_few_partitions_for_many_parts(spark, data, monkeypatch):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    want = {r.doc_id: (r.score, r.base_score) for r in katz.score_documents(d).collect()}
+    monkeypatch.setattr(katz, "MOST_PARTITIONS", 3)
+    few = katz.KatzScores(d, block_chars=20_000, part_chars=10_000)
+    assert few.parts > 30 and few.counts.rdd.getNumPartitions() <= 4
+    got = {r.doc_id: (r.score, r.base_score) for r in few.scores().collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][j] - want[k][j]) <= 1e-9 * abs(want[k][j]) for k in want for j in (0, 1))
+    few.drop()

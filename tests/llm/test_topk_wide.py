@@ -52,3 +52,40 @@ def test_bounds_hold_and_eliminate():
         score = np.where(rows.ids == j, topk.LEAST, rows.x @ rows.x[j])
         assert sorted(best.score.tolist(), reverse=True) == sorted(score.tolist(), reverse=True)[:5]
     assert taken < 10 * 4_000 / 2
+
+
+def clustered(n, seed=3):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(15, 16)) * 4
+    rows = [(k, (centres[k % 15] + r.normal(size=16) * 0.1).tolist()) for k in range(n)]
+    return rows + [(n + k, [0.5] * 16) for k in range(n // 3)]  # a third are copies
+
+
+def test_queries_go_to_few_groups(spark):
+    """The share of (query, group) pairs that are visited, on clustered vectors; no group that holds a true result is left out."""
+    rows = clustered(3_000)
+    table = topk.usable(spark.createDataFrame(rows, VECTORS).repartition(4), "vec_id", "embedding")
+    raw = np.array([v for _, v in rows])
+    pivots = topk.far_apart(topk.whole(raw[:500]), 32)
+    ranged = topk.stored(topk._ranged(topk.pivot_table(table, {16: pivots}), 40), "groups")
+    routes = topk.Routes([tuple(r) for r in topk._summaries(ranged).collect()])
+    place = {r.vec_id: r.g for r in ranged.select("g", "vec_id").collect()}
+    assert len(set(place.values())) >= 30
+    x = topk.whole(raw).astype(np.int64)
+    every, sample = topk.Vectors(np.arange(len(rows)), raw, topk.distances(topk.whole(raw), pivots)), np.arange(500)
+    visited = 0
+    for q in range(0, len(rows), 50):
+        score = np.where(np.arange(len(rows)) == q, topk.LEAST, x @ x[q])
+        floor = np.sort(np.where(sample == q, topk.LEAST, (x @ x[q])[sample]))[-5]
+        groups = set(routes.groups(16, float(every.square[q]), every.dist[q], float(floor)).tolist())
+        visited += len(groups)
+        best = sorted(range(len(rows)), key=lambda j: (-int(score[j]), j))[:5]
+        assert {place[j] for j in best} <= groups
+    assert visited < 0.5 * len(set(place.values())) * len(range(0, len(rows), 50))
+    topk.drop_stored(ranged)
+
+
+def test_routed_search_is_exact(spark):
+    rows = clustered(600)
+    got = topk.search(spark.createDataFrame(rows, VECTORS).repartition(3), every=20, block=8, group=50, pivots=8, sample=100)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 5, 20)

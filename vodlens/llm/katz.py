@@ -45,6 +45,7 @@ K, REST = 5, 1e-6
 #: Words of a gram.
 ORDER = 2
 BLOCK_CHARS, PART_CHARS, LEAST_PARTS = 6_000_000, 4_000_000, 16
+MOST_PARTITIONS = 10_000
 END = b"\n"
 WORDS, PAIRS = 0, 1
 MIXED = "kind int, block long, part int, payload binary"
@@ -419,6 +420,11 @@ def _finish(model: KatzModel) -> Callable:
     return run
 
 
+def places(groups: int) -> int:
+    """Partitions for so many groups: a group each, up to a number that a cluster can plan; beyond it a partition holds several, sorted."""
+    return min(groups, MOST_PARTITIONS)
+
+
 class KatzScores:
     """Scores of all documents, and the stored model tables (packed by part): counts and weights."""
 
@@ -429,7 +435,7 @@ class KatzScores:
         parts = max(least_parts, -(-chars // part_chars))
         self.blocks = stored(rows.mapInArrow(_blocks(block_chars), MIXED), "katz-blocks")
         sent = self.blocks.mapInArrow(_requests(parts, order), MIXED)
-        dealt = sent.repartition(order * parts, "kind", "part").sortWithinPartitions("kind", "part")
+        dealt = sent.repartition(places(order * parts), "kind", "part").sortWithinPartitions("kind", "part")
         self.counts = stored(dealt.mapInArrow(_count, MIXED), "katz-counts")
         sums = self.counts.where("block = -2").mapInArrow(_unpacked_sums, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
         n = np.zeros((order, K + 5), np.int64)
@@ -437,16 +443,16 @@ class KatzScores:
             n[s["kind"], s["at"]] = s["n"]
         # Per order: types seen 0..K+1 times, sum of counts over K, tokens, types.
         self.model = KatzModel([np.concatenate([x[: K + 2], x[K + 2 : K + 3]]) for x in n], int(n[0, K + 3]), int(n[0, K + 4]))
-        met = self.blocks.unionByName(self.counts.where("block >= 0")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
+        met = self.blocks.unionByName(self.counts.where("block >= 0")).repartition(places(parts), "block").sortWithinPartitions("block", "kind", "part")
         self.states = stored(met.mapInArrow(_score(self.model, parts), MIXED), "katz-states")
         drop_stored(self.blocks)
-        asked = self.states.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "kind", "block")
+        asked = self.states.where("part >= 0").repartition(places(parts), "part").sortWithinPartitions("part", "kind", "block")
         self.weights = stored(asked.mapInArrow(_weigh(self.model), MIXED), "katz-weights")
         self.parts = parts
 
     def scores(self) -> DataFrame:
         both = self.states.where("part = -1").unionByName(self.weights.where("block >= 0"))
-        return both.repartition(self.parts, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(_finish(self.model), OUT)
+        return both.repartition(places(self.parts), "block").sortWithinPartitions("block", "kind", "part").mapInArrow(_finish(self.model), OUT)
 
     def table(self, kind: int) -> DataFrame:
         """key and count of all words (0), pairs (1) or longer grams of the training texts."""

@@ -8,9 +8,13 @@ for rounding. A task takes its candidates in the order of their bounds and stops
 bound is below the k-th best score found, or below that among the sample, which any vector of the true
 result reaches. Scores are exact integers: 64-bit where the components allow it, wider ones elsewhere.
 
-Queries are a stated set. One block of them is broadcast (its size is checked); more are dealt, in blocks,
-to every group of candidates in one job: a task holds GROUP candidates, its queries stream past in
-blocks of BLOCK, and each block gives up at most k rows per query. The driver sees the sample only.
+Queries are a stated set. One block of them is broadcast (its size is checked); more are dealt in one job.
+Then the candidates are cut into groups by range: by their nearest pivot and the distance to it. Of each
+group the smallest and largest distance to every pivot and the largest square are known, which bounds
+the inner product of a query with all of the group at once, and a query is sent only to groups whose bound
+reaches its threshold. A task holds a group's candidates, its queries stream past in blocks of BLOCK, and
+each block gives up at most k rows per query. The driver sees the sample and a few numbers per group (of
+which there are MOST_GROUPS at most, GROUP candidates each or more).
 
 Sample: at most SAMPLE vectors, to place the pivots and for first thresholds; any give the same results.
 
@@ -32,9 +36,10 @@ from pyspark.sql import functions as F
 
 from vodlens.llm.common import drop_stored, partitions, stored
 
-PIVOTS, SAMPLE, BLOCK, GROUP, FIRST = 32, 1_024, 1_024, 16_384, 64
+PIVOTS, SAMPLE, BLOCK, GROUP, FIRST, MOST_GROUPS = 32, 1_024, 1_024, 16_384, 64, 16_384
 SCALE = 256
 TABLE = "vec_id long, dim int, raw binary, dist binary"
+SUMMARY = "g int, dim int, low binary, high binary, square double"
 FOUND = "query_id long, q string, vec_id long, score long, side int, digits string"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Scores beyond 64 bits travel as text of one width, shifted to be positive, so that texts sort like numbers.
@@ -227,13 +232,105 @@ def _broadcast_block(table: DataFrame, queries: list[tuple], sample: dict[int, V
     return table.mapInArrow(run, FOUND)
 
 
-def _dealt_blocks(table: DataFrame, asked: DataFrame, sample: dict[int, Vectors], k: int, block: int, group: int) -> DataFrame:
-    """Every group of candidates meets all queries, which stream past in blocks."""
+def _ranged(table: DataFrame, groups: int) -> DataFrame:
+    """g, the group, and the columns of the table: groups are ranges of nearest pivot and distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, far = [], []
+            for raw in batch.column(3):
+                dist = np.frombuffer(raw.as_py(), np.float64)
+                dist = np.where(np.isnan(dist), np.inf, dist)
+                near.append(int(dist.argmin()) if len(dist) else -1)
+                far.append(float(dist.min()) if len(dist) else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(far), *batch.columns], ["near", "far", *batch.schema.names])
+
+    placed = table.mapInArrow(run, f"near int, far double, {TABLE}")
+    dealt = placed.repartitionByRange(groups, "dim", "near", "far", "vec_id", "raw")
+    return dealt.select(F.spark_partition_id().alias("g"), *table.columns)
+
+
+def _summaries(table: DataFrame) -> DataFrame:
+    """Of each group and length: the least and the largest distance to each pivot, and the largest square; a row for each task that holds some of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for g, rows in _by_group(batch):
+                for n, of_length in grouped_by_length(rows).items():
+                    v = Vectors.of(of_length, n)
+                    dist = np.where(np.isnan(v.dist), np.inf, v.dist)
+                    low, high = dist.min(0), dist.max(0)
+                    # Wide vectors are never ruled out.
+                    square = float(v.square.max()) if v.narrow.all() else np.inf
+                    old = seen.get((g, n))
+                    seen[g, n] = [low, high, square] if old is None else [np.minimum(old[0], low), np.maximum(old[1], high), max(old[2], square)]
+        if seen:
+            cells = zip(*[(g, n, low.tobytes(), high.tobytes(), square) for (g, n), (low, high, square) in seen.items()])
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], [c.split(" ")[0] for c in SUMMARY.split(", ")])
+
+    return table.mapInArrow(run, SUMMARY)
+
+
+def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple]]]:
+    out: dict[int, list[tuple]] = {}
+    for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        out.setdefault(g, []).append(tuple(row))
+    yield from out.items()
+
+
+class Routes:
+    """Which groups a query has to visit."""
+
+    def __init__(self, summaries: list[tuple]):
+        seen: dict[tuple[int, int], list] = {}
+        for g, n, low, high, square in summaries:
+            low, high = np.frombuffer(low, np.float64), np.frombuffer(high, np.float64)
+            old = seen.get((g, n))
+            seen[g, n] = [low, high, square] if old is None else [np.minimum(old[0], low), np.maximum(old[1], high), max(old[2], square)]
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in {n for _, n in seen}:
+            own = sorted(g for g, m in seen if m == n)
+            parts = [seen[g, n] for g in own]
+            self.of[n] = (np.array(own), np.stack([p[0] for p in parts]), np.stack([p[1] for p in parts]), np.array([p[2] for p in parts]))
+
+    def groups(self, n: int, square: float, dist: np.ndarray, floor: float) -> np.ndarray:
+        """The groups whose bound reaches the floor."""
+        if n not in self.of:
+            return np.empty(0, np.int64)
+        own, low, high, largest = self.of[n]
+        with np.errstate(invalid="ignore", over="ignore"):
+            apart = np.maximum(np.maximum(low - dist, dist - high).max(1, initial=0.0), 0) * (1 - 1e-9)
+            total = largest + square
+            bound = (total - apart * apart) / 2 + 1e-9 * total + 1
+        return own[~(bound < floor)]
+
+
+def _dealt_blocks(table: DataFrame, asked: DataFrame, sample: dict[int, Vectors], k: int, block: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Every group of candidates meets the queries that it may answer, which stream past in blocks. Gives also the stored groups."""
     spark = table.sparkSession
+    groups = max(1, min(MOST_GROUPS, -(-table.count() // group)))
+    ranged = stored(_ranged(table, groups), "pivot-groups")
+    routes = Routes([tuple(r) for r in _summaries(ranged).collect()])  # a few numbers for each group and task
     sent = spark.sparkContext.broadcast(sample)
-    groups = max(1, -(-table.count() // group))
-    mine = table.select(F.pmod(F.xxhash64("vec_id", "raw"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), *table.columns)
-    theirs = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), *table.columns)
+    known = spark.sparkContext.broadcast(routes)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for n, rows in grouped_by_length(list(zip(*(c.to_pylist() for c in batch.columns)))).items():
+                queries = Queries(Vectors.of(rows, n), k, sent.value.get(n))
+                for j, row in enumerate(rows):
+                    r = queries.rows
+                    square = float(r.square[j]) if r.narrow[j] else np.inf
+                    out += [(int(g), row[0], n, row[1], row[2]) for g in known.value.groups(n, square, r.dist[j], queries.best[j].floor)]
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            for at in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000]), kinds)], ["g", "vec_id", "dim", "raw", "dist"])
+
+    mine = ranged.select("g", F.lit(0).alias("kind"), *table.columns)
+    theirs = asked.mapInArrow(routed, f"g int, {TABLE}").select("g", F.lit(1).alias("kind"), *table.columns)
     places = min(groups, max(partitions(spark), 10_000))
     dealt = mine.unionByName(theirs).repartitionById(places, F.pmod("g", F.lit(places))).sortWithinPartitions("g", "kind", "dim", "vec_id", "raw")
 
@@ -264,7 +361,7 @@ def _dealt_blocks(table: DataFrame, asked: DataFrame, sample: dict[int, Vectors]
                     yield from answer()
         yield from answer()
 
-    return dealt.select("g", "kind", *table.columns).mapInArrow(run, FOUND)
+    return dealt.select("g", "kind", *table.columns).mapInArrow(run, FOUND), ranged
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK, group: int = GROUP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -276,16 +373,18 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS
         chosen = {n: far_apart(whole(v.raw[v.narrow]), pivots) for n, v in samples.items() if v.narrow.any()}
     table = stored(pivot_table(rows, chosen), "pivot-table")
     asked = table.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "raw"])
-    first = asked.limit(block + 1).collect()
+    first, ranged = asked.limit(block + 1).collect(), None
     if len(first) <= block:
         found = _broadcast_block(table, [(r.vec_id, r.dim, bytes(r.raw), bytes(r.dist)) for r in first], samples, k)
     else:
-        found = _dealt_blocks(table, asked, samples, k, block, group)
+        found, ranged = _dealt_blocks(table, asked, samples, k, block, group)
     # Of repeated rows as candidates each counts; as queries they are one, named by id and vector.
     order = Window.partitionBy("q").orderBy(F.desc("side"), F.desc("score"), F.desc("digits"), "vec_id")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out = stored(top.select("query_id", "rank", "vec_id", "score"), "top-k")
     drop_stored(table)
+    if ranged is not None:
+        drop_stored(ranged)
     return out
 
 
