@@ -337,3 +337,30 @@ def test_shared_folder_is_the_sessions(spark):
     df = common.stored(spark.range(3), "x")
     assert df.count() == 3
     common.drop_stored(df)
+
+
+@pytest.mark.parametrize("place,flag,value", [("pre_tokenizer", "use_regex", False), ("model", "ignore_merges", True), ("model", "dropout", 0.1), ("model", "unk_token", "<unk>"), ("model", "byte_fallback", True), ("model", "end_of_word_suffix", "</w>")])
+def test_bpe_refuses_what_it_would_get_wrong(place, flag, value):
+    symbols = bpe.byte_symbols()
+    spec = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"vocab": {s: k for k, s in enumerate(symbols)}, "merges": []}}
+    assert bpe.ByteBpe(spec).merge(b"ab") == [symbols.index("a"), symbols.index("b")]
+    spec[place][flag] = value
+    with pytest.raises(ValueError):
+        bpe.ByteBpe(spec)
+
+
+def test_near_copies_odd_rows(spark):
+    """Repeated rows, null texts and ids, extra columns: one row of each group stays, as it was."""
+    from vodlens.llm import near_copies
+
+    d = docs(spark, *ODD)
+    kept = near_copies.one_of_each(d)
+    assert kept.columns == d.columns
+    rows = sorted(map(tuple, kept.collect()), key=repr)
+    every = [tuple(r) for r in d.collect()]
+    assert all(r in every for r in rows)
+    texts = [(r[1] or "").strip() for r in rows]
+    assert sorted(texts) == sorted({(t or "").strip() for _, t in ODD})
+    by = {t: r[0] for t, r in zip(texts, rows)}
+    assert by["same text"] == 3 and by[""] == 1 and by["no id here"] is None
+    assert near_copies.one_of_each(d.limit(0)).collect() == []

@@ -74,6 +74,12 @@ class ByteBpe:
     def __init__(self, spec: dict):
         if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only byte-level vocabularies without normalizer or prefix space")
+        model = spec["model"]
+        unlike = [k for k in ("ignore_merges", "dropout", "unk_token", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        if not spec["pre_tokenizer"].get("use_regex", True):
+            unlike.append("use_regex: false")
+        if unlike:
+            raise ValueError(f"the vocabulary's {', '.join(unlike)} would give other ids, which is not supported")
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         byte_of = {s: b for b, s in enumerate(symbols)}
         self.first = [vocab[s] for s in symbols]

@@ -16,7 +16,8 @@ sets, computed from the texts, is at least SIMILARITY. Candidates come in three
   whole hot cell and no link is lost.
 
 Defined results: a null text counts as empty, and empty texts are copies of each other; a null doc_id
-is never a component's id unless the component has no other; an empty table gives no rows.
+is never a component's id unless the component has no other; of repeated rows, as of all copies, one stays;
+extra columns, of whatever names, stay with their rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
