@@ -254,3 +254,11 @@ def test_overlap_join_meets_in_points_and_once(spark):
     want = sorted((k, a, b, c, d) for (k, a, b), (j, c, d) in itertools.product(left, right) if k == j and a <= b and c <= d and not (b < c or a > d))
     for size in (0.5, 3.0, 1e6):
         assert sorted(map(tuple, temporal.overlap_join(l, r, ["k"], ("a", "b"), ("c", "d"), size).select("k", "a", "b", "c", "d").collect())) == want
+
+
+def test_centroids_in_blocks(spark):
+    vectors = spark.createDataFrame([(k, [float(k % 3 == j) + 0.1 * k for j in range(3)]) for k in range(9)], "i long, v array<double>")
+    profiles = spark.createDataFrame([(k, [float(k % 3 == j) for j in range(3)]) for k in range(12)], "centroid_id long, centroid array<double>")
+    want = sorted(map(tuple, knowledge.centroid_match(vectors, profiles, "i", "v").collect()))
+    assert len(want) == 9 and all(c < 3 for _, c, _, _ in want)
+    assert sorted(map(tuple, knowledge.centroid_match(vectors, profiles, "i", "v", block_bytes=60).collect())) == want

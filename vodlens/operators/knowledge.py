@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vodlens.functions import columns as C
 from vodlens.functions import lexicons as L
+from vodlens.plans.session import checkpointed
 
 
 def claims(speech: DataFrame, keep: list[str], text: str = "transcript") -> DataFrame:
@@ -129,19 +130,23 @@ def decayed(state: DataFrame, now: Column, half: float = 14.0, mark: float = 0.2
     return out.where(F.col("decayed_confidence") >= prune).withColumn("status", F.when(F.col("decayed_confidence") < mark, "DECAYED").otherwise("ACTIVE"))
 
 
-def centroid_match(vectors: DataFrame, centroids: DataFrame, item: str, vec: str, threshold: float = 0.75, block: int = 10_000) -> DataFrame:
+def centroid_match(vectors: DataFrame, centroids: DataFrame, item: str, vec: str, threshold: float = 0.75, block_bytes: int = 8_000_000) -> DataFrame:
     """The most similar centroid of each vector (ties: smaller id), known if above its threshold.
 
-    Centroids (enrolled profiles) come as arrays of about `block`, each in one broadcast row, and the best
-    one is found within the vector's own row: no pair is ever a row, and no vector is moved.
+    Centroids (enrolled profiles) come in blocks of about block_bytes, each in one broadcast row, and the best
+    one is found within the vector's own row: no pair is ever a row, and no vector is moved. Beyond one
+    block the best so far is stored between the blocks, so that no plan holds more than one of them.
     """
-    blocks = -(-centroids.count() // block)
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("centroid")).alias("numbers")).first()
+    blocks = max(1, -(-8 * (size.numbers or 0) // block_bytes))
     out = vectors.select(item, F.col(vec).alias("v"), F.lit(None).cast("struct<sim:double,low:bigint>").alias("best"))
     for k in range(blocks):
         mine = centroids.where(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)) == k)
         held = mine.agg(F.collect_list(F.struct(F.col("centroid_id").cast("long").alias("id"), "centroid")).alias("held"))
         scored = F.transform("held", lambda c: F.struct(C.cosine(F.col("v"), c["centroid"]).alias("sim"), (-c["id"]).alias("low")))
-        out = out.crossJoin(F.broadcast(held)).select(item, "v", F.greatest("best", F.array_max(scored)).alias("best"))
+        out = out.crossJoin(F.broadcast(held)).select(item, "v", F.greatest("best", F.array_max(scored)).alias("best"))  # one row
+        if k < blocks - 1:
+            out = checkpointed(out)
     found = out.where("best is not null")
     return found.select(item, (-F.col("best.low")).cast(centroids.schema["centroid_id"].dataType).alias("centroid_id"), F.col("best.sim").alias("sim"), (F.col("best.sim") >= threshold).alias("is_known"))
 

@@ -168,3 +168,19 @@ def overlap_pairs(spark, d):
     s = V.speech(spark, d).select("stream_id", "segment_id", "start_sec", "end_sec")
     out = temporal.overlap_join(c, s, ["stream_id"], ("lo", "hi"), ("start_sec", "end_sec"), 3600.0)
     return out.select("stream_id", "event_id", "segment_id", r6(F.least("hi", "end_sec") - F.greatest("lo", "start_sec")).alias("shared_sec"))
+
+
+def _register_inverted() -> None:
+    from vodlens.plans.catalog import BM25, TERMS
+
+    @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 100")
+    def inverted_search(spark, d):
+        """BM25 from a stored inverted index: only the query's terms are read."""
+        from vodlens.operators import inverted, search
+
+        index = inverted.build(table(spark, d, "documents"), "doc_id", "text", _folder(spark, "inverted"))
+        s = index.bm25(TERMS).withColumn("o", F.round("score", 9))
+        return search.top(s, 100, "o", "item").select(F.col("item").alias("doc_id"), r6("score").alias("score"))
+
+
+_register_inverted()

@@ -197,8 +197,9 @@ def overview_stats(spark, d):
 SELECT class, n, round(100 * used / sum(used) OVER (), 6) AS pct, CASE WHEN 100 * used / sum(used) OVER () >= 100 THEN 'CRITICAL' WHEN 100 * used / sum(used) OVER () >= 85 THEN 'WARNING' ELSE 'OK' END AS level FROM u""")
 def storage_report(spark, d):
     u = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("class")).agg(F.sum("l_quantity").alias("used"), F.count(F.lit(1)).alias("n"))
-    pct = 100 * F.col("used") / F.sum("used").over(Window.partitionBy(F.lit(1)))
-    return u.withColumn("p", pct).select("class", "n", r6("p").alias("pct"), media.storage_level(F.col("p"), F.lit(1000.0)).alias("level"))
+    every = table(spark, d, "lineitem").agg(F.sum("l_quantity").alias("every"))  # one row
+    u = u.crossJoin(F.broadcast(every))
+    return u.withColumn("p", 100 * F.col("used") / F.col("every")).select("class", "n", r6("p").alias("pct"), media.storage_level(F.col("p"), F.lit(1000.0)).alias("level"))
 
 
 @query("WITH $VIEWS, s AS (SELECT stream_id, 'speech' AS content_type, 'speech_' || segment_id AS chunk_id, start_sec AS t FROM speech UNION ALL SELECT stream_id, 'ocr', 'ocr_' || frame_index, timestamp_sec FROM keyframes WHERE len(ocr_text_blocks) > 0 UNION ALL SELECT stream_id, 'chat', 'chat_' || message_id, timestamp_offset FROM chat WHERE contains(content, 'cringe')) SELECT stream_id, content_type, chunk_id, round(t, 6) AS t FROM s")

@@ -66,8 +66,11 @@ def status(events: DataFrame, keys: list[str], ts: str, now: float | None = None
     last = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_messages"), F.countDistinct("platform").alias("n_platforms"), F.max(ts).alias("last_ts"))
     marked = events.select(*keys, ts).join(last.select(*keys, "last_ts"), keys).where(F.col(ts) > F.col("last_ts") - window_sec)
     recent = marked.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(max(1.0, window_sec))).alias("velocity"))
-    end = F.max("last_ts").over(Window.partitionBy(F.lit(1))) if now is None else F.lit(float(now))  # one row per key is left
-    return last.join(recent, keys).withColumn("is_live", end - F.col("last_ts") <= 60 * window_sec)
+    out = last.join(recent, keys)
+    if now is not None:
+        return out.withColumn("is_live", F.lit(float(now)) - F.col("last_ts") <= 60 * window_sec)
+    newest = events.agg(F.max(ts).alias("newest"))  # one row
+    return out.crossJoin(F.broadcast(newest)).withColumn("is_live", F.col("newest") - F.col("last_ts") <= 60 * window_sec).drop("newest")
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: list[str], most: int = 500) -> DataFrame:
