@@ -40,3 +40,37 @@ def test_sampling_report(spark):
     bursts = spark.createDataFrame([(1, 9.0, 11.0), (1, 11.5, 12.0), (1, 20.0, 20.0), (1, 20.0, 20.0)], "run_id long, lo double, hi double")
     got = {r.run_id: r for r in registry.sampling_report(runs, frames, bursts).collect()}
     assert tuple(got[1]) == (1, 6_000, 51, 10, 41, 80.39, 3.28, 66.67) and tuple(got[2]) == (2, 600, 6, 0, 6, 100.0, 0.48, 100.0)
+
+
+def test_feeders(spark, tmp_path):
+    from vodlens.operators import feeders
+    from vodlens.sources import state
+
+    targets = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [])], "streamer_id string, voiceprint_embedding array<double>")
+    later = spark.createDataFrame([("a", 1, [0.0, 1.0]), ("d", 5, [2.0, 0.0])], "streamer_id string, sample_id long, embedding array<double>")
+    got = {r.streamer_id: (r.sample_count, r.centroid) for r in feeders.seed_voiceprints(targets, later).collect()}
+    assert set(got) == {"a", "d"} and got["a"][0] == 2 and abs(got["a"][1][0] - 0.5**0.5) < 1e-12 and got["d"][1] == [2.0, 0.0]
+    kept = state.StateTable(spark, str(tmp_path / "chatters"))
+    chat = spark.createDataFrame([(k, k % 2, f"u{k % 2}", "KEKW that was W" if k % 2 else "uninstall trash") for k in range(6)], "message_id long, user_id long, author_name string, content string")
+    fail = lambda df: 1 / 0
+    told = feeders.fan(chat, {"first": lambda df: feeders.chatter_safety(kept, df, "s1"), "broken": fail, "again": lambda df: feeders.chatter_safety(kept, df, "s2")})
+    assert told["first"] is None and told["again"] is None and told["broken"].startswith("ZeroDivisionError")
+    assert kept.read().count() == 6 and {r.vod_id for r in kept.read().collect()} == {"s1"}
+    assert {r.user_id: r.total_messages for r in feeders.chatter_profiles(kept).collect()} == {0: 3, 1: 3}
+
+
+def test_inserted_chunks_have_an_end(spark):
+    cols = "chunk_id string, timestamp_sec double, timestamp_end_sec double, text string"
+    out = index.insert(spark.createDataFrame([("a", 1.0, 2.0, "x")], cols), spark.createDataFrame([("b", 3.0, None, "y"), ("c", 1.0, None, " ")], cols))
+    assert sorted((r.chunk_id, r.timestamp_end_sec) for r in out.collect()) == [("a", 2.0), ("b", 8.0)]
+
+
+def test_storage_levels(spark, tmp_path):
+    from vodlens.operators import media
+
+    (tmp_path / "Shorts").mkdir()
+    for name, size in (("a_Proxy.mp4", 10), ("Shorts/x.bin", 20), ("my_short.txt", 30), ("other", 40)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    files = media.stored_files(spark, str(tmp_path))
+    level = lambda budget, free=100 << 30: tuple(media.storage_usage(files, budget, free).first())
+    assert level(1_000) == (100, 1, 2, 10.0, "NORMAL") and level(130)[4] == "WARNING" and level(110)[4] == "CRITICAL" and level(100)[4] == "HALT" and level(1_000, 1)[4] == "HALT"

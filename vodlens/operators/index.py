@@ -16,7 +16,9 @@ CHUNK = ["chunk_id", "vod_id", "streamer_id", "content_type", "timestamp_sec", "
 
 
 def insert(chunks: DataFrame, batch: DataFrame) -> DataFrame:
-    """The batch's chunks replace those of the same id; blank texts are left out."""
+    """The batch's chunks replace those of the same id; blank texts are left out, a missing end is five seconds after the start."""
+    if {"timestamp_sec", "timestamp_end_sec"} <= set(batch.columns):
+        batch = batch.withColumn("timestamp_end_sec", F.coalesce("timestamp_end_sec", F.col("timestamp_sec") + 5.0))
     return store.upsert(chunks, batch.where(F.trim("text") != ""), ["chunk_id"])
 
 

@@ -180,3 +180,22 @@ def guests(rows: DataFrame, keys: list[str], guest: str, gap: float = 60.0, bloc
 
 def storage_level(used_pct: Column, free_gb: Column) -> Column:
     return F.when((used_pct >= 100) | (free_gb < 10), "CRITICAL").when((used_pct >= 85) | (free_gb < 50), "WARNING").otherwise("OK")
+
+
+def storage_usage(files: DataFrame, budget_bytes: int, free_bytes: int, least_free: int = 5 << 30, warning: float = 0.75, critical: float = 0.90) -> DataFrame:
+    """The bytes of a folder's files (path, length) against a budget: one row, with the files of each class and the level.
+
+    A file named proxy .. .mp4 is a recording's proxy; one named short, or in a folder named shorts, is a short.
+    """
+    name, folder = F.lower(F.element_at(F.split("path", "/"), -1)), F.lower(F.regexp_extract("path", "^(.*)/", 1))
+    proxy = F.contains(name, F.lit("proxy")) & F.endswith(name, F.lit(".mp4"))
+    short = ~proxy & (F.contains(name, F.lit("short")) | F.contains(folder, F.lit("shorts")))
+    sums = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("used_bytes"), F.count_if(proxy).alias("n_proxies"), F.count_if(short).alias("n_shorts"))
+    pct = 100 * F.col("used_bytes") / F.lit(budget_bytes) if budget_bytes > 0 else F.lit(0.0)
+    level = F.when(F.lit(free_bytes <= least_free) | (pct >= 95), "HALT").when(pct >= 100 * critical, "CRITICAL").when(pct >= 100 * warning, "WARNING").otherwise("NORMAL")
+    return sums.withColumns({"budget_usage_pct": F.round(pct, 2), "alert_level": level})
+
+
+def stored_files(spark, path: str) -> DataFrame:
+    """path and length of every file under a folder; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")

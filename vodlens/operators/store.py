@@ -68,3 +68,14 @@ def validated(lines: DataFrame, column: str, schema: str, required: list[str]) -
 
 def page(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def listing(vods: DataFrame, known: list[str], order: list[Column], streamer_id: str | None = None, status: str | None = None, search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a catalog. A search (in title and vod_id) looks at the streamer alone; a status that is not known filters nothing."""
+    out = vods if streamer_id is None else vods.where(F.col("streamer_id") == streamer_id)
+    if search:
+        word = F.lit(search.lower())
+        return out.where(F.contains(F.lower("title"), word) | F.contains(F.lower("vod_id"), word)).orderBy(*order).limit(limit)
+    if status and status.upper() in known:
+        out = out.where(F.col("status") == status.upper())
+    return out.orderBy(*order).offset(offset).limit(limit)

@@ -202,3 +202,36 @@ SELECT stream_id, t AS timestamp_sec FROM r JOIN o USING (stream_id, k) WHERE ke
 
 
 _register_bursts()
+
+
+@query("""(SELECT 'search' AS page, 'p' || p_partkey AS vod_id, p_name AS title FROM part WHERE contains(lower(p_name), '1') OR contains('p' || p_partkey, '1') ORDER BY p_partkey LIMIT 40) UNION ALL
+(SELECT 'status', 'p' || p_partkey, p_name FROM part WHERE p_size > 25 ORDER BY p_partkey LIMIT 30 OFFSET 5) UNION ALL (SELECT 'unknown', 'p' || p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20)""")
+def catalog_listing(spark, d):
+    """Pages of a catalog: by search, by status, and by a status that nobody knows."""
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("p"), "p_partkey").alias("vod_id"), F.col("p_name").alias("title"), F.lit("s").alias("streamer_id"), F.when(F.col("p_size") > 25, "QUEUED").otherwise("FAILED").alias("status"))
+    page = lambda name, **o: store.listing(p, ["QUEUED", "FAILED"], [F.col("p_partkey")], "s", **o).select(F.lit(name).alias("page"), "vod_id", "title")
+    out = page("search", status="failed", search="1", limit=40, offset=7)
+    return out.unionByName(page("status", status="queued", limit=30, offset=5)).unionByName(page("unknown", status="lost", limit=20))
+
+
+@query("""WITH f AS (SELECT page_id, 'x/' || CASE page_id % 4 WHEN 0 THEN 'a_proxy.mp4' WHEN 1 THEN 'shorts/b.mp4' WHEN 2 THEN 'my_short.json' ELSE 'c.bin' END AS path, length(html)::BIGINT AS length FROM pages)
+SELECT sum(length)::BIGINT AS used_bytes, count(*) FILTER (page_id % 4 = 0) AS n_proxies, count(*) FILTER (page_id % 4 IN (1, 2)) AS n_shorts, round(100 * sum(length) / 1e9, 2) AS budget_usage_pct, CASE WHEN 100 * sum(length) / 1e9 >= 95 THEN 'HALT' WHEN 100 * sum(length) / 1e9 >= 90 THEN 'CRITICAL' WHEN 100 * sum(length) / 1e9 >= 75 THEN 'WARNING' ELSE 'NORMAL' END AS alert_level FROM f""")
+def storage_usage(spark, d):
+    """Pages as the files of a folder: bytes, classes and the level against a budget."""
+    name = F.when(F.col("page_id") % 4 == 0, "a_proxy.mp4").when(F.col("page_id") % 4 == 1, "shorts/b.mp4").when(F.col("page_id") % 4 == 2, "my_short.json").otherwise("c.bin")
+    files = table(spark, d, "pages").select(F.concat(F.lit("x/"), name).alias("path"), F.char_length("html").cast("long").alias("length"))
+    return media.storage_usage(files, 1_000_000_000, 100 << 30)
+
+
+@query("""WITH RECURSIVE s AS (SELECT 'c' || label AS streamer_id, -1 AS k0, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 10 UNION ALL SELECT 'c' || label, vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id >= 10 AND vec_id % 3 = 0),
+o AS MATERIALIZED (SELECT streamer_id, x, row_number() OVER (PARTITION BY streamer_id ORDER BY k0, x) AS k FROM s),
+r AS (SELECT streamer_id, k, x AS c FROM o WHERE k = 1 UNION ALL SELECT streamer_id, k, list_transform(t, lambda z: z / CASE WHEN list_inner_product(t, t) > 0 THEN sqrt(list_inner_product(t, t)) ELSE 1 END) FROM
+(SELECT o.streamer_id, o.k, list_transform(list_zip(r.c, o.x), lambda z: ((o.k - 1) * z[1] + z[2]) / o.k) AS t FROM r JOIN o ON o.streamer_id = r.streamer_id AND o.k = r.k + 1))
+SELECT streamer_id, k AS sample_count, round(c[1], 6) AS c_first, round(c[64], 6) AS c_last FROM r QUALIFY k = max(k) OVER (PARTITION BY streamer_id)""")
+def seeded_voiceprints(spark, d):
+    """A roster's own embeddings seed the enrolment, later samples go on with it."""
+    from vodlens.operators import feeders
+
+    e = table(spark, d, "embeddings").withColumn("streamer_id", F.concat(F.lit("c"), "label"))
+    out = feeders.seed_voiceprints(e.where("vec_id < 10").withColumnRenamed("embedding", "voiceprint_embedding"), e.where("vec_id >= 10 AND vec_id % 3 = 0").withColumnRenamed("vec_id", "sample_id"))
+    return out.select("streamer_id", "sample_count", r6(F.get("centroid", F.lit(0))).alias("c_first"), r6(F.get("centroid", F.lit(63))).alias("c_last"))
