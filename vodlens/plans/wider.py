@@ -235,3 +235,31 @@ def seeded_voiceprints(spark, d):
     e = table(spark, d, "embeddings").withColumn("streamer_id", F.concat(F.lit("c"), "label"))
     out = feeders.seed_voiceprints(e.where("vec_id < 10").withColumnRenamed("embedding", "voiceprint_embedding"), e.where("vec_id >= 10 AND vec_id % 3 = 0").withColumnRenamed("vec_id", "sample_id"))
     return out.select("streamer_id", "sample_count", r6(F.get("centroid", F.lit(0))).alias("c_first"), r6(F.get("centroid", F.lit(63))).alias("c_last"))
+
+
+def _register_talk() -> None:
+    from vodlens.functions import lexicons as L
+    from vodlens.operators import chat as chat_ops
+
+    fill = ["so", "this", "game", "again", "tonight", "streamer", "kys"]
+    known = [w for w in dict.fromkeys([*fill, *(w for own in L.INTENTS.values() for w in own), *L.HOSTILE_TOKENS, *L.BANTER_TOKENS, *L.ROASTS]) if " " not in w and w != "whaaat"]
+    n, names = len(known), list(L.INTENTS)
+    rows = ", ".join(f"('{w}')" for w in known)
+    in_any = lambda own: f"len(list_intersect(list_filter(w, lambda x: length(x) > 1), [{', '.join(repr(x) for x in own)}])) > 0"
+    votes = ", ".join(f"('{name}', {k}, [{', '.join(repr(w) for w in own)}])" for k, (name, own) in enumerate(L.INTENTS.items()))
+
+    @query(f"""WITH l AS (SELECT list(w) AS ws FROM (VALUES {rows}) t(w)), m AS (SELECT event_id, [ws[event_id % {n} + 1], ws[(event_id // 7) % {n} + 1], ws[(event_id // 53) % {n} + 1]] AS w FROM events, l), i(intent, k, own) AS (VALUES {votes}),
+v AS (SELECT event_id, intent, len(list_filter(w, lambda x: list_contains(own, x))) AS votes, list_position(list_transform(w, lambda x: list_contains(own, x)), true) * {len(names)} + k AS first FROM m, i),
+b AS (SELECT event_id, arg_max(intent, struct_pack(v := votes, f := -first)) AS intent FROM v WHERE votes > 0 GROUP BY 1)
+SELECT event_id, coalesce(intent, 'NEUTRAL') AS primary_intent, CASE WHEN list_contains(w, 'kys') THEN 'MALICIOUS_HARASSMENT' WHEN len(list_filter({list(L.ROASTS)!r}, lambda r: contains(array_to_string(w, ' '), r))) > 0 THEN 'COMMUNITY_ROAST'
+WHEN {in_any(L.HOSTILE_TOKENS)} THEN 'BAD_FAITH_GRIEFING' WHEN {in_any(L.BANTER_TOKENS)} THEN 'GOOD_NATURED_BANTER' ELSE 'BENIGN_CHAT' END AS verdict FROM m LEFT JOIN b USING (event_id)""")
+    def talk_verdicts(spark, d):
+        """Messages of three words out of all lexicons: what each means to say, and whether it is banter or worse."""
+        words = F.array(*map(F.lit, known))
+        at = lambda step: F.get(words, (F.floor(F.col("event_id") / step) % n).cast("int"))
+        said = table(spark, d, "events").select("event_id", F.concat_ws(" ", at(1), at(7), at(53)).alias("content"))
+        intents = chat_ops.intents(said, ["event_id", "content"])
+        return intents.select("event_id", "primary_intent", chat_ops.safety_verdict(F.col("content"))["verdict"].alias("verdict"))
+
+
+_register_talk()
