@@ -182,7 +182,7 @@ def clusters(spark, rows, **options):
 def test_clusters_equal_full_scans(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8)) * 3
-    rows = [(k, (centres[k % 6] + rng.normal(size=8) * 0.1).tolist()) for k in range(300)]
+    rows = [(k, (centres[k % 6] + rng.normal(size=8) * 0.1).tolist()) for k in range(80)]
     rows += [(1000 + k, [1 / 256] * 8) for k in range(100)]  # copies
     rows += [(2000 + k, [float(k % 3), *[0.0] * 7]) for k in range(30)] + [(5, [2.0] * 8), (5, [2.0] * 8)]  # ties and repeated ids
     got, scans = clusters(spark, rows, clusters=12, rounds=4, length=8)
@@ -203,3 +203,14 @@ def test_clusters_of_odd_rows(spark):
     got, _ = clusters(spark, odd + good, length=2)
     assert got == lloyd(good, 40, 5)
     assert clusters(spark, odd, length=2)[0] == []
+
+
+def test_many_languages(spark):
+    """Eighty values of lang, some of them odd: random codewords, all texts told apart by their own letters."""
+    names = [f'l"{k}' if k % 7 else f"sprache '{k}" for k in range(80)]
+    rows = [(1000 * k + j, " ".join(chr(0x4E00 + 20 * k + (j * i) % 20) * 2 for i in range(1, 12)), g) for k, g in enumerate(names) for j in range(6)]
+    d = docs(spark, *rows)
+    model = language.fit(d)
+    assert len(model.languages) == 80 and model.code.shape == (80, 64)
+    got = {r.doc_id: r.lang_pred for r in language.identify(d, model).collect()}
+    assert sum(got[i] == g for i, _, g in rows) > 0.95 * len(rows)

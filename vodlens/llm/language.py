@@ -25,13 +25,14 @@ each; an empty table gives no rows; other columns are ignored. Texts are read in
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vodlens.llm.common import crc_mod, drop_stored, freed, stored
@@ -175,16 +176,21 @@ def counts(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
+def constant(value: list | dict, kind: str) -> Column:
+    """A Python value as one literal, however many numbers it holds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def classifier_weights(counted: DataFrame, languages: list[str], totals: dict[str, int], code: np.ndarray) -> np.ndarray:
     """SLOTS x bits log shares, worked out by slot in Spark; slots that no text has get the weights of zero counts."""
     none = [SMOOTH / (totals[g] + SMOOTH * SLOTS) for g in languages]
-    rate = F.array(*[F.lit(1 / (totals[g] + SMOOTH * SLOTS)) for g in languages])
-    place = F.create_map(*[F.lit(x) for k, g in enumerate(languages) for x in (g, k)])
+    rate = constant([1 / (totals[g] + SMOOTH * SLOTS) for g in languages], "array<double>")
+    place = constant({g: k for k, g in enumerate(languages)}, "map<string,int>")
     by_slot = counted.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct(F.try_element_at(place, F.col("lang")).alias("k"), "n"))).alias("m"))
     shares = F.transform(F.sequence(F.lit(0), F.lit(len(languages) - 1)), lambda k: (F.coalesce(F.try_element_at("m", k), F.lit(0)) + SMOOTH) * F.get(rate, k))
     by_slot = by_slot.select("slot", shares.alias("p"))
     sides = [(np.flatnonzero(code[:, b] > 0).tolist(), np.flatnonzero(code[:, b] < 0).tolist()) for b in range(code.shape[1])]
-    masks = F.array(*[F.array(*[F.lit(1.0 / len(up)) if k in up else F.lit(-1.0 / len(down)) for k in range(len(languages))]) for up, down in sides])
+    masks = constant([[1 / len(up) if k in up else -1 / len(down) for k in range(len(languages))] for up, down in sides], "array<array<double>>")
     total = lambda mask, sign: F.aggregate(F.zip_with("p", mask, lambda p, w: F.greatest(F.lit(0.0), p * w * sign)), F.lit(0.0), lambda a, x: a + x)
     rows = by_slot.select("slot", F.transform(masks, lambda m: (F.log(total(m, 1)) - F.log(total(m, -1))).cast("float")).alias("w")).collect()  # SLOTS rows at most
     side = lambda ks: sum(none[k] for k in ks) / len(ks)
@@ -231,7 +237,7 @@ def fit(docs: DataFrame, held_out_mod: int = HELD_OUT_MOD, held_out: int = HELD_
     model = Codes(languages, code, classifier_weights(counted, languages, totals, code))
     drop_stored(counted)
     texts = {r.lang: r.n for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for g in languages for x in (g, int(min(1.0, sample / texts[g]) * 1_000_000))])
+    share = constant({g: int(min(1.0, sample / texts[g]) * 1_000_000) for g in languages}, "map<string,int>")
     chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang"))
     model.calibrate(*measured(training.where(chosen), model))
     return model
