@@ -11,7 +11,8 @@ by key and order, so that a long key spans many blocks, and each block is folded
 3. A last pass folds every block once more, from its true state, and gives out the rows.
 
 Folds that forget (the state depends on the latest rows only) settle in one hand-over, whatever the
-number of blocks. One that remembers everything still gives right rows, a block per hand-over.
+number of blocks. One that remembers everything still gives right rows, a block per hand-over, in which
+each block is folded a bounded number of times.
 The driver sees a state per block (of at most MOST_BLOCKS), never rows. Numbers that count along a key
 are no part of the state: they are added up over the blocks, like a prefix sum.
 """
@@ -19,6 +20,7 @@ are no part of the state: they are added up over the blocks, like a prefix sum.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vodlens.plans.session import checkpointed, ship_package
 
 ROWS_PER_BLOCK, MOST_BLOCKS = 200_000, 10_000
+#: Rounds of hand-over in which all blocks take part whose state has changed.
+TOGETHER = 2
 
 
 class Fold:
@@ -53,6 +57,10 @@ class Fold:
     def set(self, state) -> None:
         raise NotImplementedError
 
+    def mark(self):
+        """A small value that is equal where states are equal; states are only compared where it is."""
+        return None
+
     def step(self, *row) -> list[tuple[int, int, tuple]]:
         raise NotImplementedError
 
@@ -89,6 +97,14 @@ def read(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
             yield row[:keys], row[keys:]
 
 
+def packed(state) -> bytes:
+    return zlib.compress(pickle.dumps(state), 1)
+
+
+def unpacked(state: bytes):
+    return pickle.loads(zlib.decompress(state))
+
+
 def grown(out: list[tuple[int, int, tuple]]) -> int:
     return sum(before + after for before, after, _ in out)
 
@@ -117,7 +133,7 @@ def _ends(rows: DataFrame, fold: Fold, keys: int) -> dict[int, End]:
                 fold.reset()
             number += grown(fold.step(*row))
         if first is not None:
-            cells = [block, pickle.dumps(first), pickle.dumps(now), single, pickle.dumps(fold.get()), number]
+            cells = [block, pickle.dumps(first), pickle.dumps(now), single, packed(fold.get()), number]
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], [c.strip().split(" ")[0] for c in SEEN.split(",")])
 
@@ -143,16 +159,16 @@ def _handed(rows: DataFrame, fold: Fold, keys: int, old: dict[int, bytes | None]
                     block = row[0]
                     a.reset()
                     if before[block] is not None:
-                        a.set(pickle.loads(before[block]))
-                    b.set(pickle.loads(after[block]))
+                        a.set(unpacked(before[block]))
+                    b.set(unpacked(after[block]))
                 change += grown(b.step(*row[1 + keys :])) - grown(a.step(*row[1 + keys :]))
-                if a.get() == b.get():
+                if a.mark() == b.mark() and a.get() == b.get():
                     met = True
                     break
             if met:
                 break
         if block is not None:
-            cells = [block, None if met else pickle.dumps(b.get()), change]
+            cells = [block, None if met else packed(b.get()), change]
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, (pa.int32(), pa.binary(), pa.int64()))], ["block", "state", "number"])
 
     found = rows.where(F.col("block").isin(sorted(new))).mapInArrow(run, "block int, state binary, number long").collect()
@@ -171,6 +187,8 @@ def settled(rows: DataFrame, fold: Fold, keys: int) -> tuple[dict[int, bytes], d
         changed = {b: s for b, s in incoming.items() if ends[b].single and used[b] != s}
         if not changed:
             break
+        if rounds >= TOGETHER:  # this fold does not forget: a block waits until the one before has its true state
+            changed = {b: s for b, s in changed.items() if follows[b] not in changed}
         rounds += 1
         for b, (state, number) in _handed(rows, fold, keys, used, changed).items():
             ends[b].number += number
@@ -227,7 +245,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], take: list[str],
                 fold.reset()
                 number = 0
                 if now is None and block in incoming:
-                    fold.set(pickle.loads(incoming[block]))
+                    fold.set(unpacked(incoming[block]))
                     number = numbers[block]
                 now = key
             put(fold.step(*row))

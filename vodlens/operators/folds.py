@@ -7,6 +7,7 @@ and the sampling plans take a key's rows, pre-reduced, through applyInPandas: on
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Callable
 
@@ -202,40 +203,115 @@ def caption_lines(rows: DataFrame, keys: list[str], start: str, end: str, word:
     return blocks.folded(rows, keys, [start, end], [start, end, word], Captions(most, gap), schema, rows_per_block)
 
 
+class Group:
+    """The rows of one token set that no cluster has: in order, with how often each author is among them."""
+
+    def __init__(self, tokens: frozenset):
+        self.tokens, self.rows, self.authors, self.near = tokens, deque(), {}, set()
+
+
 class Leaders(blocks.Fold):
-    """The state is the rows of the latest window, with whether a cluster has them; a seed is decided when its window is over."""
+    """The state is the rows of the latest window that no cluster has; a seed is decided when its window is over.
+
+    Rows of equal token sets (given as lists, or faster as their JSON texts) are one group that knows its
+    authors, so that a seed looks at the groups like its own and not at the rows of its window.
+    """
 
     def __init__(self, similar: float, within: float, authors: int):
         self.similar, self.within, self.authors = similar, within, authors
 
     def reset(self) -> None:
-        self.held = deque()
+        self.held, self.groups, self.holders = deque(), {}, {}
+        self.left, self.sign = 0, 0
 
     def get(self):
-        return [tuple(h) for h in self.held]
+        return [h[:4] for h in self.held if h[4]]
+
+    def mark(self):
+        return self.left, self.sign
 
     def set(self, state) -> None:
-        self.held = deque(list(h) for h in state)
+        self.reset()
+        for h in state:
+            self.hold(*h)
+
+    def group(self, name) -> Group:
+        """The group of a token set, with the present groups that are similar to it."""
+        g = self.groups.get(name)
+        if g is None:
+            g = self.groups[name] = Group(frozenset(json.loads(name)) if isinstance(name, str) else name)
+            beside = {n for t in g.tokens for n in self.holders.get(t, ())} if self.similar > 0 else set(self.groups) - {name}
+            for n in beside:
+                other = self.groups[n]
+                if len(g.tokens & other.tokens) / len(g.tokens | other.tokens) >= self.similar:
+                    g.near.add(n)
+                    other.near.add(name)
+            for t in g.tokens:
+                self.holders.setdefault(t, set()).add(name)
+        return g
+
+    def hold(self, t, item, author, name) -> None:
+        g = self.group(name)
+        h = [t, item, author, name, True]
+        self.held.append(h)
+        g.rows.append(h)
+        g.authors[author] = g.authors.get(author, 0) + 1
+        self.left, self.sign = self.left + 1, self.sign ^ hash((item, t))
+
+    def dropped(self, name, g: Group) -> None:
+        del self.groups[name]
+        for n in g.near:
+            self.groups[n].near.discard(name)
+        for t in g.tokens:
+            names = self.holders[t]
+            names.discard(name)
+            if not names:
+                del self.holders[t]
+
+    def release(self, h: list) -> None:
+        h[4] = False
+        self.left, self.sign = self.left - 1, self.sign ^ hash((h[1], h[0]))
 
     def decided(self) -> list[tuple]:
         """The oldest row as a seed, with the rows of its window."""
-        t, item, author, seed, used = self.held[0]
-        out = []
-        if seed and not used:
-            member = [h for k, h in enumerate(self.held) if k == 0 or (h[0] - t <= self.within and not h[4] and h[3] and len(seed & h[3]) / len(seed | h[3]) >= self.similar)]
-            distinct = len({h[2] for h in member})
-            if distinct >= self.authors:
-                for h in member:
-                    h[4] = True
-                out = [(0, 0, (item, t, max(h[0] for h in member), distinct, len(member)))]
-        self.held.popleft()
+        seed = self.held.popleft()
+        t, item, author, name, free = seed
+        if not free:
+            return []
+        g = self.groups[name]
+        if self.similar > 1:  # not even equal sets are similar: the seed is alone
+            parts, distinct = [], {author}
+        else:
+            parts = [(name, g), *((n, self.groups[n]) for n in g.near)]
+            distinct = g.authors.keys() if len(parts) == 1 else {a for _, p in parts for a in p.authors}
+        if len(distinct) >= self.authors:
+            n_authors, rows = len(distinct), [h for _, p in parts for h in p.rows] or [seed]
+            for h in rows:
+                self.release(h)
+            out = [(0, 0, (item, t, max(h[0] for h in rows), n_authors, len(rows)))]
+            for n, p in parts:
+                self.dropped(n, p)
+            if parts:
+                return out
+        else:
+            out = []
+            self.release(seed)
+        g.rows.popleft()
+        if g.authors[author] == 1:
+            del g.authors[author]
+        else:
+            g.authors[author] -= 1
+        if not g.rows:
+            self.dropped(name, g)
         return out
 
-    def step(self, t, item, author, tokens) -> list[tuple]:
+    def step(self, t, item, author, name) -> list[tuple]:
         out = []
-        while self.held and t - self.held[0][0] > self.within:
+        while self.held and (not self.held[0][4] or t - self.held[0][0] > self.within):
             out += self.decided()
-        self.held.append([t, item, author, frozenset(tokens or ()), False])
+        name = name if isinstance(name, str) else frozenset(name or ())
+        if name and name != "[]":
+            self.hold(t, item, author, name)
         return out
 
     def close(self) -> list[tuple]:
@@ -249,7 +325,8 @@ def leader_clusters(rows: DataFrame, keys: list[str], ts: str, item: str, author
     """Clusters around seeds in time order: later rows within `within` seconds of the seed whose token sets are `similar`."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"seed {kinds[item]}, start_sec double, end_sec double, n_authors int, n_rows int"])
-    return blocks.folded(rows, keys, [ts, item], [ts, item, author, tokens], Leaders(similar, within, authors), schema, rows_per_block)
+    named = rows.withColumn(tokens, F.to_json(F.array_sort(F.array_distinct(tokens))))
+    return blocks.folded(named, keys, [ts, item], [ts, item, author, tokens], Leaders(similar, within, authors), schema, rows_per_block)
 
 
 class Emas(blocks.Fold):
