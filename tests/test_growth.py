@@ -1,8 +1,10 @@
 """Work that may grow no faster than its input: what is held, handed over, joined and written."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from vodlens.operators import blocks, folds
+from vodlens.streaming import broadcast
 
 
 def test_a_fold_that_does_not_forget_visits_a_block_a_few_times(spark, monkeypatch):
@@ -39,3 +41,25 @@ def test_a_failing_seed_compares_its_token_set_once(monkeypatch):
     fold.reset()
     out = [x for k in range(3_000) for x in fold.step(k / 1000, k, "spammer", ["a", "b"])] + fold.close()
     assert not out and len(made) == 1
+
+
+class Kept:
+    """Just enough of a state handle."""
+
+    def __init__(self):
+        self.rows, self.timers = {}, []
+        self.getMapState = self.getListState = lambda *a: self
+        self.iterator, self.get, self.listTimers = lambda: iter(()), lambda: iter(()), lambda: iter(())
+        self.updateValue = self.put = self.registerTimer = self.clear = lambda *a: None
+
+
+def test_a_broadcast_gives_its_rows_out_in_bounded_frames():
+    ops = [("join", f"c{k}", ["*"] if k % 2 else ["view"], None, None) for k in range(300)] + [("event", None, None, "view" if k % 4 else "purchase", k) for k in range(400)]
+    rows = pd.DataFrame([(pd.Timestamp(k, unit="s"), k, *op, 0) for k, op in enumerate(ops)], columns=["at", "seq", "op", "client", "topics", "event_type", "item", "count"])
+    b = broadcast.Broadcaster(40, 0, 10**12)
+    b.init(Kept())
+    frames = list(b.handleInputRows(("1", 0), iter([rows]), None))
+    got = pd.concat(frames)
+    assert max(map(len, frames)) <= 50_000 and len(frames) > 1
+    assert got["what"].value_counts().to_dict() == {"JOINED": 300, "QUEUED": 300 * 40, "DROPPED": 300 * 300 + 150 * 100 - 300 * 40}
+    assert got[got["client"] == "c0"]["item"].dropna().tolist() == [k for k in range(400) if k % 4]
