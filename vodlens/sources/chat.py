@@ -47,8 +47,9 @@ def replay(texts: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_replay(spark: SparkSession, path: str) -> DataFrame:
-    return replay(spark.read.text(path, wholetext=True))
+def read_replay(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files of one document each, or (lines) of a document in each line."""
+    return replay(spark.read.text(path, wholetext=not lines))
 
 
 def irc(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -77,9 +77,9 @@ def discover(playlist: DataFrame, cutoff: Column, most: int) -> DataFrame:
     return rows.where(F.col("published_at").isNull() | (F.col("published_at") >= cutoff)).orderBy(F.desc_nulls_last("published_at"), "vod_id").limit(most)
 
 
-def read_manifests(spark: SparkSession, pattern: str, field: str, element: str) -> DataFrame:
-    """stage_outputs.<field> of every manifest, exploded; vod_id defaults to the folder's name."""
-    rows = spark.read.schema(f"vod_id string, stage_outputs struct<{field}:array<{element}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern)
+def read_manifests(spark: SparkSession, pattern: str, field: str, element: str, lines: bool = False) -> DataFrame:
+    """stage_outputs.<field> of every manifest, exploded; vod_id defaults to the folder's name. lines: files with a manifest in each line."""
+    rows = spark.read.schema(f"vod_id string, stage_outputs struct<{field}:array<{element}>>").option("multiLine", not lines).option("mode", "DROPMALFORMED").json(pattern)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return rows.select(F.coalesce("vod_id", folder).alias("vod_id"), F.explode(f"stage_outputs.{field}").alias("x")).select("vod_id", "x.*")
 
