@@ -96,12 +96,21 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, reach: float, right_id: str) -> DataFrame:
-    """Each left row's nearest right row within reach (ties: earlier, then smaller id); inner."""
-    windows = left.withColumn("j_low", F.col(left_ts) - reach).withColumn("j_high", F.col(left_ts) + reach)
-    r = right.select(*keys, F.col(right_ts).alias("n_ts"), F.col(right_id).alias("n_id"))
-    pairs = range_join(r, windows, keys, "n_ts", "j_low", "j_high", reach).drop("j_low", "j_high")
-    best = F.min_by(F.struct("n_ts", "n_id"), F.struct(F.abs(F.col("n_ts") - F.col(left_ts)), F.col("n_ts"), F.col("n_id")))
-    return pairs.groupBy(*left.columns).agg(best.alias("n")).select(*left.columns, "n.n_ts", "n.n_id")
+    """Each left row's nearest right row within reach (ties: earlier, then smaller id); inner.
+
+    One ordered scan over both sides finds the right rows before and after each left row.
+    """
+    r = right.where(F.col(right_ts).isNotNull()).groupBy(*keys, F.col(right_ts).alias("n_ts")).agg(F.min(F.struct(F.col(right_id).alias("n_id"))).alias("i"))
+    r = r.select(*keys, F.col("n_ts").cast("double").alias("a_ts"), F.lit(1).alias("a_side"), F.struct("n_ts", "i.n_id").alias("r"))
+    present = F.col(left_ts).isNotNull()
+    for k in keys:
+        present &= F.col(k).isNotNull()
+    l = left.where(present).distinct().select(*keys, F.col(left_ts).cast("double").alias("a_ts"), F.lit(0).alias("a_side"), F.struct(*left.columns).alias("l"))
+    both = scans.scan(l.unionByName(r, allowMissingColumns=True), keys, "a_ts", ["a_ts", "a_side"], 24 * reach, p=scans.Scan("last", F.col("r"), own=False), n=scans.Scan("next", F.col("r"), own=False))
+    t = F.col(f"l.{left_ts}")
+    within = lambda c: F.when(F.col(f"{c}.n_ts").between(t - reach, t + reach), F.struct(F.abs(F.col(f"{c}.n_ts") - t).alias("d"), f"{c}.n_ts", f"{c}.n_id"))
+    best = both.where("l IS NOT NULL").select("l", F.least(within("p"), within("n")).alias("b")).where("b IS NOT NULL")
+    return best.select("l.*", "b.n_ts", "b.n_id")
 
 
 def carry_forward(dense: DataFrame, keys: list[str], order: str, columns: list[str], block: float | None = None) -> DataFrame:
