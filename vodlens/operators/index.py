@@ -78,8 +78,8 @@ def with_context(chunks: DataFrame, chat: DataFrame, keys: list[str], around: fl
 
     chat: keys, message_id, timestamp_offset, author_name, content.
     """
-    near = search.chat_context(chunks, chat, keys, "chunk_id", "timestamp_sec", around, most)
-    said = near.join(chat.select(*keys, "message_id", F.struct(F.col("author_name").alias("author"), F.col("content").alias("text"), F.col("timestamp_offset").alias("offset")).alias("m")), [*keys, "message_id"])
+    near = search.chat_context(chunks, chat, keys, "chunk_id", "timestamp_sec", around, most, ["author_name", "content", "timestamp_offset"])
+    said = near.select(*keys, "chunk_id", "r", F.struct(F.col("author_name").alias("author"), F.col("content").alias("text"), F.col("timestamp_offset").alias("offset")).alias("m"))
     kept = said.groupBy(*keys, "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "m"))), lambda x: x["m"]).alias("chat_context"))
     none = F.array().cast(kept.schema["chat_context"].dataType)
     return chunks.join(kept, [*keys, "chunk_id"], "left").withColumn("chat_context", F.coalesce("chat_context", none))

@@ -89,14 +89,24 @@ def embedded(docs: DataFrame, item: str, text: str, dim: int = 128) -> DataFrame
     return rows.select(item, F.when(F.col("size") > 0, value).otherwise(zero).alias("embedding"))
 
 
-def chat_context(chunks: DataFrame, chat: DataFrame, keys: list[str], item: str, ts: str, around: float = 10.0, most: int = 10) -> DataFrame:
-    """Up to `most` chat rows within `around` seconds of each chunk's start, in time order."""
-    from vodlens.operators.temporal import range_join
-
-    windows = chunks.select(*keys, item, (F.col(ts) - around).alias("w_low"), (F.col(ts) + around).alias("w_high"))
-    near = range_join(chat.select(*keys, "message_id", "timestamp_offset", "content"), windows, keys, "timestamp_offset", "w_low", "w_high", 2 * around)
-    w = Window.partitionBy(*keys, item).orderBy("timestamp_offset", "message_id")
-    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(*keys, item, "r", "message_id")
+def chat_context(chunks: DataFrame, chat: DataFrame, keys: list[str], item: str, ts: str, around: float = 10.0, most: int = 10, take: list[str] | None = None) -> DataFrame:
+    """Up to `most` chat rows within `around` seconds of each chunk's start, in time order; take: more of their columns.
+
+    A key's messages are numbered in order, so that a chunk meets the `most` that follow its window's
+    start, however many there are in it.
+    """
+    from vodlens.operators import scans
+
+    take = take or []
+    said = F.struct(*dict.fromkeys(["timestamp_offset", "message_id", *take]))
+    messages = chat.where("timestamp_offset IS NOT NULL").select(*keys, F.col("timestamp_offset").cast("double").alias("c_at"), F.lit(1).alias("c_side"), F.col("message_id").alias("c_tie"), said.alias("m"))
+    low, high = F.col(ts) - around, F.col(ts) + around
+    starts = chunks.where(high >= low).select(*keys, low.cast("double").alias("c_at"), F.lit(0).alias("c_side"), F.lit(None).cast(messages.schema["c_tie"].dataType).alias("c_tie"), F.struct(F.col(item), high.alias("w_high")).alias("c"))
+    both = scans.scan(messages.unionByName(starts, allowMissingColumns=True), keys, "c_at", ["c_at", "c_side", "c_tie"], 96 * around, c_n=scans.Scan("sum", F.col("c_side").cast("long")))
+    wanted = both.where("c_side = 0").select(*keys, "c.*", F.explode(F.sequence(F.col("c_n") + 1, F.col("c_n") + most)).alias("c_n"))
+    near = wanted.join(both.where("c_side = 1").select(*keys, "c_n", "m"), [*keys, "c_n"]).where(F.col("m.timestamp_offset") <= F.col("w_high"))
+    w = Window.partitionBy(*keys, item).orderBy("m.timestamp_offset", "m.message_id")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(*keys, item, "r", "m.message_id", *[f"m.{c}" for c in take])
 
 
 def filtered(chunks: DataFrame, streamer_ids: list[str] | None = None, vod_ids: list[str] | None = None, content_types: list[str] | None = None, start: float | None = None, end: float | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
