@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from vodlens.operators import blocks, folds
+from vodlens.operators import blocks, folds, media, search, temporal
 from vodlens.streaming import broadcast
 
 
@@ -63,3 +63,54 @@ def test_a_broadcast_gives_its_rows_out_in_bounded_frames():
     assert max(map(len, frames)) <= 50_000 and len(frames) > 1
     assert got["what"].value_counts().to_dict() == {"JOINED": 300, "QUEUED": 300 * 40, "DROPPED": 300 * 300 + 150 * 100 - 300 * 40}
     assert got[got["client"] == "c0"]["item"].dropna().tolist() == [k for k in range(400) if k % 4]
+
+
+def most_rows(df):
+    """The rows that the plan's largest step gave out when it ran, with the result."""
+    found, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.finalPhysicalPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return found, most
+
+
+def test_nearest_makes_no_pairs(spark):
+    left = spark.range(600).select(F.lit(1).alias("k"), F.col("id").alias("l"), (F.col("id") * 0.01).alias("t"))
+    right = spark.range(600).select(F.lit(1).alias("k"), F.col("id").alias("r"), (F.floor(F.col("id") / 2) * 0.02 + 0.005).alias("t"))
+    found, most = most_rows(temporal.nearest(left, right, ["k"], "t", "t", 8.0, "r"))
+    pairs = [(k * 2, k // 1 * 0.02 + 0.005) for k in range(300)]
+    want = {x: min((round(abs(t - x * 0.01), 9), t, r) for r, t in pairs)[2] for x in range(0, 600, 2)}
+    assert {r.l: r.n_id for r in found if r.l % 2 == 0} == want and len(found) == 600 and most < 5_000
+
+
+def test_slang_context_counts_windows_without_pairs(spark):
+    spans = spark.range(400).select(F.lit(1).alias("s"), F.lit("kekw").alias("term"), (F.col("id") * 0.5).alias("window_start"), (F.col("id") * 0.5 + 98).alias("window_end"))
+    chat = spark.range(400).select(F.lit(1).alias("s"), (F.col("id") * 0.5).alias("timestamp_offset"), F.lit("KEKW based based").alias("content"))
+    found, most = most_rows(media.slang_context(spans, chat, ["s"], 100.0))
+    pairs = sum(1 for w in range(400) for m in range(400) if w * 0.5 <= m * 0.5 <= w * 0.5 + 100)
+    assert pairs > 50_000 and most < 5_000 and {r.votes for r in found} == {2 * pairs}
+
+
+def test_context_makes_no_pairs(spark):
+    chunks = spark.range(300).select(F.lit(1).alias("s"), F.col("id").alias("c"), F.col("id").cast("double").alias("t"))
+    chat = spark.range(900).select(F.lit(1).alias("s"), F.col("id").alias("message_id"), (F.col("id") / 3).alias("timestamp_offset"), F.lit("x").alias("content"))
+    found, most = most_rows(search.chat_context(chunks, chat, ["s"], "c", "t", 60.0, 4))
+    want = {(c, r + 1, max(0, 3 * (c - 60)) + r) for c in range(300) for r in range(4)}
+    assert {(r.c, r.r, r.message_id) for r in found} == want and most < 5_000
+
+
+def test_documents_share_files(spark, data, tmp_path, monkeypatch):
+    from vodlens.plans import feeds
+
+    monkeypatch.setattr(feeds, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    for query, name in ((feeds.replay_files, "replays"), (feeds.manifest_fields, "manifests")):
+        assert query(spark, data).count() > 0
+        assert len(list((tmp_path / name).rglob("part-*"))) <= 8

@@ -129,13 +129,26 @@ def sampling_savings(actual: DataFrame, bounds: DataFrame, keys: list[str], fixe
 
 
 def slang_context(candidates: DataFrame, chat: DataFrame, keys: list[str], widest: float) -> DataFrame:
-    """Votes of the known words beside each candidate term, in its window and two seconds after."""
-    words = chat.select(*keys, F.col("timestamp_offset").alias("t"), F.lower("content").alias("low"))
-    spans = candidates.select(*keys, "term", F.col("window_start").alias("lo"), (F.col("window_end") + 2).alias("hi"))
-    near = range_join(words, spans, keys, "t", "lo", "hi", widest).where(F.contains("low", F.col("term")))
-    tokens = near.select(*keys, "term", F.explode(F.regexp_extract_all("low", F.lit(r"(?U)(\w+|<3)"), F.lit(1))).alias("w")).where("w <> term")
+    """Votes of the known words beside each candidate term, in its window and two seconds after.
+
+    A message counts once for every window of a term that it is in; how many there are comes from an
+    ordered scan over the windows' ends, not from pairs. Messages of equal text are counted together.
+    """
+    from vodlens.operators import scans
+
+    words = chat.where("timestamp_offset IS NOT NULL").select(*keys, F.col("timestamp_offset").alias("t"), F.lower("content").alias("low"))
+    spans = candidates.select(*keys, "term", F.col("window_start").alias("lo"), (F.col("window_end") + 2).alias("hi")).where("hi >= lo AND term IS NOT NULL")
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / widest), F.floor(F.col("hi") / widest)))
+    there = spans.select(*keys, "term", bins.alias("s_bin")).distinct()
+    asked = words.withColumn("s_bin", F.floor(F.col("t") / widest)).join(there, [*keys, "s_bin"]).where(F.contains("low", F.col("term")))
+    row = lambda t, side, n, low: [*keys, "term", F.col(t).cast("double").alias("t"), F.lit(side).alias("side"), F.lit(n).cast("long").alias("ends"), low.alias("low")]
+    none = F.lit(None).cast("string")
+    edges = spans.select(*row("lo", 0, 1, none)).unionByName(spans.select(*row("hi", 2, -1, none)))
+    counted = scans.scan(asked.select(*row("t", 1, 0, F.col("low"))).unionByName(edges), [*keys, "term"], "t", ["t", "side"], 24 * widest, n=scans.Scan("sum", F.col("ends")))
+    texts = counted.where("side = 1 AND n > 0").groupBy(*keys, "term", "low").agg(F.sum("n").alias("n"))
+    tokens = texts.select(*keys, "term", "n", F.explode(F.regexp_extract_all("low", F.lit(r"(?U)(\w+|<3)"), F.lit(1))).alias("w")).where("w <> term")
     hit = F.array_compact(F.array(*[F.when(F.col("w").isin(*own), F.lit(name)) for name, own in L.INTENTS.items()]))
-    return tokens.select(*keys, "term", F.explode(hit).alias("intent")).groupBy(*keys, "term", "intent").agg(F.count(F.lit(1)).alias("votes"))
+    return tokens.select(*keys, "term", "n", F.explode(hit).alias("intent")).groupBy(*keys, "term", "intent").agg(F.sum("n").alias("votes"))
 
 
 def novel_clusters(terms: DataFrame, keys: list[str], term: str, least: float = 0.40) -> DataFrame:
