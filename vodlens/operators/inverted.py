@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vodlens.functions import columns as C
-from vodlens.operators import search
 from vodlens.plans.session import shared_folder
 
 BUCKETS, FILE_ROWS, K1, B = 64, 2_000_000, 1.5, 0.75
@@ -57,16 +56,24 @@ class Inverted:
 
     def add(self, docs: DataFrame, item: str, text: str) -> None:
         """Adds documents; their ids must be new (removed ones stay removed)."""
-        post = search.postings(docs, item, text).withColumnRenamed(item, "item").withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        self._write(post.where("term IS NOT NULL"))
         tokens = C.index_tokens(F.col(text))
+        terms = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).select(bucket_of(F.col("term"), self.buckets).alias("bucket"))
+        rows = docs.select(F.col(item).alias("item"), F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term")).where("term IS NOT NULL")
+        # Words are dealt to their files once and counted there.
+        dealt = self._dealt(rows.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), terms)
+        self._put(dealt.groupBy("bucket", "deal", "item", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
         docs.select(F.col(item).alias("item"), F.size(tokens).alias("doc_len")).write.mode("append").parquet(f"{self.path}/lengths")
 
-    def _write(self, postings: DataFrame) -> None:
-        """A partition of many postings is dealt over several files."""
+    def _dealt(self, rows: DataFrame, postings: DataFrame) -> DataFrame:
+        """rows by the files that they go to; a partition of many postings (of which the buckets tell) has several."""
         files = postings.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).cast("int").alias("files"))  # a row for each partition
-        dealt = postings.join(F.broadcast(files), "bucket").withColumn("deal", F.pmod(F.xxhash64("item"), F.col("files")))
-        dealt.repartition("bucket", "deal").drop("files", "deal").sortWithinPartitions("bucket", "term", "item").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        return rows.join(F.broadcast(files), "bucket").withColumn("deal", F.pmod(F.xxhash64("item"), F.col("files"))).drop("files").repartition("bucket", "deal")
+
+    def _put(self, dealt: DataFrame) -> None:
+        dealt.drop("deal").sortWithinPartitions("bucket", "term", "item").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def _write(self, postings: DataFrame) -> None:
+        self._put(self._dealt(postings, postings))
 
     def remove(self, items: DataFrame, item: str) -> None:
         items.select(F.col(item).alias("item")).write.mode("append").parquet(f"{self.path}/removed")
