@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,7 +154,10 @@ def slang_context(candidates: DataFrame, chat: DataFrame, keys: list[str], wides
 
 
 def novel_clusters(terms: DataFrame, keys: list[str], term: str, least: float = 0.40) -> DataFrame:
-    """Terms joined to the first cluster whose first term shares enough character trigrams (padded with ^ and $)."""
+    """Terms joined to the first cluster whose first term shares enough character trigrams (padded with ^ and $).
+
+    A term is compared with the clusters that share a trigram, not with all.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in terms.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{term} string, leader string"])
 
@@ -161,15 +166,20 @@ def novel_clusters(terms: DataFrame, keys: list[str], term: str, least: float =
         return {p[k : k + 3] for k in range(max(1, len(p) - 2))}
 
     def fold(pdf: pd.DataFrame) -> list:
-        leaders: list[tuple[str, set[str]]] = []
+        leaders: list[tuple[str, int]] = []  # each with how many trigrams it has
+        holders: dict[str, list[int]] = {}  # by trigram
         out = []
         for t in pdf[term]:
             g = grams(t)
-            lead = next((name for name, h in leaders if len(g & h) / len(g | h) >= least), None)
-            if lead is None:
-                leaders.append((t, g))
-                lead = t
-            out.append((t, lead))
+            shared = Counter(k for x in g for k in holders.get(x, ()))
+            beside = shared if least > 0 else range(len(leaders))
+            k = min((k for k in beside if shared[k] / (len(g) + leaders[k][1] - shared[k]) >= least), default=None)
+            if k is None:
+                k = len(leaders)
+                leaders.append((t, len(g)))
+                for x in g:
+                    holders.setdefault(x, []).append(k)
+            out.append((t, leaders[k][0]))
         return out
 
     return folded(terms.select(*keys, term), keys, [term], fold, schema)
