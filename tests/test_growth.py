@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from vodlens.operators import blocks, folds, media, search, temporal
+from vodlens.operators import blocks, folds, knowledge, media, search, temporal
 from vodlens.streaming import broadcast
 
 
@@ -114,3 +114,9 @@ def test_documents_share_files(spark, data, tmp_path, monkeypatch):
     for query, name in ((feeds.replay_files, "replays"), (feeds.manifest_fields, "manifests")):
         assert query(spark, data).count() > 0
         assert len(list((tmp_path / name).rglob("part-*"))) <= 8
+
+
+def test_entity_counts_take_equal_texts_once(spark):
+    rows = spark.createDataFrame([("playing lol", "chat", 5), ("lol and lol", "src0", 2), ("none", "chat", 9)], "text string, source string, n long")
+    out = knowledge.entity_counts(rows, "text", "source", {"src0": 2}, "n").collect()
+    assert [(r.entity, r.weighted, r.n_texts) for r in out] == [("League of Legends", 9.0, 7)]

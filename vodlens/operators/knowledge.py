@@ -52,13 +52,14 @@ def search_query(subject: Column, predicate: Column, value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.concat_ws(" ", subject, predicate, value), r"[^A-Za-z0-9 _\-]", " "), " +", " "))
 
 
-def entity_counts(rows: DataFrame, text: str, source: str, weights: dict[str, int]) -> DataFrame:
-    """Weighted counts of known entities, once per text, with counts per source."""
+def entity_counts(rows: DataFrame, text: str, source: str, weights: dict[str, int], times: str | None = None) -> DataFrame:
+    """Weighted counts of known entities, once per text, with counts per source; times: how often a row's text is there."""
     low = F.lower(text)
     hit = [F.when(low.rlike("|".join(patterns)), F.struct(F.lit(name).alias("entity"), F.lit(kind).alias("category"))) for kind, own in L.ENTITIES.items() for name, patterns in own.items()]
-    found = rows.select(source, F.explode(F.array_compact(F.array(*hit))).alias("x")).select(source, "x.entity", "x.category")
+    n = F.lit(1) if times is None else F.col(times)
+    found = rows.select(source, n.alias("times"), F.explode(F.array_compact(F.array(*hit))).alias("x")).select(source, "times", "x.entity", "x.category")
     weight = C.literal_map({k: float(v) for k, v in weights.items()})
-    per = found.groupBy("entity", "category", source).agg(F.count(F.lit(1)).alias("n"))
+    per = found.groupBy("entity", "category", source).agg(F.sum("times").alias("n"))
     return per.groupBy("entity", "category").agg(F.sum(F.col("n") * F.coalesce(F.try_element_at(weight, F.col(source)), F.lit(1.0))).alias("weighted"), F.sum("n").alias("n_texts"), F.sort_array(F.collect_list(F.struct(F.col(source).alias("source"), "n"))).alias("by_source"))
 
 

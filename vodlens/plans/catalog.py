@@ -375,8 +375,10 @@ def claim_grounding(spark, d):
 
 @query()
 def entity_counts(spark, d):
-    rows = table(spark, d, "documents").select("text", "source").unionByName(V.chat(spark, d).select(F.concat("content", F.lit(" lol patch")).alias("text"), F.lit("chat").alias("source")))
-    return knowledge.entity_counts(rows, "text", "source", {"chat": 1, "src0": 2}).select("entity", "category", "weighted", "n_texts")
+    said = V.chat(spark, d).groupBy("content").agg(F.count(F.lit(1)).alias("times"))  # equal messages are looked at once
+    said = said.select(F.concat("content", F.lit(" lol patch")).alias("text"), F.lit("chat").alias("source"), "times")
+    rows = table(spark, d, "documents").select("text", "source", F.lit(1).cast("long").alias("times")).unionByName(said)
+    return knowledge.entity_counts(rows, "text", "source", {"chat": 1, "src0": 2}, "times").select("entity", "category", "weighted", "n_texts")
 
 
 @query(f"""WITH $VIEWS, {CLAIMS}, cand AS (SELECT event_id AS candidate_id, user_id % 8 AS stream_id, t AS lo, t + 60 AS hi FROM ev WHERE event_type = 'purchase'),
