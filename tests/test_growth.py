@@ -1,6 +1,7 @@
 """Work that may grow no faster than its input: what is held, handed over, joined and written."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vodlens.operators import blocks, chat as chat_ops, folds, knowledge, media, search, temporal
@@ -123,6 +124,26 @@ def test_responses_make_no_pairs(spark):
     assert sorted(map(tuple, found)) == sorted(want) and pairs > 10_000 and most < 5_000
 
 
+def test_leaders_split_a_text_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        calls.add(1)
+        return text.split()
+
+    rows = spark.range(400).select(F.lit(1).alias("s"), F.col("id").cast("double").alias("t"), F.col("id").alias("i"), (F.col("id") % 3).cast("string").alias("a"), F.when(F.col("id") % 2 == 0, "a b").otherwise("c d").alias("c"))
+    leaders = lambda d, c, **k: sorted(map(tuple, folds.leader_clusters(d, ["s"], "t", "i", "a", c, 0.6, 10.0, 3, rows_per_block=100, **k).collect()))
+    found = leaders(rows, "c", split=split)
+    assert calls.value == 400 and len(found) > 50
+    assert found == leaders(rows.withColumn("w", F.split("c", " ")), "w")
+
+
+def test_values_are_those_of_pyarrow():
+    for c in (pa.array([1, 2]), pa.array([1.5, float("inf")]), pa.array([1, None]), pa.array(["a", "b", "a"]), pa.array(["a", None]), pa.array([["a"], None]), pa.array([True]), pa.array([], pa.string())):
+        assert blocks.values(c) == c.to_pylist() and list(map(type, blocks.values(c))) == list(map(type, c.to_pylist()))
+
+
 def test_documents_share_files(spark, data, tmp_path, monkeypatch):
     from vodlens.plans import feeds
 

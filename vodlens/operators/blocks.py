@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,15 +68,16 @@ class Fold:
         return []
 
 
-def in_blocks(rows: DataFrame, keys: list[str], order: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], order: list[str], rows_per_block: int = ROWS_PER_BLOCK, late: dict[str, Column] | None = None) -> DataFrame:
     """rows with `block`, sorted by keys and order within it; blocks follow each other in that order.
 
+    late: columns that are computed when the rows are dealt, once; finding the blocks' bounds computes all others a second time.
     The result is checkpointed: a block is the same rows in every pass.
     """
     n = rows.count()
     blocks = max(1, min(MOST_BLOCKS, -(-n // rows_per_block)))
     dealt = rows.repartitionByRange(blocks, *keys, *order).sortWithinPartitions(*keys, *order)
-    return checkpointed(dealt.withColumn("block", F.spark_partition_id()))
+    return checkpointed(dealt.withColumns({**(late or {}), "block": F.spark_partition_id()}))
 
 
 @dataclass
@@ -90,10 +91,20 @@ class End:
     number: int  # how far the last key's number went in this block
 
 
+def values(c: pa.Array) -> list:
+    """to_pylist(), faster for numbers and for repeated texts."""
+    if not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    if not c.null_count and pa.types.is_string(c.type):
+        coded = c.dictionary_encode()
+        return list(map(coded.dictionary.to_pylist().__getitem__, coded.indices.to_numpy().tolist()))
+    return c.to_pylist()
+
+
 def read(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, tuple]]:
     """Key and row of each row (block, keys, columns)."""
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+        for row in zip(*map(values, batch.columns[1:])):
             yield row[:keys], row[keys:]
 
 
@@ -106,7 +117,7 @@ def unpacked(state: bytes):
 
 
 def grown(out: list[tuple[int, int, tuple]]) -> int:
-    return sum(before + after for before, after, _ in out)
+    return sum(before + after for before, after, _ in out) if out else 0
 
 
 SEEN = "block int, first binary, last binary, single boolean, state binary, number long"
@@ -154,7 +165,7 @@ def _handed(rows: DataFrame, fold: Fold, keys: int, old: dict[int, bytes | None]
         before, after = sent.value
         a, b, block, change, met = copy.deepcopy(fold), copy.deepcopy(fold), None, 0, False
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*map(values, batch.columns)):
                 if block is None:
                     block = row[0]
                     a.reset()
@@ -204,11 +215,11 @@ def settled(rows: DataFrame, fold: Fold, keys: int) -> tuple[dict[int, bytes], d
     return incoming, numbers, closing, rounds
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], take: list[str], fold: Fold, schema: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """The rows that a fold gives out: keys, then its values. take: the columns that a step gets."""
+def folded(rows: DataFrame, keys: list[str], order: list[str], take: list[str], fold: Fold, schema: str, rows_per_block: int = ROWS_PER_BLOCK, late: dict[str, Column] | None = None) -> DataFrame:
+    """The rows that a fold gives out: keys, then its values. take: the columns that a step gets, late: those computed in the blocks from a column of that name (in_blocks)."""
     spark = rows.sparkSession
     ship_package(spark)
-    held = in_blocks(rows.select(*dict.fromkeys([*keys, *take, *order])), keys, order, rows_per_block).select("block", *keys, *take)
+    held = in_blocks(rows.select(*dict.fromkeys([*keys, *take, *order])), keys, order, rows_per_block, late).select("block", *keys, *take)
     sent = spark.sparkContext.broadcast(settled(held, fold, len(keys))[:3])
     out_schema = T.StructType.fromDDL(schema)
     names = [f.name for f in out_schema]

@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vodlens.operators import blocks
@@ -251,7 +251,7 @@ class Leaders(blocks.Fold):
         return g
 
     def hold(self, t, item, author, name) -> None:
-        g = self.group(name)
+        g = self.groups.get(name) or self.group(name)
         h = [t, item, author, name, True]
         self.held.append(h)
         g.rows.append(h)
@@ -286,8 +286,10 @@ class Leaders(blocks.Fold):
             distinct = g.authors.keys() if len(parts) == 1 else {a for _, p in parts for a in p.authors}
         if len(distinct) >= self.authors:
             n_authors, rows = len(distinct), [h for _, p in parts for h in p.rows] or [seed]
+            self.left -= len(rows)
             for h in rows:
-                self.release(h)
+                h[4] = False
+                self.sign ^= hash((h[1], h[0]))
             out = [(0, 0, (item, t, max(h[0] for h in rows), n_authors, len(rows)))]
             for n, p in parts:
                 self.dropped(n, p)
@@ -306,10 +308,16 @@ class Leaders(blocks.Fold):
         return out
 
     def step(self, t, item, author, name) -> list[tuple]:
-        out = []
-        while self.held and (not self.held[0][4] or t - self.held[0][0] > self.within):
-            out += self.decided()
-        name = name if isinstance(name, str) else frozenset(name or ())
+        out, held = [], self.held
+        while held:
+            if not held[0][4]:
+                held.popleft()
+            elif t - held[0][0] > self.within:
+                out += self.decided()
+            else:
+                break
+        if not isinstance(name, str):
+            name = frozenset(name or ())
         if name and name != "[]":
             self.hold(t, item, author, name)
         return out
@@ -321,12 +329,16 @@ class Leaders(blocks.Fold):
         return out
 
 
-def leader_clusters(rows: DataFrame, keys: list[str], ts: str, item: str, author: str, tokens: str, similar: float = 0.65, within: float = 10.0, authors: int = 5, rows_per_block: int = blocks.ROWS_PER_BLOCK) -> DataFrame:
-    """Clusters around seeds in time order: later rows within `within` seconds of the seed whose token sets are `similar`."""
+def leader_clusters(rows: DataFrame, keys: list[str], ts: str, item: str, author: str, tokens: str, similar: float = 0.65, within: float = 10.0, authors: int = 5, rows_per_block: int = blocks.ROWS_PER_BLOCK, split: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Clusters around seeds in time order: later rows within `within` seconds of the seed whose token sets are `similar`.
+
+    split: makes the token set where `tokens` is a text; that way it is made once per row, in the blocks.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"seed {kinds[item]}, start_sec double, end_sec double, n_authors int, n_rows int"])
-    named = rows.withColumn(tokens, F.to_json(F.array_sort(F.array_distinct(tokens))))
-    return blocks.folded(named, keys, [ts, item], [ts, item, author, tokens], Leaders(similar, within, authors), schema, rows_per_block)
+    found = F.col(tokens) if split is None else split(F.col(tokens))
+    name = {tokens: F.to_json(F.sort_array(F.array_distinct(found)))}
+    return blocks.folded(rows, keys, [ts, item], [ts, item, author, tokens], Leaders(similar, within, authors), schema, rows_per_block, name)
 
 
 class Emas(blocks.Fold):

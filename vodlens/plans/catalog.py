@@ -527,8 +527,7 @@ def caption_lines(spark, d):
 
 @query()
 def meme_bursts(spark, d):
-    c = V.chat(spark, d).withColumn("tokens", C.similarity_tokens(F.col("content")))
-    return folds.leader_clusters(c, ["stream_id"], "timestamp_offset", "message_id", "author_name", "tokens", 0.65, HOUR, 3)
+    return folds.leader_clusters(V.chat(spark, d), ["stream_id"], "timestamp_offset", "message_id", "author_name", "content", 0.65, HOUR, 3, split=C.similarity_tokens)
 
 
 @query()
