@@ -22,6 +22,37 @@ def test_scores_equal_the_scan(spark, tmp_path):
     assert index.bm25([]).count() == 0
 
 
+def test_a_text_is_cut_a_few_times_not_for_each_word(spark, tmp_path, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        cut.add(1)
+        return (text or "").split()
+
+    monkeypatch.setattr(inverted.C, "index_tokens", words)
+    docs = spark.createDataFrame([(1, " ".join(f"w{k % 300}" for k in range(900))), (2, "w0 " * 100), (3, None)], "i long, t string")
+    index = inverted.build(docs, "i", "t", str(tmp_path / "index"), 4)
+    assert cut.value <= 4 * 3
+    got = index._read("postings").select("item", "term", "tf", "doc_len").collect()
+    assert sorted(map(tuple, got)) == sorted([*((1, f"w{k}", 3, 900) for k in range(300)), (2, "w0", 100, 100)])
+
+
+def test_partitions_of_many_postings_have_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "FILE_ROWS", 50)
+    docs = spark.range(300).select(F.col("id").alias("i"), F.concat(F.lit("the the w"), F.col("id")).alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or small partitions are put together
+    try:
+        index = inverted.build(docs, "i", "t", str(tmp_path / "index"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = index._read("postings")
+    assert rows.select(F.input_file_name()).distinct().count() > 2
+    assert rows.where("term = 'the'").agg(F.count("*"), F.sum("tf"), F.countDistinct("item")).first()[:] == (300, 600, 300)
+    small = index.compacted(str(tmp_path / "small"))
+    assert sorted(map(tuple, small._read("postings").collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_adding_removing_and_compacting(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, "i long, t string")
     index = inverted.build(docs.where("i < 4"), "i", "t", str(tmp_path / "index"), 4)

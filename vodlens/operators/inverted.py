@@ -12,7 +12,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vodlens.functions import columns as C
@@ -57,23 +57,18 @@ class Inverted:
     def add(self, docs: DataFrame, item: str, text: str) -> None:
         """Adds documents; their ids must be new (removed ones stay removed)."""
         tokens = C.index_tokens(F.col(text))
-        terms = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).select(bucket_of(F.col("term"), self.buckets).alias("bucket"))
-        rows = docs.select(F.col(item).alias("item"), F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term")).where("term IS NOT NULL")
-        # Words are dealt to their files once and counted there.
-        dealt = self._dealt(rows.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), terms)
-        self._put(dealt.groupBy("bucket", "deal", "item", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
+        terms = docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+        self._write(docs.select(F.col(item).alias("item"), F.inline(counted(tokens))), terms)
         docs.select(F.col(item).alias("item"), F.size(tokens).alias("doc_len")).write.mode("append").parquet(f"{self.path}/lengths")
 
-    def _dealt(self, rows: DataFrame, postings: DataFrame) -> DataFrame:
-        """rows by the files that they go to; a partition of many postings (of which the buckets tell) has several."""
-        files = postings.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).cast("int").alias("files"))  # a row for each partition
-        return rows.join(F.broadcast(files), "bucket").withColumn("deal", F.pmod(F.xxhash64("item"), F.col("files"))).drop("files").repartition("bucket", "deal")
-
-    def _put(self, dealt: DataFrame) -> None:
-        dealt.drop("deal").sortWithinPartitions("bucket", "term", "item").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-
-    def _write(self, postings: DataFrame) -> None:
-        self._put(self._dealt(postings, postings))
+    def _write(self, postings: DataFrame, terms: DataFrame) -> None:
+        """postings in one shuffle to the files that they go to; a partition of many (of which terms tell, a row for each posting) has several."""
+        bucket, files = bucket_of(F.col("term"), self.buckets), [1] * self.buckets
+        for r in terms.groupBy(bucket.alias("bucket")).count().collect():  # a row for each partition
+            files[r["bucket"]] = -(-r["count"] // FILE_ROWS)
+        deal = F.pmod(F.xxhash64("item"), F.get(F.array(*map(F.lit, files)), bucket))
+        dealt = postings.repartition(bucket, deal).withColumn("bucket", bucket)
+        dealt.sortWithinPartitions("bucket", "term", "item").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def remove(self, items: DataFrame, item: str) -> None:
         items.select(F.col(item).alias("item")).write.mode("append").parquet(f"{self.path}/removed")
@@ -83,7 +78,8 @@ class Inverted:
         out = Inverted(self.spark, path or fresh(self.spark), self.buckets)
         rows, lengths = self._read("postings"), self.lengths()
         if rows is not None:
-            out._write(self._kept(rows))
+            kept = self._kept(rows).drop("bucket")
+            out._write(kept, kept)
         if lengths is not None:
             lengths.write.parquet(f"{out.path}/lengths")
         return out
@@ -102,6 +98,20 @@ class Inverted:
         return j.groupBy("item").agg(F.sum(one).alias("score"))
 
 
+def counted(tokens: Column) -> Column:
+    """An array of term, tf and doc_len: a document's words, counted where the document is.
+
+    The sorted words are bound as a lambda variable, as in search.bm25, so that a text is cut once and not for each of its words.
+    """
+
+    def runs(t: Column) -> Column:
+        starts = F.array_compact(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)))
+        tf = lambda s, i, k: (F.coalesce(F.get(s, k + 1), F.size(t)) - i).cast("long")
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("term"), tf(s, i, k).alias("tf"), F.size(t).alias("doc_len"))))
+
+    return F.flatten(F.flatten(F.transform(F.array(F.sort_array(tokens)), runs)))
+
+
 def bucket_of(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
