@@ -92,6 +92,15 @@ def test_nearest_makes_no_pairs(spark):
     assert {r.l: r.n_id for r in found if r.l % 2 == 0} == want and len(found) == 600 and most < 5_000
 
 
+def test_no_frame_ends_with_its_partition(spark):
+    """Such a frame is worked out anew for each row, which is quadratic in a block's rows."""
+    rows = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (1, 3, 3.0), (2, 4, 9.0), (1, 5, None)], "k int, i long, t double")
+    left, right = rows.select("k", F.col("i").alias("l"), "t"), rows.where("i > 1")
+    for found in (temporal.nearest(left, rows, ["k"], "t", "t", 8.0, "i"), temporal.asof_forward(left, right, ["k"], "t", "t", 5.0, "i", ["i"]), temporal.asof_forward(left, right, ["k"], "t", "t", 5.0, "i", ["i"], block=2.0)):
+        assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert {(r.l, r.r_i) for r in found.collect()} == {(1, 2), (2, 2), (3, 2), (4, 4), (5, None)}
+
+
 def test_slang_context_counts_windows_without_pairs(spark):
     spans = spark.range(400).select(F.lit(1).alias("s"), F.lit("kekw").alias("term"), (F.col("id") * 0.5).alias("window_start"), (F.col("id") * 0.5 + 98).alias("window_end"))
     chat = spark.range(400).select(F.lit(1).alias("s"), (F.col("id") * 0.5).alias("timestamp_offset"), F.lit("KEKW based based").alias("content"))

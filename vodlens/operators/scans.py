@@ -30,7 +30,7 @@ class Scan:
     own: bool = True
 
 
-LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True), "next": lambda c: F.first(c, ignorenulls=True)}
+LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True), "next": lambda c: F.last(c, ignorenulls=True)}
 
 
 def _joined(kind: str, local: Column, carried: Column) -> Column:
@@ -52,18 +52,19 @@ def scan(rows: DataFrame, keys: list[str], ts: str, order: list[str], block: flo
     values = {f"v_{name}": s.column for name, s in scans.items()}
     held = rows.withColumn("s_block", F.floor(F.col(ts) / F.lit(float(block))).cast("long")).withColumns(values)
     by = [*keys, "s_block"]
-    w = Window.partitionBy(*by).orderBy(*order)
-    before, after = Window.unboundedPreceding, Window.unboundedFollowing
+    before = Window.unboundedPreceding
     local, summary, carry = {}, [], {}
     place = F.struct(*order)
-    blocks = Window.partitionBy(*keys).orderBy(F.col("s_block").asc_nulls_first())
+    w, blocks = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*keys).orderBy(F.col("s_block").asc_nulls_first())
+    # What comes next is what came last the other way round: a frame that ends with the partition is worked out anew for each row.
+    back, blocks_back = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in order]), Window.partitionBy(*keys).orderBy(F.col("s_block").desc_nulls_last())
     for name, s in scans.items():
         c = F.col(f"v_{name}")
-        frame = w.rowsBetween(0 if s.own else 1, after) if s.kind == "next" else w.rowsBetween(before, 0 if s.own else -1)
+        frame = (back if s.kind == "next" else w).rowsBetween(before, 0 if s.own else -1)
         local[f"l_{name}"] = LOCAL[s.kind](c).over(frame)
         ends = {"last": F.max_by, "next": F.min_by}.get(s.kind)
         summary.append((ends(c, F.when(c.isNotNull(), place)) if ends else LOCAL[s.kind](c)).alias(f"b_{name}"))
-        carry[f"c_{name}"] = LOCAL[s.kind](F.col(f"b_{name}")).over(blocks.rowsBetween(1, after) if s.kind == "next" else blocks.rowsBetween(before, -1))
+        carry[f"c_{name}"] = LOCAL[s.kind](F.col(f"b_{name}")).over((blocks_back if s.kind == "next" else blocks).rowsBetween(before, -1))
     carried = held.groupBy(*by).agg(*summary).withColumns(carry).select(*[F.col(k).alias(f"k_{k}") for k in by], *carry)
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in by))
     both = held.withColumns(local).join(carried, same, "left")

@@ -55,8 +55,9 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
     out = [c for c in left.columns]
     l = left.select(F.struct(*out).alias("l"), *keys, F.col(left_ts).alias("a_ts"), F.lit(0).alias("a_side"), F.lit(None).cast(right.schema[tie].dataType).alias("a_tie"), F.lit(None).cast(struct_type(right, [right_ts, *take])).alias("r"))
     r = right.select(F.lit(None).cast(l.schema["l"].dataType).alias("l"), *keys, F.col(right_ts).alias("a_ts"), F.lit(1).alias("a_side"), F.col(tie).alias("a_tie"), F.struct(right_ts, *take).alias("r"))
-    after = Window.partitionBy(*keys).orderBy("a_ts", "a_side", "a_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = l.unionByName(r).withColumn("n", F.first("r", ignorenulls=True).over(after)).where("a_side = 0")
+    # Backwards, since a frame that ends with the partition is worked out anew for each row.
+    after = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in ("a_ts", "a_side", "a_tie")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = l.unionByName(r).withColumn("n", F.last("r", ignorenulls=True).over(after)).where("a_side = 0")
     near = F.col(f"n.{right_ts}") - F.col("a_ts") <= F.lit(tolerance)
     return both.select("l.*", *[F.when(near, F.col(f"n.{c}")).alias(f"r_{c}") for c in [right_ts, *take]])
 
