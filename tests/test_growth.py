@@ -66,6 +66,29 @@ def test_a_broadcast_gives_its_rows_out_in_bounded_frames():
     assert got[got["client"] == "c0"]["item"].dropna().tolist() == [k for k in range(400) if k % 4]
 
 
+def test_a_change_of_topics_looks_at_no_other_client(monkeypatch):
+    asked = []
+    fits = broadcast.fits
+    monkeypatch.setattr(broadcast, "fits", lambda topics, kind: asked.append(1) or fits(topics, kind))
+    ops = [("join", f"c{k}", ["view"], None, None) for k in range(200)]
+    for k in range(300):
+        ops += [("join", f"c{k % 200}", ["view"] if k % 3 else ["purchase"], None, None), ("event", None, None, "purchase" if k % 2 else "view", k)]
+    rows = pd.DataFrame([(pd.Timestamp(k, unit="s"), k, *op, 0) for k, op in enumerate(ops)], columns=["at", "seq", "op", "client", "topics", "event_type", "item", "count"])
+    b = broadcast.Broadcaster(40, 5, 10**12)
+    b.init(Kept())
+    got = pd.concat(list(b.handleInputRows(("1", 0), iter([rows]), None)))
+    topics, queued, want = {}, {}, []
+    for op, client, wanted, kind, item in ops:
+        if op == "join":
+            topics[client] = wanted
+        else:
+            for c in (c for c, w in topics.items() if kind in w):
+                queued[c] = queued.get(c, 0) + 1
+                want.append((c, item, "QUEUED" if queued[c] <= 40 else "DROPPED"))
+    rest = got[got["what"] != "JOINED"]
+    assert sorted(zip(rest["client"], rest["item"], rest["what"])) == sorted(want) and len(asked) <= 2 * 200 + 2 * 300
+
+
 def most_rows(df):
     """The rows that the plan's largest step gave out when it ran, with the result."""
     found, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
